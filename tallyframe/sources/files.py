@@ -161,7 +161,7 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame
     return numbered, facts
 
 
-def _place(path: Column) -> tuple[Column, Column]:
+def place(path: Column) -> tuple[Column, Column]:
     """File name and parent folder of a URL-encoded path."""
     parts = F.split(path, "/")
 
@@ -181,7 +181,7 @@ def scan_csv(spark: SparkSession, paths: Sequence[str], headers: list[str]) -> D
     layout = ", ".join(f"{c} string" for c in columns)
     lines, facts = numbered_lines(spark, paths)
     broken = {r["_path"]: r["utf8"] for r in facts.filter("open_quote").select("_path", "utf8").collect()}
-    name, parent = _place(F.col("_path"))
+    name, parent = place(F.col("_path"))
     plain = lines.filter(~F.col("_path").isin(*broken)) if broken else lines
     parsed = (
         plain.filter("line_no > 0")

@@ -164,7 +164,7 @@ def statement_blocks(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> Data
     )
     ahead = Window.partitionBy(*_FILE).orderBy("stretch").rowsBetween(1, len(KEYS))
     halo = heads.select(
-        *place,
+        *[F.col(c).alias(c) for c in place],  # fresh attributes: both sides stem from the same lines
         F.slice(F.flatten(F.collect_list("_head").over(ahead)), 1, len(KEYS)).getField("key_no").alias("following"),
     )
     layout = "file_id string, file_name string, stretch bigint, "
