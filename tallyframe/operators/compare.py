@@ -61,26 +61,29 @@ def _differs(field: str, config: ReconConfig) -> Column:
 
 
 def _differing_fields(config: ReconConfig) -> tuple[dict[str, Column], Column]:
-    """A helper column `_<field>` per field that says whether the pair differs, and the array of
-    (field_no, discrepancy_type, field_name, crm_value, report_value) built from them.
+    """Helper columns per field, `_<field>` (the pair differs) and `_crm_<field>` (text of the master
+    value), and the array of (field_no, discrepancy_type, field_name, crm_value, report_value)
+    built from them.
 
-    The type of a difference is decided first: a column the file lacks, then a blank cell, then
-    the values. Amounts show the digits they were written with.
+    A column the file lacks is named first, then a blank cell, then differing values. Amounts
+    show the digits they were written with. The array uses flat columns only: Spark mixes up the
+    columns it keeps when it also takes struct fields out from under an exploding step.
     """
-    flags, entries = {}, []
+    helpers, entries = {}, []
     for order, (field, naming) in enumerate(COMPARABLE.items()):
-        flags[f"_{field}"] = _differs(field, config)
+        shown = "coalesce({0}total_amount_text, CAST({0}total_amount AS STRING))" if field == "total_amount" else (
+            f"CAST({{0}}{field} AS STRING)"
+        )
+        helpers[f"_{field}"] = _differs(field, config)
+        helpers[f"_crm_{field}"] = F.expr(shown.format("crm."))
         kind = f"CASE WHEN _{field} THEN '{naming.code}_MISMATCH' END"
         if field in STANDARD_FIELDS:
             kind = (
                 f"CASE WHEN array_contains(missing_fields, '{field}') THEN 'FIELD_MISSING'"
                 f" WHEN array_contains(empty_fields, '{field}') THEN 'FIELD_EMPTY' ELSE {kind} END"
             )
-        shown = "coalesce({0}total_amount_text, CAST({0}total_amount AS STRING))" if field == "total_amount" else (
-            f"CAST({{0}}{field} AS STRING)"
-        )
-        entries.append(_entry(order, kind, field, shown.format("crm."), shown.format("")))
-    return flags, F.expr(
+        entries.append(_entry(order, kind, field, f"_crm_{field}", shown.format("")))
+    return helpers, F.expr(
         f"filter(array({', '.join(entries)}),"
         " d -> d.discrepancy_type IS NOT NULL AND array_contains(_listed, d.field_name))"
     )
@@ -169,7 +172,7 @@ def report_discrepancies(
     none = f"filter(array({_entry(0, 'NULL')}), d -> false)"
     warning = f"array({_entry(len(COMPARABLE), repr('FUZZY_MATCH_WARNING'))})" if "fuzzy" in which else none
     unmatched = f"array({_entry(0, repr('MISSING_IN_CRM'))})" if "unmatched" in which else none
-    flags, differing = _differing_fields(config) if "field" in which else ({}, F.expr(none))
+    helpers, differing = _differing_fields(config) if "field" in which else ({}, F.expr(none))
     entries = (
         F.when(F.col("match_route") == "UNMATCHED", F.expr(unmatched))
         .when(F.col("match_route").startswith("FUZZY"), F.concat(differing, F.expr(warning)))
@@ -178,9 +181,10 @@ def report_discrepancies(
     listed = compare_profiles(config).by_source(
         lambda p: F.expr(f"array({', '.join(repr(f.strip().lower()) for f in p.compare)})").cast("array<string>")
     )
-    found = aligned.withColumns({**flags, "_listed": listed}).select(
+    flat = aligned.withColumns({**helpers, "_listed": listed, "crm_client_id": F.col("crm.crm_client_id")}).drop("crm")
+    found = flat.select(
         "pan", "source", "file_id", "file_name", "raw_row_index", "folio_number", "match_route", "match_confidence",
-        F.col("crm.crm_client_id").alias("crm_client_id"), F.inline(entries),
+        "crm_client_id", F.inline(entries),
     )
     info = F.expr(
         "map('file_name', coalesce(file_name, 'N/A'), 'file_id', coalesce(file_id, 'N/A'),"

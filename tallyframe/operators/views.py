@@ -118,81 +118,104 @@ def field_label(field: Column) -> Column:
     return F.coalesce(lookup(field, known), F.initcap(F.replace(field, F.lit("_"), F.lit(" "))), F.lit(""))
 
 
-def values_match(a: Column, b: Column, field: str) -> Column:
-    """Whether two texts mean the same although they may be written differently."""
+def values_match(a: Column, b: Column, field: str | Column) -> Column:
+    """Whether two texts mean the same although they may be written differently.
+
+    `field` is a name, or a column of names.
+    """
+    of = F.lit(field) if isinstance(field, str) else field
     s, t = strip(a), strip(b)
+    low = [F.lower(x) for x in (s, t)]
     number = [F.regexp_replace(x, ",", "").try_cast("double") for x in (s, t)]
-    is_number = number[0].isNotNull() | number[1].isNotNull()
     near = F.coalesce(F.abs(number[0] - number[1]) < 0.01, F.lit(False))
-    same_day = F.coalesce(~is_number & (N.date(s) == N.date(t)), F.lit(False))
-    last = F.lit(False)
-    if field in ("investor_name", "nominee_1"):
-        last = F.lower(collapse(s)) == F.lower(collapse(t))
-    elif field == "kyc_status":
-        last = F.lower(s).isin(*KYC_DONE) & F.lower(t).isin(*KYC_DONE)
-    elif field == "mode_of_holding":
-        last = F.rtrim(F.lower(s), F.lit(".")).isin(*HELD_SINGLY) & F.rtrim(F.lower(t), F.lit(".")).isin(*HELD_SINGLY)
-    loose = near | same_day | last
-    if field == "mobile":
-        d, e = (F.right(F.regexp_replace(x, r"\D", ""), F.lit(10)) for x in (s, t))
-        loose = F.when((d != "") & (e != ""), d == e).otherwise(loose)
-    elif field == "bank_account":
-        loose = F.ltrim(s, F.lit("0")) == F.ltrim(t, F.lit("0"))
-    return F.when(a.eqNullSafe(b), True).when(a.isNull() | b.isNull(), False).when(F.lower(s) == F.lower(t), True).otherwise(loose)
-
-
-def display_value(value: Column, field: str, missing: Column, empty: Column, raw_kyc: Column | None = None) -> Column:
+    same_day = F.coalesce(number[0].isNull() & number[1].isNull() & (N.date(s) == N.date(t)), F.lit(False))
+    names = of.isin("investor_name", "nominee_1") & (F.lower(collapse(s)) == F.lower(collapse(t)))
+    kyc = (of == "kyc_status") & low[0].isin(*KYC_DONE) & low[1].isin(*KYC_DONE)
+    held = [F.rtrim(x, F.lit(".")).isin(*HELD_SINGLY) for x in low]
+    loose = near | same_day | names | kyc | ((of == "mode_of_holding") & held[0] & held[1])
+    digits = [F.right(F.regexp_replace(x, r"\D", ""), F.lit(10)) for x in (s, t)]
+    return (
+        F.when(a.eqNullSafe(b), True)
+        .when(a.isNull() | b.isNull(), False)
+        .when(low[0] == low[1], True)
+        .when((of == "mobile") & (digits[0] != "") & (digits[1] != ""), digits[0] == digits[1])
+        .when(of == "bank_account", F.ltrim(s, F.lit("0")) == F.ltrim(t, F.lit("0")))
+        .otherwise(loose)
+    )
+
+
+def display_value(
+    value: Column, field: str | Column, missing: Column, empty: Column, raw_kyc: Column | None = None
+) -> Column:
     """Cell text: absent columns, blank cells, the KYC text of the file, amounts with separators."""
-    text = strip(value.cast("string"))
-    if field == "total_amount":
-        text = F.format_number(F.bround(value, 2), 2)
-    if field == "kyc_status" and raw_kyc is not None:
+    of = F.lit(field) if isinstance(field, str) else field
+    text = F.format_number(F.bround(value, 2), 2) if field is not of and field == "total_amount" else strip(value.cast("string"))
+    if raw_kyc is not None:
         written = strip(raw_kyc)
-        keep = (written != "") & ~F.upper(raw_kyc).isin("NONE", "NAN", "N/A", "NA", "-")
+        keep = (of == "kyc_status") & (written != "") & ~F.upper(raw_kyc).isin("NONE", "NAN", "N/A", "NA", "-")
         text = F.when(keep, written).otherwise(text)
     nothing = text.isNull() | (text == "") | F.lower(text).isin("nan", "none", "n/a", "na", "-")
     return (
-        F.when(F.array_contains(missing, field), ABSENT).when(F.array_contains(empty, field), DASH)
+        F.when(F.array_contains(missing, of), ABSENT).when(F.array_contains(empty, of), DASH)
         .when(nothing, DASH).otherwise(text)
     )
 
 
+def _sheet_label(field: Column) -> Column:
+    return lookup(field, {f: COMPARABLE[f].sheet_label for f in MATRIX_FIELDS})
+
+
+def _cells(prefix: str = "", reference: str | None = None) -> Column:
+    """Matrix fields of a row as an array of (field_no, name, reference, raw)."""
+    return F.expr("array(" + ", ".join(
+        f"named_struct('field_no', {i}, 'name', '{f}', 'reference', CAST({reference + f if reference else 'NULL'} AS STRING),"
+        f" 'raw', CAST({prefix}{f} AS STRING))"
+        for i, f in enumerate(MATRIX_FIELDS)
+    ) + ")")
+
+
+def _column_rank() -> Column:
+    return F.coalesce(lookup(F.col("source"), COLUMN_RANK), F.lit("9")).cast("int")
+
+
 def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
     """Side-by-side comparison in long form: one row per matched report row and matrix field.
 
     Columns: pan (of the client), field_no, field, column_label, column_rank, file_name,
     raw_row_index, crm_value, value, status (match, mismatch, verify or none).
     """
-    flags, differing = _differing_fields(config)
+    helpers, differing = _differing_fields(config)
     listed = compare_profiles(config).by_source(
         lambda p: F.expr(f"array({', '.join(repr(f.strip().lower()) for f in p.compare)})").cast("array<string>")
     )
-    rows = aligned.filter(F.col("match_route") != "UNMATCHED").withColumns({**flags, "_listed": listed}).withColumn(
-        "_types", F.map_from_entries(F.transform(differing, lambda d: F.struct(d.field_name, d.discrepancy_type)))
+    flat = aligned.filter(F.col("match_route") != "UNMATCHED").withColumns(
+        {**helpers, "_listed": listed, "_client": F.col("crm.pan"), "_crm_kyc": F.col("crm.kyc_status_raw")}
+    ).drop("crm")
+    kinds = F.map_from_entries(F.transform(differing, lambda d: F.struct(d.field_name, d.discrepancy_type)))
+    cells = flat.withColumn("_types", kinds).select(
+        F.col("_client").alias("pan"),
+        F.concat(source_label(F.col("source")), code_suffix(F.col("folio_number"))).alias("column_label"),
+        _column_rank().alias("column_rank"), "source", "file_id", "file_name", "raw_row_index", "folio_number",
+        "missing_fields", "empty_fields", "kyc_status_raw", "_crm_kyc", "_types", F.inline(_cells(reference="_crm_")),
     )
     none = F.array().cast("array<string>")
-    cells = []
-    for i, f in enumerate(MATRIX_FIELDS):
-        value, reference = F.col(f), F.col(f"crm.{f}")
-        shown = display_value(value, f, F.col("missing_fields"), F.col("empty_fields"), F.col("kyc_status_raw"))
-        kind = F.try_element_at(F.col("_types"), F.lit(f))
-        status = (
-            F.when(shown == DASH, F.when(F.coalesce(reference, F.lit("")).isin("", DASH, "-"), "none").otherwise("verify"))
-            .when(shown == ABSENT, "none")
-            .when(kind.isNotNull(),
-                  F.when(F.upper(severity(config, kind)).isin("CRITICAL", "HIGH", "MEDIUM"), "mismatch").otherwise("verify"))
-            .when(values_match(value, reference, f), "match").otherwise("mismatch")
-        )
-        crm_shown = display_value(reference, f, none, none, F.col("crm.kyc_status_raw"))
-        cells.append(F.struct(
-            F.lit(i).alias("field_no"), F.lit(COMPARABLE[f].sheet_label).alias("field"),
-            crm_shown.alias("crm_value"), shown.alias("value"), status.alias("status"),
-        ))
-    label = F.concat(source_label(F.col("source")), code_suffix(F.col("folio_number")))
-    return rows.select(
-        F.col("crm.pan").alias("pan"), label.alias("column_label"),
-        F.coalesce(lookup(F.col("source"), COLUMN_RANK), F.lit("9")).cast("int").alias("column_rank"),
-        "source", "file_id", "file_name", "raw_row_index", "folio_number", F.inline(F.array(*cells)),
+    name, reference, raw = F.col("name"), F.col("reference"), F.col("raw")
+    shown = cells.withColumns({
+        "value": display_value(raw, name, F.col("missing_fields"), F.col("empty_fields"), F.col("kyc_status_raw")),
+        "crm_value": display_value(reference, name, none, none, F.col("_crm_kyc")),
+        "_type": F.try_element_at("_types", name),
+    })
+    status = (
+        F.when(F.col("value") == DASH,
+               F.when(F.coalesce(reference, F.lit("")).isin("", DASH, "-"), "none").otherwise("verify"))
+        .when(F.col("value") == ABSENT, "none")
+        .when(F.col("_type").isNotNull(),
+              F.when(F.upper(severity(config, F.col("_type"))).isin("CRITICAL", "HIGH", "MEDIUM"), "mismatch").otherwise("verify"))
+        .when(values_match(raw, reference, name), "match").otherwise("mismatch")
+    )
+    return shown.select(
+        "pan", "column_label", "column_rank", "source", "file_id", "file_name", "raw_row_index", "folio_number",
+        "field_no", _sheet_label(name).alias("field"), "crm_value", "value", status.alias("status"),
     )
 
 
@@ -209,30 +232,25 @@ def field_matrix(
     mine = first_row(mine, ["field_no", "file_id", "file_name", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
     cells = mine.select("field_no", "field", "crm_value", "column_label", "column_rank", "file_name", "raw_row_index", "value")
     none = F.array().cast("array<string>")
+    no_value = F.lit(None).cast("string")
     if duplicates is not None:
         extra = duplicates.filter(F.col("pan") == pan).select(
             F.concat(source_label(F.col("source")), code_suffix(F.col("folio_number"))).alias("column_label"),
-            F.coalesce(lookup(F.col("source"), COLUMN_RANK), F.lit("9")).cast("int").alias("column_rank"),
-            "file_name", "raw_row_index",
-            F.inline(F.array(*[
-                F.struct(F.lit(i).alias("field_no"), F.lit(COMPARABLE[f].sheet_label).alias("field"),
-                         F.lit(None).cast("string").alias("crm_value"),
-                         display_value(F.col(f), f, none, none).alias("value"))
-                for i, f in enumerate(MATRIX_FIELDS) if f in duplicates.columns
-            ])),
+            _column_rank().alias("column_rank"), "file_name", "raw_row_index", F.inline(_cells()),
         )
-        cells = cells.unionByName(extra)
+        cells = cells.unionByName(extra.select(
+            "field_no", _sheet_label(F.col("name")).alias("field"), no_value.alias("crm_value"), "column_label",
+            "column_rank", "file_name", "raw_row_index", display_value(F.col("raw"), F.col("name"), none, none).alias("value"),
+        ))
     if all_files is not None:
+        fields = F.expr("array(" + ", ".join(f"named_struct('field_no', {i}, 'name', '{f}')" for i, f in enumerate(MATRIX_FIELDS)) + ")")
         empty = all_files.join(cells.select("file_name").distinct(), "file_name", "left_anti").select(
-            F.inline(F.array(*[
-                F.struct(F.lit(i).alias("field_no"), F.lit(COMPARABLE[f].sheet_label).alias("field"),
-                         F.lit(None).cast("string").alias("crm_value"), F.lit(DASH).alias("value"))
-                for i, f in enumerate(MATRIX_FIELDS)])),
-            source_label(F.col("source")).alias("column_label"),
-            F.coalesce(lookup(F.col("source"), COLUMN_RANK), F.lit("9")).cast("int").alias("column_rank"),
-            "file_name", F.lit(-1).cast("bigint").alias("raw_row_index"),
+            source_label(F.col("source")).alias("column_label"), _column_rank().alias("column_rank"), "file_name", F.inline(fields)
         )
-        cells = cells.unionByName(empty)
+        cells = cells.unionByName(empty.select(
+            "field_no", _sheet_label(F.col("name")).alias("field"), no_value.alias("crm_value"), "column_label",
+            "column_rank", "file_name", F.lit(-1).cast("bigint").alias("raw_row_index"), F.lit(DASH).alias("value"),
+        ))
     heads = (
         cells.select("column_rank", "file_name", "raw_row_index", "column_label").distinct()
         .orderBy("column_rank", "file_name", "raw_row_index").collect()
