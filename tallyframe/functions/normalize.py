@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import blank, collapse, lookup, strip
+from tallyframe.functions.text import blank, collapse, strip
 from tallyframe.schema import AMOUNT
 
 # Accepted formats.
@@ -33,12 +33,6 @@ NAME_NOISE = (
     r"\bHUF\b",
 )
 
-MONTHS = (
-    "january", "february", "march", "april", "may", "june",
-    "july", "august", "september", "october", "november", "december",
-)
-_MONTH_NUMBER = {m: str(i) for i, m in enumerate(MONTHS, 1)} | {m[:3]: str(i) for i, m in enumerate(MONTHS, 1)}
-
 # Dot-atom local part of at most 64 characters, host labels without edge hyphens, a top label
 # that is not numeric, and none of the reserved top-level names.
 EMAIL_FORMAT = (
@@ -126,15 +120,16 @@ def email_error(c: Column) -> Column:
     )
 
 
-# Layouts of written dates as (pattern, group of year, of month, of day).
+# Layouts of written dates, as a shape and a pattern; month names in any case.
 _DATE_LAYOUTS = (
-    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 2, 1),
-    (r"^(\d{1,2})-([A-Za-z]+)-(\d{4})$", 3, 2, 1),
-    (r"^([A-Za-z]{3})\s+(\d{1,2}),\s+(\d{4})$", 3, 1, 2),
-    (r"^(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})$", 3, 2, 1),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{4,9}-\d{4}$", "d-MMMM-yyyy"),
+    (r"^[A-Za-z]{3}\s+\d{1,2},\s+\d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}$", "d MMM yyyy"),
 )
 _SERIAL = r"^\d+(\.\d+)?$"
 
@@ -150,16 +145,11 @@ def date(c: Column) -> Column:
     serial = F.when(days < 60, F.date_add(F.lit("1899-12-31").cast("date"), days)).otherwise(
         F.date_add(F.lit("1899-12-30").cast("date"), days)
     )
-    written = []
-    for pattern, y, m, d in _DATE_LAYOUTS:
-        def group(i: int, pattern: str = pattern) -> Column:
-            return F.regexp_extract(text, pattern, i)
-
-        month = group(m)
-        if "A-Z" in pattern:
-            month = F.coalesce(lookup(F.lower(month), _MONTH_NUMBER), F.lit("x"))
-        written.append(F.when(text.rlike(pattern), F.concat_ws("-", group(y), month, group(d))))
-    return F.coalesce(serial, F.to_date(F.try_to_timestamp(F.coalesce(*written), F.lit("yyyy-M-d"))))
+    written = F
+    for shape, pattern in _DATE_LAYOUTS:
+        value = collapse(text) if " " in pattern else text
+        written = written.when(text.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)))
+    return F.coalesce(serial, F.to_date(written))
 
 
 def date_error(c: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyframe.config import Matching
 from tallyframe.functions.similarity import score_ceiling, sorted_name_score
 from tallyframe.functions.text import blank, strip, token_sort
-from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, first_row
+from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, first_row, fits_broadcast
 from tallyframe.storage import written
 
 _EPS = 1e-9
@@ -37,7 +37,8 @@ def exact_match(reports: DataFrame, crm: DataFrame, key: str = "pan") -> DataFra
     masters = first_row(
         crm.withColumn("_key", match_key(F.col(key))).filter(F.col("_key").isNotNull()), ["_key"], ["crm_order"]
     ).select("_key", F.struct(*crm.columns).alias("crm"))
-    return attach(reports.withColumn("_key", match_key(F.col(key))), masters, ["_key"], "left").drop("_key")
+    keyed = reports.withColumn("_key", match_key(F.col(key)))
+    return attach(keyed, masters, ["_key"], small=fits_broadcast(crm)).drop("_key")
 
 
 def fuzzy_options(matching: Matching) -> dict[str, Column]:
@@ -158,8 +159,9 @@ def fuzzy_match(
     by_contact = asked.withColumn("_c", _contact_rows(F.col("_m"), F.col("_e"))).select("*", "_c.*").drop("_c")
     queries = by_contact.select(*block, "_name", "_thr").distinct()
 
-    masters = cut(_candidate_masters(crm, queries))
-    pairs = _pairs(queries, masters.filter("_crm_name != ''"), _lowest_threshold(matching) / 100.0, policy)
+    masters = cut(_candidate_masters(crm, queries, fits_broadcast(asked)))
+    small = fits_broadcast(asked, masters)
+    pairs = _pairs(queries, masters.filter("_crm_name != ''"), _lowest_threshold(matching) / 100.0, policy, small)
     scored = (
         pairs.filter(score_ceiling(F.col("_crm_name"), F.col("_name")) >= F.col("_thr") - _EPS)
         .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))
@@ -175,8 +177,8 @@ def fuzzy_match(
         .select("_shared_id", F.col("key").alias("_m"), F.lit(True).alias("_hidden"))
         .distinct()
     )
-    offers = attach(by_contact, best, [*block, "_name", "_thr"], "inner")
-    offers = attach(offers, hidden, ["_shared_id", "_m"]).filter(
+    offers = attach(by_contact, best, [*block, "_name", "_thr"], "inner", small)
+    offers = attach(offers, hidden, ["_shared_id", "_m"], "left", small).filter(
         ~((F.col("kind") == _EMAIL) & F.coalesce("_hidden", F.lit(False)))
     )
     choice = (
@@ -184,11 +186,11 @@ def fuzzy_match(
         .agg(F.max(F.struct("_best.score", (-F.col("kind")).alias("_rank"), "_best._neg")).alias("_pick"))
         .select(*ask, F.col("_pick.score").alias("score"), (-F.col("_pick._neg")).alias("crm_order"))
     )
-    chosen = attach(rows, choice, ask).drop(*ask)
-    return attach(chosen, crm.select("crm_order", F.struct(*crm.columns).alias("crm")), ["crm_order"]).drop("crm_order")
+    winners = attach(crm.select("crm_order", F.struct(*crm.columns).alias("crm")), choice, ["crm_order"], "inner", small)
+    return attach(rows, winners.drop("crm_order"), ask, "left", small).drop(*ask)
 
 
-def _candidate_masters(crm: DataFrame, queries: DataFrame) -> DataFrame:
+def _candidate_masters(crm: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
     """Master rows of the contacts asked for: the first row per contact and client id, and per
     contact and name. `_shared_id` is the client id where several master rows carry it."""
     contacts = crm.select(
@@ -197,7 +199,7 @@ def _candidate_masters(crm: DataFrame, queries: DataFrame) -> DataFrame:
         _contact_rows(strip(F.col("mobile")), F.lower(strip(F.col("email")))).alias("_c"),
     ).select("crm_client_id", "crm_order", "_crm_name", "_c.*")
     block = ["kind", "key"]
-    contacts = attach(contacts, queries.select(*block).distinct(), block, "left_semi")
+    contacts = attach(contacts, queries.select(*block).distinct(), block, "left_semi", few)
     contacts = first_row(contacts, [*block, "crm_client_id"], ["crm_order"])
     repeated = (
         contacts.groupBy("crm_client_id")
@@ -211,7 +213,7 @@ def _candidate_masters(crm: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy) -> DataFrame:
+def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, small: bool) -> DataFrame:
     """Name pairs that can reach the threshold `t`, and few others."""
     block = ["kind", "key"]
     t = min(t, 1.0)
@@ -224,19 +226,19 @@ def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy) -
         .filter(large | (slices > 1))
         .select(*block, large.alias("_large"), F.when(large, 1).otherwise(slices).alias("_slices"))
     )
-    small = F.array(F.lit(""))
+    whole = F.array(F.lit(""))
     count = F.coalesce("_slices", F.lit(1))
 
     def tags(segments: Column) -> Column:
-        return F.explode(F.when(F.coalesce("_large", F.lit(False)), segments).otherwise(small))
+        return F.explode(F.when(F.coalesce("_large", F.lit(False)), segments).otherwise(whole))
 
     asking = (
-        attach(queries, special, block)
+        attach(queries, special, block, "left", small)
         .withColumn("_slice", F.pmod(F.xxhash64("_name"), count).cast("int"))
         .withColumn("_tag", tags(query_segments("_name", t)))
     )
     offered = (
-        attach(named, special, block)
+        attach(named, special, block, "left", small)
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), count - 1)))
         .withColumn("_tag", tags(master_segments("_crm_name", t)))
     )

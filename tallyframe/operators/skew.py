@@ -31,15 +31,28 @@ SESSION_SETTINGS = {
 }
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def fits_broadcast(*tables: DataFrame) -> bool:
+    """Whether Catalyst's size estimates, read without running anything, stay below the session's
+    broadcast threshold all together. Estimates of stored tables are their file sizes."""
+    conf = tables[0].sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    limit = int(conf[:-1]) * units[conf[-1]] if conf[-1:] in units else int(conf)
+    try:
+        return sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables) <= limit
+    except AttributeError:  # no local planner, as on a remote client
+        return False
+
+
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join the many rows of `left` to the few rows per key of `right`.
 
-    A small right side is broadcast by Catalyst and `left` is not moved. Otherwise both sides
-    arrive from a shuffle of their own, which is the shape in which adaptive execution splits the
-    partition of a hot key (or of the null key) of `left` over several tasks. Without the
-    explicit shuffle the reduced right side would reuse its own partitioning and block that.
+    Both sides arrive from a shuffle of their own, which is the shape in which adaptive execution
+    splits the partition of a hot key (or of the null key) of `left` over several tasks. Without
+    the explicit shuffle a reduced right side would reuse its own partitioning and block that.
+    If `small` says that the right side is known to fit a broadcast, `left` need not move at all
+    and the shuffle of the right side is left out.
     """
-    return left.join(right.repartition(*on), list(on), how)
+    return left.join(right if small else right.repartition(*on), list(on), how)
 
 
 def first_row(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:

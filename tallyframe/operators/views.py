@@ -118,30 +118,44 @@ def field_label(field: Column) -> Column:
     return F.coalesce(lookup(field, known), F.initcap(F.replace(field, F.lit("_"), F.lit(" "))), F.lit(""))
 
 
-def values_match(a: Column, b: Column, field: str | Column) -> Column:
-    """Whether two texts mean the same although they may be written differently.
+def values_match(df: DataFrame, a: str, b: str, field: str | Column, name: str) -> DataFrame:
+    """Add `name`: whether the texts of columns `a` and `b` mean the same although they may be
+    written differently. `field` is a field name, or a column of names.
 
-    `field` is a name, or a column of names.
+    The steps are separate columns, so that each regular expression runs once per row.
     """
     of = F.lit(field) if isinstance(field, str) else field
-    s, t = strip(a), strip(b)
-    low = [F.lower(x) for x in (s, t)]
-    number = [F.regexp_replace(x, ",", "").try_cast("double") for x in (s, t)]
+    own = df.columns
+    steps = df.withColumns({"_s": strip(F.col(a)), "_t": strip(F.col(b))})
+    steps = steps.withColumns({
+        f"_{kind}_{c}": build(F.col(f"_{c}"))
+        for c in ("s", "t")
+        for kind, build in {
+            "low": F.lower,
+            "number": lambda x: F.regexp_replace(x, ",", "").try_cast("double"),
+            "digits": lambda x: F.right(F.regexp_replace(x, r"\D", ""), F.lit(10)),
+            "day": N.date,
+        }.items()
+    })
+
+    def both(kind: str) -> tuple[Column, Column]:
+        return F.col(f"_{kind}_s"), F.col(f"_{kind}_t")
+
+    low, number, digits, day = both("low"), both("number"), both("digits"), both("day")
     near = F.coalesce(F.abs(number[0] - number[1]) < 0.01, F.lit(False))
-    same_day = F.coalesce(number[0].isNull() & number[1].isNull() & (N.date(s) == N.date(t)), F.lit(False))
-    names = of.isin("investor_name", "nominee_1") & (F.lower(collapse(s)) == F.lower(collapse(t)))
+    same_day = F.coalesce(number[0].isNull() & number[1].isNull() & (day[0] == day[1]), F.lit(False))
+    names = of.isin("investor_name", "nominee_1") & (collapse(low[0]) == collapse(low[1]))
     kyc = (of == "kyc_status") & low[0].isin(*KYC_DONE) & low[1].isin(*KYC_DONE)
     held = [F.rtrim(x, F.lit(".")).isin(*HELD_SINGLY) for x in low]
-    loose = near | same_day | names | kyc | ((of == "mode_of_holding") & held[0] & held[1])
-    digits = [F.right(F.regexp_replace(x, r"\D", ""), F.lit(10)) for x in (s, t)]
-    return (
-        F.when(a.eqNullSafe(b), True)
-        .when(a.isNull() | b.isNull(), False)
+    same = (
+        F.when(F.col(a).eqNullSafe(F.col(b)), True)
+        .when(F.col(a).isNull() | F.col(b).isNull(), False)
         .when(low[0] == low[1], True)
         .when((of == "mobile") & (digits[0] != "") & (digits[1] != ""), digits[0] == digits[1])
-        .when(of == "bank_account", F.ltrim(s, F.lit("0")) == F.ltrim(t, F.lit("0")))
-        .otherwise(loose)
+        .when(of == "bank_account", F.ltrim(F.col("_s"), F.lit("0")) == F.ltrim(F.col("_t"), F.lit("0")))
+        .otherwise(near | same_day | names | kyc | ((of == "mode_of_holding") & held[0] & held[1]))
     )
+    return steps.withColumn(name, same).select(*own, name)
 
 
 def display_value(
@@ -205,13 +219,14 @@ def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
         "crm_value": display_value(reference, name, none, none, F.col("_crm_kyc")),
         "_type": F.try_element_at("_types", name),
     })
+    shown = values_match(shown, "raw", "reference", name, "_same")
     status = (
         F.when(F.col("value") == DASH,
                F.when(F.coalesce(reference, F.lit("")).isin("", DASH, "-"), "none").otherwise("verify"))
         .when(F.col("value") == ABSENT, "none")
         .when(F.col("_type").isNotNull(),
               F.when(F.upper(severity(config, F.col("_type"))).isin("CRITICAL", "HIGH", "MEDIUM"), "mismatch").otherwise("verify"))
-        .when(values_match(raw, reference, name), "match").otherwise("mismatch")
+        .when(F.col("_same"), "match").otherwise("mismatch")
     )
     return shown.select(
         "pan", "column_label", "column_rank", "source", "file_id", "file_name", "raw_row_index", "folio_number",
