@@ -313,29 +313,31 @@ def candidate_counts(reports: DataFrame, crm: DataFrame) -> DataFrame:
 
     Counted per contact before the join; no pair of rows is formed.
     """
-    clients = crm.select(
-        "crm_client_id",
-        F.nullif(strip(F.col("mobile")), F.lit("")).alias("_m"),
-        F.nullif(F.lower(strip(F.col("email"))), F.lit("")).alias("_e"),
-    ).distinct()
-
-    def per(keys: list[str], name: str) -> DataFrame:
-        present = clients.dropna(subset=keys).select(*keys, "crm_client_id").distinct()
-        return present.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-    rows = reports.withColumns(
-        {"_m": F.nullif(strip(F.col("mobile")), F.lit("")), "_e": F.nullif(F.lower(strip(F.col("email"))), F.lit(""))}
+    def contact(c: Column) -> Column:
+        return F.nullif(strip(c), F.lit(""))
+
+    keys = {"_m": contact(F.col("mobile")), "_e": contact(F.lower(F.col("email")))}
+    clients = crm.select("crm_client_id", *[c.alias(k) for k, c in keys.items()]).distinct()
+
+    def per(columns: list[str], name: str) -> DataFrame:
+        present = clients.dropna(subset=columns).select(*columns, "crm_client_id").distinct()
+        return present.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+
+    # Clients found by both contacts are counted once. A client with one master row has both on
+    # that row; only the few with several rows are looked up by their separate contacts.
+    several = clients.groupBy("crm_client_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("crm_client_id")
+    single = attach(clients, several, ["crm_client_id"], "left_anti").dropna(subset=["_m", "_e"])
+    split = attach(clients, several, ["crm_client_id"], "left_semi")
+    rows = reports.withColumns(keys)
+    asked = rows.select("_m", "_e").dropna().distinct()
+    by_m = attach(asked, split.select("_m", "crm_client_id").dropna().distinct(), ["_m"], "inner")
+    found = attach(by_m, split.select("_e", "crm_client_id").dropna().distinct(), ["_e", "crm_client_id"], "left_semi")
+    both = single.select("_m", "_e").unionByName(found.select("_m", "_e")).groupBy("_m", "_e").agg(
+        F.count(F.lit(1)).alias("_both")
     )
-    # A client may have the mobile on one row and the e-mail on another.
-    by_m = clients.dropna(subset=["_m"]).select("crm_client_id", "_m").distinct()
-    by_e = clients.dropna(subset=["_e"]).select("crm_client_id", "_e").distinct()
-    both = (
-        attach(by_m, by_e, ["crm_client_id"], "inner")
-        .groupBy("_m", "_e").agg(F.count(F.lit(1)).alias("_both"))
-    )
-    rows = attach(rows, per(["_m"], "by_mobile"), ["_m"], "left")
-    rows = attach(rows, per(["_e"], "by_email"), ["_e"], "left")
-    rows = attach(rows, both, ["_m", "_e"], "left")
+    rows = attach(rows, per(["_m"], "by_mobile"), ["_m"])
+    rows = attach(rows, per(["_e"], "by_email"), ["_e"])
+    rows = attach(rows, both, ["_m", "_e"])
     zero = F.lit(0)
     return rows.withColumns(
         {

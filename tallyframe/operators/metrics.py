@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import views
 from tallyframe.operators.compare import PLACE
+from tallyframe.operators.skew import attach
+
+
+def _one_row(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Stack tables of (name, n) and turn them into one row."""
+    stacked = reduce(DataFrame.unionByName, parts)
+    return stacked.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in names])
+
+
+def _count(name: str, df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
 
 
 def _counts(**tables: DataFrame) -> DataFrame:
     """One row with the row count of each table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
-    stacked = reduce(DataFrame.unionByName, parts)
-    return stacked.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])
+    return _one_row([_count(name, df) for name, df in tables.items()], list(tables))
 
 
 def run_statistics(
@@ -32,10 +41,6 @@ def run_statistics(
     )
 
 
-def _of_type(*types: str) -> Column:
-    return F.count(F.when(F.col("discrepancy_type").isin(*types), 1))
-
-
 def summary_metrics(
     crm: DataFrame, reports: DataFrame, matched: DataFrame, discrepancies: DataFrame,
     dlq: DataFrame | None = None, failed_files: DataFrame | None = None,
@@ -46,18 +51,17 @@ def summary_metrics(
         tables["validation_failures"] = dlq
     if failed_files is not None:
         tables["failed_files_count"] = failed_files
-    totals = _counts(**tables)
-    kinds = discrepancies.agg(
-        _of_type("MISSING_IN_CRM").alias("missing_in_crm"),
-        _of_type("MISSING_IN_REPORT").alias("missing_in_report"),
-        F.count(F.when(~F.col("discrepancy_type").isin("MISSING_IN_CRM", "MISSING_IN_REPORT"), 1)).alias("field_discrepancies"),
+    kind = F.col("discrepancy_type")
+    group = (
+        F.when(kind == "MISSING_IN_CRM", "missing_in_crm").when(kind == "MISSING_IN_REPORT", "missing_in_report")
+        .otherwise("field_discrepancies")
     )
-    one = F.lit(1).alias("_one")
-    joined = totals.select("*", one).join(kinds.select("*", one), "_one").drop("_one")
-    for name in ("validation_failures", "failed_files_count"):
-        if name not in joined.columns:
-            joined = joined.withColumn(name, F.lit(0).cast("bigint"))
-    return joined
+    parts = [_count(name, df) for name, df in tables.items()]
+    parts.append(discrepancies.groupBy(group.alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    names = ["total_crm_records", "total_report_records", "matched_records", "missing_in_crm", "missing_in_report",
+             "field_discrepancies", "validation_failures", "failed_files_count"]
+    row = _one_row(parts, names)
+    return row.select(*[F.coalesce(name, F.lit(0)).alias(name) for name in names])
 
 
 def breakdown_by_type(discrepancies: DataFrame) -> DataFrame:
@@ -86,10 +90,9 @@ def source_match_rate(breakdown: DataFrame) -> DataFrame:
 
 def match_rate(crm: DataFrame, discrepancies: DataFrame) -> DataFrame:
     """Share of master rows not missing in the reports, in percent with one decimal."""
-    total = crm.agg(F.count(F.lit(1)).alias("total_crm_records"), F.lit(1).alias("_one"))
-    lost = discrepancies.agg(_of_type("MISSING_IN_REPORT").alias("missing_in_report"), F.lit(1).alias("_one"))
-    kept = F.greatest(F.lit(0), F.col("total_crm_records") - F.col("missing_in_report"))
-    return total.join(lost, "_one").select(
+    n = _counts(total_crm_records=crm, lost=discrepancies.filter("discrepancy_type = 'MISSING_IN_REPORT'"))
+    kept = F.greatest(F.lit(0), F.col("total_crm_records") - F.col("lost"))
+    return n.select(
         "total_crm_records",
         kept.alias("matched_records"),
         F.when(F.col("total_crm_records") > 0, F.bround(kept / F.col("total_crm_records") * 100, 1))
@@ -126,8 +129,6 @@ def parse_counts(parsed: DataFrame, by: tuple[str, ...] = ("file_id", "file_name
 def clean_sources(matched: DataFrame, discrepancies: DataFrame) -> DataFrame:
     """(pan, source_label) of clients whose matched rows there carry no discrepancy, in first-seen
     order of the file rows."""
-    from tallyframe.operators.skew import attach
-
     row = ["file_id", "file_name", "raw_row_index"]
     wrong = discrepancies.filter("phase = 0").select(*row).distinct()
     clean = attach(matched.filter(F.col("match_route") != "UNMATCHED"), wrong, row, "left_anti")

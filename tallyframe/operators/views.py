@@ -235,13 +235,14 @@ def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
 
 
 def field_matrix(
-    long: DataFrame, pan: str, duplicates: DataFrame | None = None, all_files: DataFrame | None = None
+    long: DataFrame, pan: str, duplicates: DataFrame | None = None, all_files: DataFrame | None = None,
+    most_columns: int = 2000,
 ) -> DataFrame:
     """Matrix of one client: a row per field, the CRM first and then a column per file and code.
 
     `duplicates` (rejected duplicate rows) come back as columns; files of `all_files` (source,
-    file_name) without a row of the client get an empty column. One client's cells are few, so
-    reading the column names is cheap.
+    file_name) without a row of the client get an empty column. A client with more than
+    `most_columns` rows is refused: it can only be read in long form.
     """
     mine = long.filter(F.col("pan") == pan)
     mine = first_row(mine, ["field_no", "file_id", "file_name", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
@@ -268,8 +269,10 @@ def field_matrix(
         ))
     heads = (
         cells.select("column_rank", "file_name", "raw_row_index", "column_label").distinct()
-        .orderBy("column_rank", "file_name", "raw_row_index").collect()
+        .orderBy("column_rank", "file_name", "raw_row_index").limit(most_columns + 1).collect()
     )
+    if len(heads) > most_columns:
+        raise ValueError(f"{pan} has more than {most_columns} rows; use field_matrix_long")
     keys = {(h.file_name, h.raw_row_index): h.column_label for h in heads}
     names, taken = {}, {}
     for key, label in keys.items():

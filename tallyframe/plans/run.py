@@ -15,7 +15,7 @@ from tallyframe.errors import FileAccessError, ParserError, SchemaMismatchError
 from tallyframe.operators import metrics, views
 from tallyframe.operators.dedup import dedup_first, duplicates
 from tallyframe.operators.normalize import normalize, split_normalized
-from tallyframe.operators.parse import parse_table, split_parsed
+from tallyframe.operators.parse import parse_table, split_columns, split_parsed
 from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy
 from tallyframe.operators.validate import explode_failures, split_valid, with_failures
 from tallyframe.plans.reconcile import Reconciliation, reconcile
@@ -176,8 +176,6 @@ def load_reports(
         else:
             try:
                 found = dict.fromkeys(d.header, F.lit(""))
-                from tallyframe.operators.parse import split_columns
-
                 catalog.map_headers([*found, *split_columns(found)], catalog.aliases_of(d.source))
                 groups.setdefault((d.source, p.zipped, tuple(d.header)), []).append(d.path)
             except SchemaMismatchError as err:
@@ -221,15 +219,12 @@ def run(
     failed_files = sinks.failed_files_table(spark, failures)
     summary = metrics.summary_metrics(crm.parsed, reports.parsed, result.matched, result.discrepancies, dlq, failed_files)
 
-    marks = files.fingerprint(spark, [crm_path, *report_paths])
-    hashes = marks.agg(
-        F.max(F.when(F.col("path") == crm_path, F.col("sha256"))).alias("crm_file_hash"),
-        F.map_from_entries(F.collect_set(
-            F.when(F.col("path") != crm_path, F.struct("file_name", "sha256")))).alias("report_file_hashes"),
-        F.lit(1).alias("_one"),
-    )
-    metadata = summary.withColumn("_one", F.lit(1)).join(hashes, "_one").select(
-        F.lit(run_id).alias("run_id"), F.lit(run_ts).alias("timestamp"), "crm_file_hash", "report_file_hashes",
+    marks = {m.path: m for m in files.fingerprint(spark, [crm_path, *report_paths]).collect()}  # a row per named file
+    hashes = [F.lit(x) for p in report_paths for x in (marks[p].file_name, marks[p].sha256)]
+    metadata = summary.select(
+        F.lit(run_id).alias("run_id"), F.lit(run_ts).alias("timestamp"),
+        F.lit(marks[crm_path].sha256).alias("crm_file_hash"),
+        F.create_map(*hashes).cast("map<string,string>").alias("report_file_hashes"),
         "total_crm_records", "total_report_records",
         F.col("validation_failures").alias("validation_failures_count"),
         (F.col("missing_in_crm") + F.col("missing_in_report") + F.col("field_discrepancies")).alias("discrepancies_count"),

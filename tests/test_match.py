@@ -188,3 +188,13 @@ def test_plans(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Scan" in text and "BatchEvalPython" not in text  # Arrow only
+
+
+def test_candidate_counts(spark):
+    crm, reports = make(9, 80, 60)
+    c, r = frames(spark, crm, reports)
+    got = {x.raw_row_index: (x.by_mobile, x.by_email, x.candidates) for x in match.candidate_counts(r, c).collect()}
+    for rep in reports:
+        m = {x["crm_client_id"] for x in crm if rep["mobile"] and x["mobile"] == rep["mobile"]}
+        e = {x["crm_client_id"] for x in crm if rep["email"] and x["email"] == rep["email"]}
+        assert got[rep["raw_row_index"]] == (len(m), len(e), len(m | e))
