@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # 24 integer digits and 10 decimals: a difference of two such values is still exact.
@@ -161,22 +160,19 @@ def conform(df: DataFrame, layout: dict, keep: tuple[str, ...] = ()) -> DataFram
     Null status columns are UNKNOWN, absent presence lists are empty, and an absent
     amount text is taken from the amount.
     """
-    have = set(df.columns)
-
-    def pick(name: str, dtype: T.DataType) -> Column:
-        if name == "total_amount_text" and name not in have and "total_amount" in have:
-            return F.col("total_amount").cast("string").alias(name)
-        if name not in have:
-            if name in STATUS_FIELDS:
-                return F.lit("UNKNOWN").alias(name)
-            if name in ("missing_fields", "empty_fields"):
-                return F.array().cast(dtype).alias(name)
-            if name == "is_minor_account":
-                return F.lit(False).alias(name)
-            return F.lit(None).cast(dtype).alias(name)
-        column = F.col(name)
-        if name in STATUS_FIELDS:
-            column = F.coalesce(column, F.lit("UNKNOWN"))
-        return column.cast(dtype).alias(name)
-
-    return df.select(*[pick(n, t) for n, t in layout.items()], *keep)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    if not keep and list(have) == list(layout) and have == layout:
+        return df
+
+    def pick(name: str, dtype: T.DataType) -> str:
+        if name in have:
+            value = f"coalesce({name}, 'UNKNOWN')" if name in STATUS_FIELDS else name
+        elif name == "total_amount_text" and "total_amount" in have:
+            value = "total_amount"
+        elif name in STATUS_FIELDS:
+            value = "'UNKNOWN'"
+        else:
+            value = {"missing_fields": "array()", "empty_fields": "array()", "is_minor_account": "false"}.get(name, "NULL")
+        return f"CAST({value} AS {dtype.simpleString()}) AS {name}"
+
+    return df.selectExpr(*[pick(n, t) for n, t in layout.items()], *keep)
