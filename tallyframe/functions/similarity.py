@@ -61,7 +61,14 @@ def sorted_name_score(left: Column, right: Column) -> Column:
     return _score_udf()(left, right)
 
 
-def score_ceiling(left: Column, right: Column) -> Column:
-    """Highest score two names of these lengths can reach."""
-    shorter = F.least(F.length(left), F.length(right))
-    return F.lit(200.0) * shorter / (F.length(left) + F.length(right))
+def can_reach(left: str, right: str, threshold: str) -> Column:
+    """Whether two names may score `threshold` or more; false only if they cannot.
+
+    A score leaves room for (1 - threshold) of all characters to be added or removed. The length
+    difference and the edit distance are lower bounds of that number. Both stay in the JVM, the
+    second one gives up as soon as the room is used.
+    """
+    room = f"CAST(floor((1 - {threshold} / 100) * (length({left}) + length({right})) + 1e-9D) AS INT)"
+    return F.expr(
+        f"abs(length({left}) - length({right})) <= {room} AND levenshtein({left}, {right}, {room}) >= 0"
+    )

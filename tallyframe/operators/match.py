@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.config import Matching
-from tallyframe.functions.similarity import score_ceiling, sorted_name_score
+from tallyframe.functions.similarity import can_reach, sorted_name_score
 from tallyframe.functions.text import blank, strip, token_sort
 from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, first_row, fits_broadcast
 from tallyframe.storage import written
@@ -163,7 +163,7 @@ def fuzzy_match(
     small = fits_broadcast(asked, masters)
     pairs = _pairs(queries, masters.filter("_crm_name != ''"), _lowest_threshold(matching) / 100.0, policy, small)
     scored = (
-        pairs.filter(score_ceiling(F.col("_crm_name"), F.col("_name")) >= F.col("_thr") - _EPS)
+        pairs.filter(can_reach("_crm_name", "_name", "_thr"))
         .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))
         .filter(F.col("score") >= F.col("_thr"))
     )
