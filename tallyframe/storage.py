@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.errors import ConfigurationError
+
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set."""
+    """The shared checkpoint folder of the session; a temporary one only in local mode without one."""
     context = spark.sparkContext
     folder = (
         context.getCheckpointDir()
@@ -17,6 +19,8 @@ def scratch_folder(spark: SparkSession) -> str:
         or context.getConf().get("spark.checkpoint.dir")
     )
     if not folder:
+        if not context.master.startswith("local"):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="recon-")
         context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/recon-{context.applicationId}"

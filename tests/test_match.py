@@ -198,3 +198,35 @@ def test_candidate_counts(spark):
         m = {x["crm_client_id"] for x in crm if rep["mobile"] and x["mobile"] == rep["mobile"]}
         e = {x["crm_client_id"] for x in crm if rep["email"] and x["email"] == rep["email"]}
         assert got[rep["raw_row_index"]] == (len(m), len(e), len(m | e))
+
+
+def test_hot_key_is_split_over_tasks(spark):
+    """A third of the report rows share one key: adaptive execution splits that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30_000
+        crm = spark.range(n).selectExpr("concat('C', id) AS crm_client_id", "id AS crm_order", "concat('P', id) AS pan",
+                                        "concat('NAME ', id) AS investor_name")
+        rep = spark.range(0, n, 1, 8).selectExpr(
+            "'CAMS' AS source", "id AS raw_row_index", "CASE WHEN id % 3 = 0 THEN 'P3' ELSE concat('P', id) END AS pan",
+            "md5(cast(id AS string)) AS investor_name")
+        joined = match.exact_match(conform(rep, REPORT), conform(crm, CRM))
+        assert joined.filter("crm IS NOT NULL").select("raw_row_index", "crm.crm_client_id", "investor_name").toPandas().shape[0] == n
+        probe = joined.select("raw_row_index", "investor_name", "crm.crm_client_id")
+        rows = probe.collect()
+        assert len(rows) == n
+        assert "skew=true" in plan(probe)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

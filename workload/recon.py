@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -548,9 +548,7 @@ def run_history(spark, folder):
     found = reconcile(crm, reports, CONFIG).discrepancies
     rate = metrics.match_rate(crm, found).first().match_rate_percent
     summary = {"match_rate_percent": rate, "discrepancy_count": found.count()}
-    parent = scratch_folder(spark)
-    name = tempfile.mktemp(prefix="history-", dir="").strip("/")
-    history = sinks.RunHistory(spark, f"{parent}/{name}")
+    history = sinks.RunHistory(spark, f"{scratch_folder(spark)}/history-{uuid.uuid4().hex}")
     for _ in range(2):
         history.save(summary, "", "crm", 1)
     return history.list().select("run_id", "match_rate_percent", "discrepancy_count", "status")
