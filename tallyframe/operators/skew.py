@@ -46,13 +46,18 @@ def fits_broadcast(*tables: DataFrame) -> bool:
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join the many rows of `left` to the few rows per key of `right`.
 
-    Both sides arrive from a shuffle of their own, which is the shape in which adaptive execution
-    splits the partition of a hot key (or of the null key) of `left` over several tasks. Without
-    the explicit shuffle a reduced right side would reuse its own partitioning and block that.
-    If `small` says that the right side is known to fit a broadcast, `left` need not move at all
-    and the shuffle of the right side is left out.
+    Adaptive execution splits the partition of a hot key (or of the null key) of `left` over
+    several tasks, but only where both sides come straight from a shuffle made for the join. A
+    reduced right side would keep the partitioning of its reduction instead, and Spark drops a
+    plain repartition there. Joining on a hash of the key as well asks for a partitioning that
+    neither side has. If `small` says that the right side is known to fit a broadcast, `left`
+    need not move at all and the plain join is left to Catalyst.
     """
-    return left.join(right if small else right.repartition(*on), list(on), how)
+    on = list(on)
+    if small:
+        return left.join(right, on, how)
+    mark = F.xxhash64(*on)
+    return left.withColumn("_h", mark).join(right.withColumn("_h", mark), [*on, "_h"], how).drop("_h")
 
 
 def first_row(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
