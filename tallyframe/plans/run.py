@@ -19,7 +19,7 @@ from tallyframe.operators.parse import parse_table, split_columns, split_parsed
 from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy
 from tallyframe.operators.validate import explode_failures, split_valid, with_failures
 from tallyframe.plans.reconcile import Reconciliation, reconcile
-from tallyframe.schema import CRM, DLQ, REPORT, conform, struct_type
+from tallyframe.schema import DLQ, REPORT, conform, struct_type
 from tallyframe.sources import catalog, files, sinks, statements, workbook
 from tallyframe.storage import written
 

@@ -1,15 +1,13 @@
 """Comparison, validation and de-duplication on literal cases."""
 
 import datetime as dt
-from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from tallyframe.config import Matching, Profiles, ReconConfig, SourceProfile, Validation
-from tallyframe.operators import compare, match, views
+from tallyframe.config import Profiles, ReconConfig, SourceProfile, Validation
+from tallyframe.operators import views
 from tallyframe.operators.dedup import dedup_first, duplicates
 from tallyframe.operators.normalize import normalize, split_normalized
 from tallyframe.operators.validate import explode_failures, split_valid, with_failures

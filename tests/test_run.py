@@ -3,7 +3,6 @@
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyframe import config_from_dict, run, standard_config
 from tallyframe.config import load_config

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.config import DEFAULT_REPORT_PROFILE, Profiles, SourceProfile, standard_profiles
+from tallyframe.config import DEFAULT_REPORT_PROFILE, Profiles, SourceProfile
 from tallyframe.functions import normalize as N
 from tallyframe.functions.status import normalize_status, read_status
 from tallyframe.operators import metrics, parse
