@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import line_dedup, mixing, near_dup
+from tallyframe.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
 from tallyframe.llm.common import stored
 
 
+def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not predict toxic. It is fitted on the labelled rows of this input."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_civil(docs, model)
+
+
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks leave the texts (`n_chars` follows); a document of which nothing is left goes."""
     out = line_dedup.dedup_lines(docs, keep=True)
@@ -23,6 +29,11 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dup.keep_one(docs)
 
 
+def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark was found."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with `takes`, how often each is to be read."""
     out = mixing.mix(docs, keep=True)
@@ -31,8 +42,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", civil_documents),
     ("line dedup", unrepeated_lines),
     ("near duplicates", distinct_documents),
+    ("decontamination", unleaked_documents),
     ("mix", mixed_sources),
 ]
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, line_dedup, mixing, near_dup, secrets
+from tallyframe.llm import (
+    chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dup, secrets, suffix_dedup, toxicity,
+)
 from tallyframe.llm.oracles import CHAT_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +27,31 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_groups(table(spark, folder, "documents"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(table(spark, folder, "pages"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, folder, "documents"))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
@@ -41,7 +64,12 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
+    "op3_html_text": op3_html_text,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
 }
