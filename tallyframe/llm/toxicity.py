@@ -182,14 +182,14 @@ def train(
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(
         F.length("text") <= rule.longest_text)
     # at most 2 * per_class ids, so the other side need not move
-    texts = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    texts = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", F.lit(0).alias("model"))
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
         model = fit(group["text"].tolist(), group["label"].tolist(), rule)
         return pd.DataFrame({"weights": [model.weights], "bias": [model.bias]})
 
-    fitted = texts.groupBy(F.lit(1)).applyInPandas(task, "weights binary, bias double").collect()
+    fitted = texts.groupBy("model").applyInPandas(task, "weights binary, bias double").collect()
     return ToxicityModel(rule, bytes(fitted[0]["weights"]), fitted[0]["bias"]) if fitted else ToxicityModel(rule, none, -30.0)
 
 
