@@ -14,7 +14,7 @@ from tallyframe.schema import AMOUNT, CRM, EXTENDED_FIELDS, REPORT, STANDARD_FIE
 from tallyframe.sources.catalog import Aliases, aliases_of, map_headers
 
 # Columns a scan adds to the file's own.
-PLACE = ("_row", "_file_name", "_file_id")
+PLACE = ("_row", "_file_name", "_file_id", "_file_path")
 
 # Cells read as missing, and texts that mean "no value" in string fields.
 MISSING_CELLS = (
@@ -150,16 +150,18 @@ def parse_table(
     """Typed rows of one layout, with `reasons` (empty when accepted) and `raw_data`.
 
     `raw` has the string columns of the file, in order, plus `_row` (0-based data row),
-    `_file_name` and `_file_id`. `headers` names them where the column names of `raw` do not.
+    `_file_name`, `_file_id` and, if known, `_file_path`. `headers` names them where the column names of `raw` do not.
     `source` is "CRM" for the master.
     """
+    if "_file_path" not in raw.columns:
+        raw = raw.withColumn("_file_path", F.lit(None).cast("string"))
     own = [c for c in raw.columns if c not in PLACE]
     headers = headers or own
     numbered = raw.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], *PLACE)
     found = {h: null_missing(F.col(f"_c{i}")) for i, h in enumerate(headers)}
     found |= split_columns(found)
     mapping = map_headers(found, aliases or aliases_of(source))
-    allowed = set(CRM if source == "CRM" else REPORT) - {"source", "file_name", "file_id", "raw_row_index"}
+    allowed = set(CRM if source == "CRM" else REPORT) - {"source", "file_name", "file_id", "file_path", "raw_row_index"}
     spare = {h: h for h in found if h in allowed and h not in mapping and h not in mapping.values()}
     cells = {f: found[h] for f, h in {**spare, **mapping}.items()}
 
@@ -193,13 +195,14 @@ def parse_table(
     else:
         fields["source"] = F.lit(source)
         fields["raw_row_index"] = F.col("_row") + 2
-    fields |= {"file_name": F.col("_file_name"), "file_id": F.col("_file_id"), "row_number": F.col("_row") + 2}
+    fields |= {"file_name": F.col("_file_name"), "file_id": F.col("_file_id"), "file_path": F.col("_file_path"),
+               "row_number": F.col("_row") + 2}
 
     typed = numbered.select(*[c.alias(n) for n, c in fields.items()]).withColumn(
         "reasons", reject_reasons(source, None if amount_cell is None else F.col("_amount_cell"))
     )
     if source == "CRM":
-        return conform(typed, CRM, ("file_name", "file_id", "row_number", "raw_data", "reasons"))
+        return conform(typed, CRM, ("file_name", "file_id", "file_path", "row_number", "raw_data", "reasons"))
     return conform(typed, REPORT, ("row_number", "raw_data", "reasons"))
 
 

@@ -43,6 +43,7 @@ REPORT = {
     "source": _S,
     "file_name": _S,
     "file_id": _S,
+    "file_path": _S,
     "folio_number": _S,
     "raw_row_index": T.LongType(),
     "missing_fields": _ARR,

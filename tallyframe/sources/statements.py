@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.text import strip
 from tallyframe.operators.parse import clean_text, is_minor, reject_reasons
 from tallyframe.schema import AMOUNT, EXTENDED_FIELDS, REPORT, STANDARD_FIELDS, conform
+from tallyframe.storage import written
 
 # Fixed values: (field, labels, accepted text), tried in this order on every line.
 LABELS = (
@@ -34,7 +35,7 @@ LABELS = (
     ("nominee_relation", r"(?:Nominee Relation|Relation|Relation/Percentage)", r"[A-Za-z\s./%0-9-]+"),
     ("distributor_arn", r"(?:Distributor|ARN|Broker Code|Distributor \(ARN\))", r"[A-Za-z0-9\s./%-]+"),
 )
-PAN_LABELLED = r"(?i)PAN\s*:\s*([A-Z0-9]{10})"
+PAN_LABELLED = r"(?iU)PAN\s*:\s*([A-Z0-9]{10})"
 PAN_BARE = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
 
 KEYS = ("pan", *[field for field, _, _ in LABELS])
@@ -49,8 +50,8 @@ def _found(line: Column) -> dict[str, Column]:
     out = {"pan": F.upper(strip(F.coalesce(cut(PAN_LABELLED), cut(PAN_BARE))))}
     for field, label, text in LABELS:
         # Presence of the label decides; the captured text may be blank after trimming.
-        out[field] = F.when(line.rlike(f"(?i){label}\\s*:\\s*{text}"),
-                            strip(F.regexp_extract(line, f"(?i){label}\\s*:\\s*({text})", 1)))
+        out[field] = F.when(line.rlike(f"(?iU){label}\\s*:\\s*{text}"),
+                            strip(F.regexp_extract(line, f"(?iU){label}\\s*:\\s*({text})", 1)))
     digits = F.regexp_replace(out["mobile"], r"\D", "")
     out["mobile"] = F.when((F.length(digits) > 10) & digits.startswith("91"), F.substring(digits, 3, 1 << 30)).otherwise(digits)
     amount = F.regexp_replace(out["total_amount"], ",", "")
@@ -59,22 +60,24 @@ def _found(line: Column) -> dict[str, Column]:
 
 
 def statement_entries(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> DataFrame:
-    """(file_id, file_name, stretch, seq, key, value) of every labelled text.
+    """(file_id, file_name, file_path, stretch, seq, key, value) of every labelled text.
 
-    `lines` has file_id, file_name, line_no and line.
+    `lines` has file_id, file_name, line_no, line and, if known, file_path.
     """
+    if "file_path" not in lines.columns:
+        lines = lines.withColumn("file_path", F.concat_ws("/", "file_id", "file_name"))
     found = _found(strip(F.col("line")))
     entries = F.array_compact(F.array(*[
         F.when(found[key].isNotNull(), F.struct(F.lit(i).alias("key_no"), F.lit(key).alias("key"), found[key].alias("value")))
         for i, key in enumerate(KEYS)
     ]))
-    return lines.select("file_id", "file_name", "line_no", F.inline(entries)).select(
-        "file_id", "file_name", F.floor(F.col("line_no") / stretch).alias("stretch"),
+    return lines.select(*_FILE, "line_no", F.inline(entries)).select(
+        *_FILE, F.floor(F.col("line_no") / stretch).alias("stretch"),
         (F.col("line_no") * len(KEYS) + F.col("key_no")).alias("seq"), "key_no", "key", "value",
     )
 
 
-_FILE = ["file_id", "file_name"]
+_FILE = ["file_id", "file_name", "file_path"]
 
 
 def _jumps():
@@ -111,7 +114,7 @@ def _solve():
             over[i], begun[i] = (end - n, 1) if end >= n else (over[end], begun[end] + 1)
         inside = range(most + 1)
         return pd.DataFrame([{
-            "file_id": place[0], "file_name": place[1], "stretch": place[2],
+            "file_id": place[0], "file_name": place[1], "file_path": place[2], "stretch": place[3],
             "over": [over[e] if e < n else e - n for e in inside],
             "begun": [begun[e] if e < n else 0 for e in inside],
         }])
@@ -126,9 +129,9 @@ def _chain():
 
         rows, inside, before = [], 0, 0
         for r in stretches.sort_values("stretch").itertuples():
-            rows.append((r.file_id, r.file_name, r.stretch, inside, before))
+            rows.append((r.file_id, r.file_name, r.file_path, r.stretch, inside, before))
             inside, before = r.over[inside], before + r.begun[inside]
-        return pd.DataFrame(rows, columns=["file_id", "file_name", "stretch", "inside", "before"])
+        return pd.DataFrame(rows, columns=["file_id", "file_name", "file_path", "stretch", "inside", "before"])
 
     return chain
 
@@ -147,15 +150,15 @@ def _cut():
             block += 1
             numbers += [block] * (jump[at] - at)
             at = jump[at]
-        return entries.assign(block_no=numbers)[["file_id", "file_name", "block_no", "key", "value"]]
+        return entries.assign(block_no=numbers)[["file_id", "file_name", "file_path", "block_no", "key", "value"]]
 
     return cut
 
 
 def statement_blocks(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> DataFrame:
-    """(file_id, file_name, block_no, entries MAP) of every block; blocks count from 1."""
+    """(file_id, file_name, file_path, block_no, entries MAP) of every block; blocks count from 1."""
     place = [*_FILE, "stretch"]
-    entries = statement_entries(lines, stretch)
+    entries = written(statement_entries(lines, stretch))  # some thirty patterns per line, read three times
     narrow = entries.select(*place, "seq", "key_no")
     heads = (
         narrow.withColumn("_no", F.row_number().over(Window.partitionBy(*place).orderBy("seq")))
@@ -167,14 +170,14 @@ def statement_blocks(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> Data
         *[F.col(c).alias(c) for c in place],  # fresh attributes: both sides stem from the same lines
         F.slice(F.flatten(F.collect_list("_head").over(ahead)), 1, len(KEYS)).getField("key_no").alias("following"),
     )
-    layout = "file_id string, file_name string, stretch bigint, "
+    layout = "file_id string, file_name string, file_path string, stretch bigint, "
     solved = narrow.groupBy(*place).cogroup(halo.groupBy(*place)).applyInPandas(
         _solve(), layout + "over array<int>, begun array<bigint>"
     )
     entered = solved.groupBy(*_FILE).applyInPandas(_chain(), layout + "inside int, before bigint")
     cut = entries.select(*place, "seq", "key_no", "key", "value").groupBy(*place).cogroup(
         entered.groupBy(*place)
-    ).applyInPandas(_cut(), "file_id string, file_name string, block_no bigint, key string, value string")
+    ).applyInPandas(_cut(), "file_id string, file_name string, file_path string, block_no bigint, key string, value string")
     return cut.groupBy(*_FILE, "block_no").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("entries")
     )
