@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.parse import PLACE
+from tallyframe.operators.skew import attach
 
 _ROWS = "path string, sheet_no int, sheet string, row_no bigint, cells array<string>"
 
@@ -19,6 +20,8 @@ def _decoder():
         import io
         import re
         import zipfile
+        from datetime import datetime, timedelta
+        from decimal import Decimal, InvalidOperation
         from xml.etree import ElementTree
 
         def local(tag: str) -> str:
@@ -33,7 +36,41 @@ def _decoder():
                 n = n * 26 + ord(ch) - 64
             return n - 1
 
+        def exact(text: str) -> str:
+            """A stored number without an exponent, as the cell holds it."""
+            try:
+                number = Decimal(text)
+            except InvalidOperation:
+                return text
+            return format(number, "f") if "E" in text.upper() and number.is_finite() else text
+
+        def dated(text: str, base: datetime) -> str:
+            """A serial day number as an ISO date, with a time if it has one."""
+            try:
+                days = float(text)
+            except ValueError:
+                return text
+            if base.year == 1899 and days < 60:  # the serial calendar has a 29 February 1900
+                days += 1
+            moment = base + timedelta(seconds=round(days * 86400))
+            return moment.strftime("%Y-%m-%d" if moment.time() == moment.min.time() else "%Y-%m-%d %H:%M:%S")
+
+        def date_styles() -> set:
+            """Numbers of the cell styles that show dates."""
+            if "xl/styles.xml" not in book.namelist():
+                return set()
+            root = ElementTree.fromstring(book.read("xl/styles.xml"))
+            shown = set(range(14, 23)) | set(range(27, 37)) | set(range(45, 48)) | set(range(50, 59))  # fixed values
+            for node in root.iter():
+                if local(node.tag) == "numFmt":
+                    code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", node.get("formatCode", ""))
+                    number = int(node.get("numFmtId", -1))
+                    shown = shown | {number} if re.search(r"[dmyhsDMYHS]", code) else shown - {number}
+            cells = next((n for n in root if local(n.tag) == "cellXfs"), ())
+            return {str(i) for i, n in enumerate(cells) if int(n.get("numFmtId", 0)) in shown}
+
         book = zipfile.ZipFile(io.BytesIO(content))
+        dates = date_styles()
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
@@ -44,9 +81,12 @@ def _decoder():
             links[node.get("Id")] = target.lstrip("/") if target.startswith("/") else "xl/" + target
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
         sheets = [n for n in root.iter() if local(n.tag) == "sheet"]
+        later = any(local(n.tag) == "workbookPr" and n.get("date1904") in ("1", "true") for n in root.iter())
+        base = datetime(1904, 1, 1) if later else datetime(1899, 12, 30)
         for sheet_no, sheet in enumerate(sheets):
             link = next(v for k, v in sheet.attrib.items() if local(k) == "id")
             with book.open(links[link]) as part:
+                number = 0
                 for _, node in ElementTree.iterparse(part):
                     if local(node.tag) != "row":
                         continue
@@ -64,9 +104,12 @@ def _decoder():
                             value = "True" if value == "1" else "False"
                         elif kind == "e":
                             value = None
+                        elif kind in (None, "n") and value is not None:
+                            value = dated(value, base) if cell.get("s") in dates else exact(value)
                         cells[at] = value
+                    number = int(node.get("r", number + 1))  # the number may be left out
                     if any(c not in (None, "") for c in cells):
-                        yield sheet_no, sheet.get("name"), int(node.get("r", 0)), cells
+                        yield sheet_no, sheet.get("name"), number, cells
                     node.clear()
 
     return decode
@@ -97,28 +140,33 @@ def workbook_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.mapInPandas(run, _ROWS)
 
 
-def sheet_summary(rows: DataFrame) -> DataFrame:
-    """Per workbook: sheet names in order, header cells of the first sheet, and a decoding error."""
+def sheet_summary(rows: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Per workbook: sheet names in order, header cells of the first (or the named) sheet, and an error."""
     heads = rows.groupBy("path", "sheet_no", "sheet").agg(F.min_by("cells", "row_no").alias("header"))
     return heads.groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("sheet_no", "sheet", "header"))).alias("_s")
     ).select(
         "path",
         F.transform(F.filter("_s", lambda s: s.sheet_no >= 0), lambda s: s.sheet).alias("sheets"),
-        F.get(F.filter("_s", lambda s: s.sheet_no >= 0), F.lit(0)).header.alias("header"),
-        F.get(F.get(F.filter("_s", lambda s: s.sheet_no < 0), F.lit(0)).header, F.lit(0)).alias("error"),
+        F.get(F.filter("_s", lambda s: (s.sheet == sheet) if sheet else (s.sheet_no >= 0)), F.lit(0)).header.alias("header"),
+        F.coalesce(
+            F.get(F.get(F.filter("_s", lambda s: s.sheet_no < 0), F.lit(0)).header, F.lit(0)),
+            F.when(~F.exists("_s", lambda s: s.sheet == sheet), F.lit(f"no sheet named {sheet}")) if sheet else F.lit(None),
+        ).alias("error"),
     )
 
 
 def scan_workbook(rows: DataFrame, paths: Sequence[str], headers: list[str], sheet: str | None = None) -> DataFrame:
     """Rows of the first (or the named) sheet of workbooks that share a header, with `_row`."""
-    chosen = rows.filter(F.col("path").isin(*paths))
+    wanted = rows.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+    chosen = rows.join(wanted, "path", "left_semi")
     chosen = chosen.filter(F.col("sheet") == sheet) if sheet else chosen.filter("sheet_no = 0")
     top = chosen.groupBy("path").agg(F.min("row_no").alias("_top"))
     parts = F.split("path", "/")
-    return chosen.join(F.broadcast(top), "path").filter("row_no > _top").select(
+    return attach(chosen, top, ["path"], how="inner").filter("row_no > _top").select(
         *[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(len(headers))],
         (F.col("row_no") - F.col("_top") - 1).alias(PLACE[0]),
         F.element_at(parts, -1).alias(PLACE[1]),
         F.element_at(parts, -2).alias(PLACE[2]),
+        F.col("path").alias(PLACE[3]),
     )
