@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.config import Matching
+from tallyframe.errors import SchemaMismatchError
 from tallyframe.functions.similarity import can_reach, sorted_name_score
 from tallyframe.functions.text import blank, strip, token_sort
 from tallyframe.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, first_row, fits_broadcast
@@ -165,7 +166,7 @@ def fuzzy_match(
     scored = (
         pairs.filter(can_reach("_crm_name", "_name", "_thr"))
         .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))
-        .filter(F.col("score") >= F.col("_thr"))
+        .filter((F.col("score") >= F.col("_thr")) & (F.col("score") > 0))
     )
     best = scored.groupBy(*block, "_name", "_thr", "_shared_id").agg(
         F.max(F.struct("score", (-F.col("crm_order")).alias("_neg"))).alias("_best")
@@ -219,12 +220,13 @@ def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, s
     t = min(t, 1.0)
     sizes = named.groupBy(*block).agg(F.count(F.lit(1)).alias("_masters"))
     asked = queries.groupBy(*block).agg(F.count(F.lit(1)).alias("_asked"))
-    large = F.col("_masters") > policy.hot_block
+    # at a threshold of 0 no part of a name need be shared, so blocks stay whole and are only sliced
+    large = (F.col("_masters") > policy.hot_block) & F.lit(t > 0)
     slices = F.ceil(F.col("_masters") * F.col("_asked") / policy.task_pairs).cast("int")
     special = (
         sizes.join(asked, block)
         .filter(large | (slices > 1))
-        .select(*block, large.alias("_large"), F.when(large, 1).otherwise(slices).alias("_slices"))
+        .select(*block, large.alias("_large"), slices.alias("_slices"))
     )
     whole = F.array(F.lit(""))
     count = F.coalesce("_slices", F.lit(1))
@@ -235,17 +237,26 @@ def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, s
     asking = (
         attach(queries, special, block, "left", small)
         .withColumn("_slice", F.pmod(F.xxhash64("_name"), count).cast("int"))
-        .withColumn("_tag", tags(query_segments("_name", t)))
+        .withColumn("_tag", tags(query_segments("_name", t) if t > 0 else whole))
     )
     offered = (
         attach(named, special, block, "left", small)
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), count - 1)))
-        .withColumn("_tag", tags(master_segments("_crm_name", t)))
+        .withColumn("_tag", tags(master_segments("_crm_name", t) if t > 0 else whole))
     )
     helpers = ("_large", "_slices")
     return attach(asking.drop(*helpers), offered.drop(*helpers), [*block, "_slice", "_tag"], "inner")
 
 
+def check_order(crm: DataFrame) -> None:
+    """Refuse a master table whose rows `crm_order` does not tell apart: it names a winner's row."""
+    if "crm_order" not in crm.columns:
+        raise SchemaMismatchError("The master table needs crm_order, a number per row")
+    wrong = crm.groupBy("crm_order").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR crm_order IS NULL").limit(1).collect()
+    if wrong:
+        raise SchemaMismatchError(f"crm_order must be unique and not null: {wrong[0]['crm_order']} occurs {wrong[0]['n']} times")
+
+
 def align(
     reports: DataFrame,
     crm: DataFrame,
@@ -258,6 +269,7 @@ def align(
     The key join is materialised once: the matched rows are read from there and never move
     again, the few others go through the fuzzy step.
     """
+    check_order(crm)
     exact = cut(exact_match(reports, crm, matching.primary_key))
     found = F.col("crm").isNotNull()
     route = "EXACT_" + matching.primary_key.upper()
