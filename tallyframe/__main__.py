@@ -12,13 +12,15 @@ from tallyframe.errors import ReconError
 from tallyframe.operators import metrics
 from tallyframe.operators.skew import SESSION_SETTINGS
 from tallyframe.plans.run import run
+from tallyframe.sources.files import expand
 from tallyframe.sources.sinks import summary_text
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallyframe")
     parser.add_argument("--crm", required=True, help="master file")
-    parser.add_argument("--reports", required=True, nargs="+", help="report files")
+    parser.add_argument("--reports", required=True, nargs="+", help="report files, or folders of them")
+    parser.add_argument("--sheet", help="sheet to read in workbooks, else the first")
     parser.add_argument("--config", help="YAML settings")
     parser.add_argument("--output", help="folder of the results")
     args = parser.parse_args(argv)
@@ -30,7 +32,8 @@ def main(argv: list[str] | None = None) -> int:
         config = load_config(args.config) if args.config else ReconConfig()
         if args.output:
             config = replace(config, output_directory=args.output)
-        done = run(spark, args.crm, args.reports, config, run_ts=datetime.now(UTC).isoformat().replace("+00:00", "Z"))
+        done = run(spark, args.crm, expand(spark, args.reports), config, sheet=args.sheet,
+                   run_ts=datetime.now(UTC).isoformat().replace("+00:00", "Z"))
         types = metrics.breakdown_by_type(done.result.discrepancies).collect()
         print(summary_text(done.summary.first().asDict(), [(r["discrepancy_type"], r["count"]) for r in types]))
         return 0

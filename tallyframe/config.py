@@ -56,6 +56,7 @@ class Reporting:
     default_output_formats: Names = ()
     formats: Names | None = None
     redact_sensitive_fields: bool = True
+    redaction_key: str = ""
     severity_mappings: dict[str, str] = field(default_factory=dict)
 
 

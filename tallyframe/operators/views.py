@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.config import ReconConfig
 from tallyframe.functions import normalize as N
@@ -338,25 +339,75 @@ def action_list(discrepancies: DataFrame, duplicates: DataFrame | None = None, f
     return rows.withColumn("rank", rank).orderBy("rank", "field_record", "source", "found_value", "should_be")
 
 
+def _masked_pan(c: Column) -> Column:
+    return F.regexp_replace(c, r"\b([A-Z]{5})[0-9]{4}([A-Z])\b", "$1****$2")
+
+
+def _masked_email(c: Column) -> Column:
+    return F.regexp_replace(c, r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", "$1****@")
+
+
+def _masked_mobile(c: Column) -> Column:
+    return F.regexp_replace(c, r"\b[0-9]{6}([0-9]{4})\b", "******$1")
+
+
+def _masked_number(c: Column) -> Column:
+    """All but the last four letters or digits; shorter values whole."""
+    return F.when(F.length(c) > 4, F.concat(F.repeat(F.lit("*"), F.length(c) - 4), F.right(c, F.lit(4)))).otherwise(
+        F.repeat(F.lit("*"), F.length(c)))
+
+
+def _masked_text(c: Column) -> Column:
+    return _masked_mobile(_masked_email(_masked_pan(c)))
+
+
+def _masked_cell(c: Column) -> Column:
+    """A raw cell: identifiers as files write them, in any case and with blanks, dashes or a country code."""
+    loose = F.regexp_replace(c, r"(?i)\b([A-Z]{5})[-/ ]?[0-9]{4}[-/ ]?([A-Z])\b", "$1****$2")
+    digits = F.regexp_replace(c, r"\D", "")
+    only_number = c.rlike(r"^[+0-9][-+0-9 ()./]*(?:\.0)?$") & (F.length(digits) >= 9)
+    return F.when(only_number, _masked_number(digits)).otherwise(_masked_text(loose))
+
+
+MASKS = {"pan": _masked_pan, "email": _masked_email, "mobile": _masked_mobile, "bank_account": _masked_number}
+FREE_TEXT = ("crm_value", "report_value", "explanation", "message", "found_value", "should_be", "value", "issue", "reason")
+
+
+def _masked(name: str, c: Column, dtype: T.DataType) -> Column | None:
+    """The masked form of a column of any type, None if nothing in it can identify a client."""
+    if isinstance(dtype, T.StringType):
+        if name in MASKS:
+            return MASKS[name](c)
+        return _masked_text(c) if name in FREE_TEXT else None
+    if isinstance(dtype, T.MapType) and name == "raw_data":
+        return F.transform_values(c, lambda _, v: _masked_cell(v))
+    if isinstance(dtype, T.StructType):
+        fields = [(f.name, _masked(f.name, c[f.name], f.dataType)) for f in dtype.fields]
+        if any(m is not None for _, m in fields):
+            whole = F.struct(*[(c[n] if m is None else m).alias(n) for n, m in fields])
+            return F.when(c.isNotNull(), whole)
+    return None
+
+
 def redact(df: DataFrame) -> DataFrame:
-    """Mask PAN, e-mail and mobile: in their own columns, in compared values and in texts."""
-    def pan(c: Column) -> Column:
-        return F.regexp_replace(c, r"\b([A-Z]{5})[0-9]{4}([A-Z])\b", "$1****$2")
-
-    def email(c: Column) -> Column:
-        return F.regexp_replace(c, r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", "$1****@")
-
-    def mobile(c: Column) -> Column:
-        return F.regexp_replace(c, r"\b[0-9]{6}([0-9]{4})\b", "******$1")
-
-    masks = {"pan": pan, "email": email, "mobile": mobile}
-    out = {}
-    for name in df.columns:
-        if name in masks:
-            out[name] = masks[name](F.col(name))
-        elif name in ("crm_value", "report_value", "explanation", "message"):
-            out[name] = mobile(email(pan(F.col(name))))
-    return df.withColumns(out)
+    """Mask PAN, e-mail, mobile and bank account: in their own columns, also nested ones, in compared
+    values, in texts and in raw cells. The last step before a table leaves the run."""
+    out = {f.name: _masked(f.name, F.col(f.name), f.dataType) for f in df.schema.fields}
+    return df.withColumns({name: c for name, c in out.items() if c is not None})
+
+
+def masked_export(name: str, df: DataFrame) -> Column:
+    """A column of a flat export, masked by its name or else as text a client may be named in."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.StringType) or name in ("file_name", "run_id"):
+        return F.col(name)
+    mask = MASKS.get(name, _masked_text)
+    return mask(F.col(name)).alias(name)
+
+
+def pan_key(pan: Column, key: str) -> Column:
+    """Keyed hash of a PAN, to find a client's rows in masked tables."""
+    return F.sha2(F.concat(F.lit(key), F.lit(":"), F.upper(F.trim(pan))), 256)
 
 
 def search(discrepancies: DataFrame, text: str = "", severity: str = "ALL", source: str = "ALL") -> DataFrame:

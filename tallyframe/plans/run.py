@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -55,12 +56,14 @@ def prepare(
     """Everything between parsing and matching. `kind` is "crm" or "report"."""
     parsed = cut(parsed if kind == "report" else parsed.withColumn("source", F.lit("CRM")))
     accepted, rejected = split_parsed(parsed)
-    good, refused = split_normalized(normalize(accepted, keep_extended))
+    # the many patterns of normalisation and of the rules are evaluated once per row
+    normal = cut(normalize(accepted, keep_extended))
+    good, refused = split_normalized(normal)
     if kind == "crm":
         profiles = Profiles({"CRM": config.sources.get("CRM", DEFAULT_CRM_PROFILE)}, DEFAULT_CRM_PROFILE)
     else:
         profiles = Profiles(config.sources, DEFAULT_REPORT_PROFILE)
-    checked = with_failures(good, profiles)
+    checked = cut(with_failures(good, profiles, config.validation))
     passed, failed = split_valid(checked)
     copies = duplicates(passed, kind)
     valid = cut(dedup_first(passed, kind))
@@ -82,28 +85,41 @@ def prepare(
     return Prepared(parsed, checked, copies, valid, dlq.select(*DLQ))
 
 
-def _read(spark: SparkSession, probe: Row, group: Sequence[str], source: str, header: list[str], books) -> DataFrame:
+def _read(
+    spark: SparkSession, probe: Row, group: Sequence[str], source: str, header: list[str], books, sheet: str | None
+) -> DataFrame:
     if probe.zipped:
-        raw = workbook.scan_workbook(books, group, header)
+        raw = workbook.scan_workbook(books, group, header, sheet)
     else:
         raw = files.scan_csv(spark, group, header)
     return parse_table(raw, source, headers=header)
 
 
-def _workbooks(spark: SparkSession, probes: Sequence[Row], cut) -> tuple[DataFrame | None, dict[str, Row]]:
+def _workbooks(
+    spark: SparkSession, probes: Sequence[Row], cut, sheet: str | None
+) -> tuple[DataFrame | None, dict[str, Row]]:
+    """Rows of all workbooks, and their summaries by the path that was given."""
     zipped = [p.path for p in probes if p.zipped]
     if not zipped:
         return None, {}
     rows = cut(workbook.workbook_rows(spark, zipped))
-    return rows, {_tail(r.path): r for r in workbook.sheet_summary(rows).collect()}
+    found = {_plain(r.path): r for r in workbook.sheet_summary(rows, sheet).collect()}
+    # the scan names a file by its full path, the caller perhaps by a relative one or without a scheme
+    out = {}
+    for path in zipped:
+        hits = [r for k, r in found.items() if k == _plain(path) or k.endswith("/" + _plain(path).removeprefix("./"))]
+        out[path] = min(hits, key=lambda r: len(r.path)) if hits else None
+    return rows, out
 
 
-def _tail(path: str) -> tuple[str, ...]:
-    return tuple(path.rstrip("/").split("/")[-2:])
+def _plain(path: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path.rstrip("/"))
 
 
-def load_crm(spark: SparkSession, path: str, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """Parsed master file; any problem with the file itself is fatal."""
+def load_crm(
+    spark: SparkSession, path: str, cut: Callable[[DataFrame], DataFrame] = written, sheet: str | None = None
+) -> DataFrame:
+    """Parsed master file; any problem with the file itself is fatal. `sheet` names a workbook's sheet."""
     probe = files.probe(spark, [path]).first()
     if not probe.readable:
         raise FileAccessError(f"CRM master file does not exist: {path}")
@@ -112,9 +128,11 @@ def load_crm(spark: SparkSession, path: str, cut: Callable[[DataFrame], DataFram
     suffix = "." + probe.file_name.rsplit(".", 1)[-1].lower()
     if suffix not in (".csv", ".xlsx", ".xls"):
         raise ParserError(f"Unsupported file type: {suffix}")
-    books, info = _workbooks(spark, [probe], cut)
+    books, info = _workbooks(spark, [probe], cut, sheet)
     if probe.zipped:  # also a workbook that is named .csv
-        summary = info[_tail(books.first().path)]
+        summary = info[path]
+        if summary is None or not summary.header and not summary.error:
+            raise ParserError(f"CRM file is empty: {probe.file_name}")
         if summary.error:
             raise ParserError(f"Failed to load Excel file structure: {summary.error}")
         header, group = [str(h).strip() for h in summary.header], [summary.path]
@@ -122,11 +140,11 @@ def load_crm(spark: SparkSession, path: str, cut: Callable[[DataFrame], DataFram
         raise ParserError(f"Failed to load Excel file structure: {probe.file_name}")
     else:
         header, group = files.split_header(probe.header_line), [path]
-    return _read(spark, probe, group, "CRM", header, books)
+    return _read(spark, probe, group, "CRM", header, books, sheet)
 
 
 def load_reports(
-    spark: SparkSession, paths: Sequence[str], cut: Callable[[DataFrame], DataFrame] = written
+    spark: SparkSession, paths: Sequence[str], cut: Callable[[DataFrame], DataFrame] = written, sheet: str | None = None
 ) -> tuple[DataFrame, list[tuple]]:
     """Parsed rows of all report files, and (file_name, source, failure_type, message) of the files
     that cannot be used. Files with the same source and header are read by one scan."""
@@ -134,12 +152,12 @@ def load_reports(
     gone = [p.path for p in probes if not p.readable]
     if gone:
         raise FileAccessError(f"Report file does not exist: {gone[0]}")
-    books, info = _workbooks(spark, probes, cut)
+    books, info = _workbooks(spark, probes, cut, sheet)
 
     failed: list[tuple] = []
     facts = []
     for p in probes:
-        summary = info.get(_tail(p.path)) if p.zipped else None
+        summary = info.get(p.path)
         names = p.file_name.lower()
         if names.endswith(".csv") and (p.zipped or p.size_seen == 0 or not p.header_line):
             why = "not delimited text" if p.zipped else "No columns to parse from file"
@@ -182,14 +200,12 @@ def load_reports(
                 failed.append((d.file_name, d.source, "PARSER_ERROR", str(err)))
     parts = []
     for (source, _, header), group in groups.items():
-        members = [info[_tail(g)].path for g in group] if by_path[group[0]].zipped else group
-        parts.append(_read(spark, by_path[group[0]], members, source, list(header), books))
+        members = [info[g].path for g in group] if by_path[group[0]].zipped else group
+        parts.append(_read(spark, by_path[group[0]], members, source, list(header), books, sheet))
     if texts:
-        lines, _ = files.numbered_lines(spark, texts)
-        name, parent = files.place(F.col("_path"))
-        parts.append(statements.parse_statements(
-            lines.select(name.alias("file_name"), parent.alias("file_id"), "line_no", "line")
-        ))
+        name, parent, path = files.place(F.col("_path"))
+        parts.append(statements.parse_statements(files.numbered_lines(spark, texts).select(
+            name.alias("file_name"), parent.alias("file_id"), path.alias("file_path"), "line_no", "line")))
     if not parts:
         empty = struct_type(REPORT).simpleString()[len("struct<"):-1]
         parts = [spark.createDataFrame([], f"struct<{empty},row_number:bigint,raw_data:map<string,string>,reasons:array<string>>")]
@@ -207,20 +223,27 @@ def run(
     policy: SkewPolicy = DEFAULT_POLICY,
     write: bool = True,
     cut: Callable[[DataFrame], DataFrame] = written,
+    sheet: str | None = None,
 ) -> RunResult:
-    """Reconcile report files against a master file and write the configured outputs."""
+    """Reconcile report files against a master file and write the configured outputs.
+
+    `sheet` names the sheet to read in workbooks, else it is the first one.
+    """
     run_id = run_id or str(uuid.uuid4())
     crm_path, report_paths = str(crm_path), [str(p) for p in report_paths]
-    crm = prepare(load_crm(spark, crm_path, cut), "crm", config, keep_extended, cut)
-    parsed, failures = load_reports(spark, report_paths, cut)
+    # hashed first, so that the hashes are of what is then read; a row per named file
+    marks = {m.path: m for m in files.fingerprint_readable(spark, [crm_path, *report_paths]).collect()}
+    crm = prepare(load_crm(spark, crm_path, cut, sheet), "crm", config, keep_extended, cut)
+    parsed, failures = load_reports(spark, report_paths, cut, sheet)
     reports = prepare(parsed, "report", config, keep_extended, cut)
     result = reconcile(crm.valid, conform(reports.valid, REPORT), config, run_ts, policy, cut)
     dlq = cut(crm.dlq.unionByName(reports.dlq))
     failed_files = sinks.failed_files_table(spark, failures)
     summary = metrics.summary_metrics(crm.parsed, reports.parsed, result.matched, result.discrepancies, dlq, failed_files)
 
-    marks = {m.path: m for m in files.fingerprint(spark, [crm_path, *report_paths]).collect()}  # a row per named file
-    hashes = [F.lit(x) for p in report_paths for x in (marks[p].file_name, marks[p].sha256)]
+    named = [m.file_name for p, m in marks.items() if p in report_paths]
+    hashes = [F.lit(x) for p in dict.fromkeys(report_paths)
+              for x in (marks[p].file_name if named.count(marks[p].file_name) == 1 else p, marks[p].sha256)]
     metadata = summary.select(
         F.lit(run_id).alias("run_id"), F.lit(run_ts).alias("timestamp"),
         F.lit(marks[crm_path].sha256).alias("crm_file_hash"),
@@ -237,35 +260,64 @@ def run(
 
 
 def write_outputs(out: RunResult, config: ReconConfig) -> list[str]:
-    """Result tables as Parquet, plus the configured formats. Returns the formats written."""
+    """Result tables as Parquet, plus the configured formats. Returns the formats written.
+
+    All views are computed from clear values; each table is masked as its last step.
+    """
     found, audits = out.result.discrepancies, out.result.matched_audits
-    if config.reporting.redact_sensitive_fields:
-        found, audits = views.redact(found), views.redact(audits)
+    secret = config.reporting.redact_sensitive_fields
     folder, formats = str(config.output_directory), sinks.output_formats(config)
+
+    def shown(df: DataFrame) -> DataFrame:
+        return views.redact(df) if secret else df
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """With the keyed hash by which a client's rows are found."""
+        pan = F.col("pan") if "pan" in df.columns else F.col("crm.pan") if "crm" in df.columns else None
+        return shown(df if pan is None else df.withColumn("pan_key", views.pan_key(pan, config.reporting.redaction_key)))
+
+    def exported(df: DataFrame) -> DataFrame:
+        """Exports carry identifiers under other names as well."""
+        return df.select(*[views.masked_export(c, df) for c in df.columns]) if secret else df
+
+    clear = written(found)
     tables = {
-        "discrepancies": found, "matched_audits": audits, "aligned": out.result.aligned,
+        "discrepancies": clear, "matched_audits": audits, "aligned": out.result.aligned,
         "missing_in_report": out.result.missing_in_report, "dlq": out.dlq, "failed_files": out.failed_files,
+        "parse_counts": metrics.parse_counts(out.reports.parsed, ("file_path", "file_id", "file_name")),
+        "validation_counts": metrics.validation_counts(
+            out.reports.checked, out.reports.valid, ("file_path", "file_id", "file_name")),
     }
-    sinks.write_tables(tables, folder, out.run_id)
-    stored = out.crm.valid.sparkSession.read.schema(found.schema).parquet(
-        f"{folder}/tables/discrepancies/run_id={out.run_id}"
-    )
+    sinks.write_tables({name: keyed(df) for name, df in tables.items()}, folder, out.run_id)
     if "csv" in formats:
-        sinks.write_csv({
-            "discrepancies": sinks.discrepancy_export(stored),
+        sinks.write_csv({name: exported(df) for name, df in {
+            "discrepancies": sinks.discrepancy_export(clear),
             "matched": sinks.matched_export(out.result.matched),
             "unmatched": sinks.unmatched_export(out.result.missing_in_crm, out.result.missing_in_report),
             "failed_files": out.failed_files,
-        }, folder, out.run_id)
+        }.items()}, folder, out.run_id)
     if "json" in formats:
         sinks.write_json(out.summary, {
-            "discrepancies": stored.drop("phase", "field_no"), "failed_files": out.failed_files, "matched_audits": audits,
+            "discrepancies": shown(clear.drop("phase", "field_no")), "failed_files": out.failed_files,
+            "matched_audits": shown(audits),
         }, folder, out.run_id)
     if "excel" in formats or "xlsx" in formats:
+        copies = out.reports.duplicates
         sheets = {
             "reconciliation": views.field_matrix_long(out.result.aligned, config),
-            "errors_actions": views.action_list(stored, out.reports.duplicates),
-            "key_issues": metrics.key_issues(stored).select("issue", "occurrences"),
+            "errors_actions": views.action_list(clear, copies),
+            "key_issues": metrics.key_issues(clear).select("issue", "occurrences"),
+            "clean_sources": metrics.clean_sources(out.result.matched, clear),
         }
-        sinks.write_csv({f"sheets/{name}": df for name, df in sheets.items()}, folder, out.run_id)
+        sinks.write_csv({f"sheets/{name}": exported(df) for name, df in sheets.items()}, folder, out.run_id)
     return formats
+
+
+def stored_client(
+    spark: SparkSession, folder: str, run_id: str, pans: Sequence[str], table: str = "discrepancies", key: str = ""
+) -> DataFrame:
+    """The rows of some clients in a table of a stored run, masked or not. `key`: the run's `redaction_key`."""
+    rows = spark.read.parquet(f"{folder}/tables/{table}/run_id={run_id}")
+    wanted = spark.createDataFrame([(p,) for p in {p.strip().upper() for p in pans if p.strip()}], "pan string")
+    wanted = wanted.select(views.pan_key(F.col("pan"), key).alias("pan_key"))
+    return rows.join(F.broadcast(wanted), "pan_key", "left_semi")
