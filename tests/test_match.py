@@ -230,3 +230,13 @@ def test_hot_key_is_split_over_tasks(spark):
         for k in settings:
             spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_master_rows_need_a_unique_order(spark):
+    from tallyframe.errors import SchemaMismatchError
+    from tallyframe.operators.match import check_order
+
+    check_order(spark.range(5).withColumnRenamed("id", "crm_order"))
+    for bad in (spark.range(5), spark.sql("SELECT 1L AS crm_order UNION ALL SELECT 1L"), spark.sql("SELECT CAST(NULL AS BIGINT) AS crm_order")):
+        with pytest.raises(SchemaMismatchError, match="crm_order"):
+            check_order(bad)

@@ -182,3 +182,83 @@ def test_config(tmp_path):
         load_config(tmp_path / "bad.yaml")
     with pytest.raises(ConfigurationError):
         config_from_dict({"engine": {"amount_epsilon": "x"}})
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    """Each file is de-duplicated by itself, delimited and workbook alike."""
+    from test_sources import xlsx
+
+    (tmp_path / "crm.csv").write_text(CRM)
+    head, row = CAMS.splitlines()[:2]
+    paths = []
+    for month in ("jan", "feb"):
+        folder = tmp_path / month / "reports"
+        folder.mkdir(parents=True)
+        (folder / "cams.csv").write_text(f"{head}\n{row}\n")
+        pan = "ABCDE1234B" if month == "jan" else "ABCDE1234C"
+        xlsx(folder / "cams2.xlsx", {"S": [["PAN", "Investor Name", "Folio Number"], [pan, f"Name {month}", "F9"]]})
+        paths += [folder / "cams.csv", folder / "cams2.xlsx"]
+    r = run(spark, tmp_path / "crm.csv", paths, standard_config(), write=False)
+    got = sorted((x.pan, x.file_name) for x in r.reports.valid.collect())
+    assert got == [("ABCDE1234A", "cams.csv")] * 2 + [("ABCDE1234B", "cams2.xlsx"), ("ABCDE1234C", "cams2.xlsx")]
+    assert r.metadata.first().failed_files_count == 0 and len(r.metadata.first().report_file_hashes) == 4
+
+
+@pytest.fixture(scope="module")
+def masked(done, tmp_path_factory):
+    from tallyframe.plans.run import write_outputs
+
+    config = replace(done[1], output_directory=str(tmp_path_factory.mktemp("masked")),
+                     reporting=replace(done[1].reporting, redact_sensitive_fields=True, redaction_key="k"))
+    write_outputs(done[0], config)
+    return done[0], config
+
+
+def test_masked_run_leaves_no_clear_identifier(spark, masked):
+    """Every written file, searched for the identifiers of the input."""
+    import pathlib
+    import re
+
+    folder = pathlib.Path(masked[1].output_directory)
+    names = [p for p in folder.rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+    texts = [p.read_text() for p in names if p.suffix in (".csv", ".json")]
+    for p in names:
+        if p.suffix == ".parquet":
+            texts.append(str([r.asDict(True) for r in spark.read.parquet(str(p)).collect()]))
+    assert len(texts) > 10
+    clear = re.compile(r"ABCDE1234[A-E]|ZZZZZ[89]{4}Z|98765000\d\d|9111111112|(?i:asha|bala|chitra|dev|other)@x\.org")
+    assert [clear.search(t)[0] for t in texts if clear.search(t)] == []
+
+
+def test_stored_client_is_found_in_masked_tables(spark, masked):
+    from tallyframe.plans.run import stored_client
+
+    result, config = masked
+    rows = stored_client(spark, config.output_directory, "r1", [" abcde1234b "], key="k")
+    clear = result.result.discrepancies.filter("pan = 'ABCDE1234B'")
+    assert rows.count() == clear.count() > 0 and {r.pan for r in rows.collect()} == {"ABCDE****B"}
+    assert stored_client(spark, config.output_directory, "r1", ["ABCDE1234B"], "aligned", "k").count() > 0
+    assert stored_client(spark, config.output_directory, "r1", ["ABCDE1234B"], key="other").count() == 0
+
+
+def test_masking_does_not_merge_findings(spark, masked):
+    result, config = masked
+    sheet = spark.read.option("header", True).csv(f"{config.output_directory}/csv/sheets/errors_actions/run_id=r1")
+    clear = views.action_list(result.result.discrepancies, result.reports.duplicates)
+    assert sheet.count() == clear.count()
+
+
+def test_counts_per_file_are_written(spark, done):
+    _, config = done
+    counts = spark.read.parquet(f"{config.output_directory}/tables/parse_counts/run_id=r1")
+    assert {(r.file_name, r.total_rows) for r in counts.collect()} == {("cams.csv", 6), ("bse.csv", 1), ("stmt.pdf", 1)}
+
+
+def test_allowed_statuses_reach_a_run(spark, files):
+    from tallyframe.config import Validation
+
+    config = standard_config()
+    cams = replace(config.sources["CAMS"], validations=("kyc_status",))
+    config = replace(config, sources={**config.sources, "CAMS": cams}, validation=Validation(allowed_kyc_statuses=("PENDING",)))
+    r = run(spark, files / "crm.csv", [files / "cams.csv"], config, write=False)
+    assert r.dlq.filter("stage = 'validate' AND field_name = 'kyc_status'").count() > 0

@@ -220,3 +220,89 @@ def test_parse_statements(spark):
     assert a.missing_fields == ["email", "kyc_status", "fatca_status", "investor_status", "last_transaction_date"]
     assert b.is_minor_account and b.pan == "ABCDE1234G" and float(b.total_amount) == 0
     assert [(r.row_number, r.reason) for r in bad.collect()] == [(3, "Missing required fields: PAN")]
+
+
+def test_changed_split_layout_loses_no_row(spark, tmp_path):
+    """The number of splits may change between building and running a plan, as executors come and go."""
+    path = tmp_path / "big.csv"
+    path.write_text("PAN,Name\n" + "".join(f"P{i},N{i}\n" for i in range(60_000)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+    try:
+        df = files.scan_csv(spark, [str(path)], ["PAN", "Name"])
+        spark.conf.set("spark.sql.files.minPartitionNum", "9")
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 60_000 and all(r._c0 == f"P{r._row}" for r in rows)
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_quoted_line_ends_over_splits_match_the_csv_module(spark, tmp_path, split):
+    import csv
+    import io
+
+    rng = random.Random(split)
+    text, cells = io.StringIO(), ["plain", "two\nlines", 'say "hi"', 'a,b', "", "x\n\ny", 'end"', "\n"]
+    writer = csv.writer(text, lineterminator="\n")
+    writer.writerow(["PAN", "Name", "More"])
+    for i in range(400):
+        writer.writerow([f"P{i}", rng.choice(cells), rng.choice(cells)])
+    body = text.getvalue() + 'P400,SHOP 5" PIPE,stray\n\n' + "".join(f"P{i},n,m\n" for i in range(401, 500))
+    path = tmp_path / "q.csv"
+    path.write_text(body)
+    want = [r for r in csv.reader(io.StringIO(body)) if r][1:]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = files.scan_csv(spark, [str(path)], ["PAN", "Name", "More"])
+        got = [[r._c0, r._c1 or "", r._c2 or ""] for r in sorted(df.collect(), key=lambda r: r._row)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 500 and [r[0] for r in got] == [r[0] for r in want]
+    assert [[c.strip() for c in r] for r in got] == [[c.strip() for c in r] for r in want]
+
+
+def test_header_of_any_length(spark, tmp_path):
+    names = [f"column {i}" for i in range(9000)]
+    (tmp_path / "long.csv").write_text("\n" * 70_000 + ",".join(names) + "\n1\n")
+    (tmp_path / "lines.csv").write_text('PAN,"Investor\nName",x\nA,B,C\n')
+    (tmp_path / "stray.csv").write_text('PAN,5" pipe\nA,B\n')
+    got = {r.file_name: r for r in files.probe(spark, [str(tmp_path / n) for n in ("long.csv", "lines.csv", "stray.csv")]).collect()}
+    assert files.split_header(got["long.csv"].header_line)[-1] == "column 8999"
+    assert files.split_header(got["lines.csv"].header_line) == ["PAN", "Investor\nName", "x"]
+    assert got["stray.csv"].header_line == 'PAN,5" pipe'
+
+
+def test_workbook_cell_kinds(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="A" sheetId="1" r:id="rId1"/><sheet name="B" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in (1, 2)) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.00&quot; days&quot;"/></numFmts>'
+                   '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>H</t></is></c></row>'
+                   '<row><c><v>9.87654321E9</v></c><c s="1"><v>33000</v></c><c s="2"><v>45000.5</v></c><c s="3"><v>12.5</v></c><c s="1"><v>59</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>7</v></c></row><row r="2"><c r="A2"><v>1E-3</v></c></row></sheetData></worksheet>')
+    rows = workbook.workbook_rows(spark, [str(tmp_path / "b.xlsx")])
+    path = [rows.first().path]
+    got = workbook.scan_workbook(rows, path, ["a", "b", "c", "d", "e"]).collect()
+    assert [(r._c0, r._c1, r._c2, r._c3, r._c4, r._row) for r in got] == [("9876543210", "1990-05-07", "2023-03-15 12:00:00", "12.5", "1900-02-28", 0)]
+    assert workbook.scan_workbook(rows, path, ["a"], "B").first()._c0 == "0.001"
+    assert workbook.sheet_summary(rows, "B").first().header == ["7"]
+    assert workbook.sheet_summary(rows, "C").first().error == "no sheet named C"
+
+
+def test_statement_with_no_break_spaces(spark):
+    text = ["Investor\u00a0Name\u00a0: X", "Investor Name\u00a0:\u00a0Asha Rao", "PAN\u00a0: ABCDE1234F"]
+    df = spark.createDataFrame([("in", "s.pdf", i, t) for i, t in enumerate(text)], "file_id string, file_name string, line_no bigint, line string")
+    assert [r.investor_name for r in statements.parse_statements(df).orderBy("raw_row_index").collect()] == ["X", "Asha Rao"]
+
+
+def test_folders_are_expanded(spark, tmp_path):
+    for n in ("a.csv", "b.txt", "c.xlsx"):
+        (tmp_path / n).write_text("x")
+    got = files.expand(spark, [str(tmp_path), "elsewhere/z.csv"])
+    assert [p.rsplit("/", 1)[1] for p in got] == ["a.csv", "c.xlsx", "z.csv"]

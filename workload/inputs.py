@@ -8,7 +8,7 @@ CRM_SQL = """
 SELECT CAST(c_custkey AS STRING) AS crm_client_id, CAST(c_custkey AS BIGINT) AS crm_order,
   concat('CUST', chr(CAST(65 + c_custkey % 26 AS INT)), lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'),
          chr(CAST(65 + CAST(floor(c_custkey / 10000) AS BIGINT) % 26 AS INT))) AS pan,
-  concat(c_mktsegment, ' HOLDER ', lpad(CAST(c_custkey AS STRING), 6, '0')) AS investor_name,
+  concat(c_mktsegment, ' HOLDER ', lpad(CAST(c_custkey AS STRING), CAST(greatest(6, length(CAST(c_custkey AS STRING))) AS INT), '0')) AS investor_name,
   CASE WHEN c_custkey % 29 = 0 THEN NULL
        ELSE concat('9', lpad(CAST((c_custkey * 7919 + 1234567) % 1000000000 AS STRING), 9, '0')) END AS mobile,
   CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE concat('user', CAST(c_custkey AS STRING), '@example.com') END AS email,

@@ -483,10 +483,12 @@ def column_labels(spark, folder):
 @query("redact", f"""{FLOW}
 SELECT discrepancy_type, raw_row_index, concat(substring(pan, 1, 5), '****', substring(pan, 10, 1)) AS pan,
   CASE WHEN field_name = 'pan' THEN concat(substring(crm_value, 1, 5), '****', substring(crm_value, 10, 1)) ELSE crm_value END AS crm_value,
-  CASE WHEN field_name = 'pan' THEN concat(substring(report_value, 1, 5), '****', substring(report_value, 10, 1)) ELSE report_value END AS report_value
+  CASE WHEN field_name = 'pan' THEN concat(substring(report_value, 1, 5), '****', substring(report_value, 10, 1)) ELSE report_value END AS report_value,
+  regexp_replace(regexp_replace(regexp_replace(explanation, '\\b([A-Z]{{5}})[0-9]{{4}}([A-Z])\\b', '\\1****\\2', 'g'),
+    '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@', '\\1****@', 'g'), '\\b[0-9]{{6}}([0-9]{{4}})\\b', '******\\1', 'g') AS explanation
 FROM disc""")
 def redact(spark, folder):
-    return views.redact(flow(spark, folder).discrepancies).select("discrepancy_type", "raw_row_index", "pan", "crm_value", "report_value")
+    return views.redact(flow(spark, folder).discrepancies).select("discrepancy_type", "raw_row_index", "pan", "crm_value", "report_value", "explanation")
 
 
 @query("search", f"""{FLOW} SELECT discrepancy_type, pan, explanation FROM disc
