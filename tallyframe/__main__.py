@@ -14,6 +14,7 @@ from tallyframe.operators.skew import SESSION_SETTINGS
 from tallyframe.plans.run import run
 from tallyframe.sources.files import expand
 from tallyframe.sources.sinks import summary_text
+from tallyframe.storage import clear
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
                    run_ts=datetime.now(UTC).isoformat().replace("+00:00", "Z"))
         types = metrics.breakdown_by_type(done.result.discrepancies).collect()
         print(summary_text(done.summary.first().asDict(), [(r["discrepancy_type"], r["count"]) for r in types]))
+        clear(spark)
         return 0
     except ReconError as err:
         print(f"Error: {err}", file=sys.stderr)

@@ -56,7 +56,8 @@ def _score_udf():
 def sorted_name_score(left: Column, right: Column) -> Column:
     """Score of two names whose tokens are already sorted.
 
-    Equal names never leave the JVM; only unequal ones are sent to the Arrow scorer.
+    All pairs go through the Arrow scorer, equal ones at no more than a comparison; callers filter the
+    pairs by `can_reach` first.
     """
     return _score_udf()(left, right)
 

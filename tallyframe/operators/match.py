@@ -323,7 +323,8 @@ def is_incomplete() -> Column:
 def candidate_counts(reports: DataFrame, crm: DataFrame) -> DataFrame:
     """Distinct candidate clients of each report row by mobile, by e-mail and by either.
 
-    Counted per contact before the join; no pair of rows is formed.
+    Counted per contact before the join. Only clients with several master rows are paired with the
+    contacts asked for, through their mobiles.
     """
     def contact(c: Column) -> Column:
         return F.nullif(strip(c), F.lit(""))
