@@ -136,6 +136,8 @@ def reject_reasons(kind: str, amount_cell: Column | None) -> Column:
             F.when(amount_cell.isNull(),
                    F.lit("total_amount: Decimal input should be an integer, float, string or Decimal object"))
             .when(F.col("total_amount").isNull(), F.lit("total_amount: Input should be a valid decimal"))
+            # refused by name: a rounded value could pass or fail a strict comparison wrongly
+            .when(amount_cell.rlike(r"\.[0-9]{10}[0-9]*[1-9]"), F.lit("total_amount: more than 10 decimals"))
         )
     if kind == "CRM":
         typed.append(F.when(F.col("crm_client_id").isNull(), F.lit("crm_client_id: Input should be a valid string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,13 +237,13 @@ def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
 
 def field_matrix(
     long: DataFrame, pan: str, duplicates: DataFrame | None = None, all_files: DataFrame | None = None,
-    most_columns: int = 2000,
+    page: int = 0, per_page: int = 500,
 ) -> DataFrame:
     """Matrix of one client: a row per field, the CRM first and then a column per file and code.
 
     `duplicates` (rejected duplicate rows) come back as columns; files of `all_files` (source,
-    file_name) without a row of the client get an empty column. A client with more than
-    `most_columns` rows is refused: it can only be read in long form.
+    file_name) without a row of the client get an empty column. A page has at most `per_page` of
+    these columns, in the order of the whole matrix; the pages after the last have the CRM alone.
     """
     mine = long.filter(F.col("pan") == pan)
     mine = first_row(mine, ["field_no", "file_id", "file_name", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
@@ -268,17 +268,14 @@ def field_matrix(
             "field_no", _sheet_label(F.col("name")).alias("field"), no_value.alias("crm_value"), "column_label",
             "column_rank", "file_name", F.lit(-1).cast("bigint").alias("raw_row_index"), F.lit(DASH).alias("value"),
         ))
-    heads = (
-        cells.select("column_rank", "file_name", "raw_row_index", "column_label").distinct()
-        .orderBy("column_rank", "file_name", "raw_row_index").limit(most_columns + 1).collect()
-    )
-    if len(heads) > most_columns:
-        raise ValueError(f"{pan} has more than {most_columns} rows; use field_matrix_long")
-    keys = {(h.file_name, h.raw_row_index): h.column_label for h in heads}
-    names, taken = {}, {}
-    for key, label in keys.items():
-        taken[label] = taken.get(label, 0) + 1
-        names[key] = label if taken[label] == 1 else f"{label} #{taken[label]}"
+    place = ["column_rank", "file_name", "raw_row_index"]
+    heads = cells.groupBy(*place).agg(F.min("column_label").alias("column_label"))
+    # equal labels are numbered over the whole matrix
+    heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy("column_label").orderBy(*place)))
+    chosen = heads.orderBy(*place).offset(page * per_page).limit(per_page).collect()
+    names = {
+        (h.file_name, h.raw_row_index): h.column_label if h["_nth"] == 1 else f"{h.column_label} #{h['_nth']}" for h in chosen
+    }
 
     def column(key: tuple) -> Column:
         test = (F.col("file_name") == key[0]) & (F.col("raw_row_index") == key[1])

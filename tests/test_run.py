@@ -140,6 +140,8 @@ def test_matrix_and_actions(done):
     rows = {r.field: r for r in matrix.collect()}
     assert rows["Email"]["CRM (reference)"] == "bala@x.org" and rows["Email"]["CAMS/KFintech (code F2)"] == "other@x.org"
     assert len(matrix.columns) == 5  # field, CRM, the row and its two rejected copies
+    pages = [views.field_matrix(long, "ABCDE1234B", duplicates=result.reports.duplicates, page=k, per_page=2).columns[2:] for k in range(3)]
+    assert pages[0] + pages[1] == matrix.columns[2:] and [len(p) for p in pages] == [2, 1, 0]
     cells = {(r.pan, r.file_name, r.field): r.status for r in long.collect()}
     assert cells[("ABCDE1234B", "cams.csv", "Email")] == "mismatch" and cells[("ABCDE1234B", "cams.csv", "Name")] == "match"
     assert cells[("ABCDE1234A", "bse.csv", "Email")] == "none"

@@ -306,3 +306,10 @@ def test_folders_are_expanded(spark, tmp_path):
         (tmp_path / n).write_text("x")
     got = files.expand(spark, [str(tmp_path), "elsewhere/z.csv"])
     assert [p.rsplit("/", 1)[1] for p in got] == ["a.csv", "c.xlsx", "z.csv"]
+
+
+def test_amounts_beyond_ten_decimals_are_refused_by_name(spark):
+    raw = raw_table(spark, ["PAN", "Investor Name", "Total Amount", "Folio"], [
+        ["ABCDE1234F", "A", "1.12345678901", "1"], ["ABCDE1234F", "A", "1.1234567890", "2"], ["ABCDE1234F", "A", "2.5000000000000", "3"]])
+    ok, bad = split_parsed(parse_table(raw, "CAMS"))
+    assert [r.reason for r in bad.collect()] == ["total_amount: more than 10 decimals"] and ok.count() == 2
