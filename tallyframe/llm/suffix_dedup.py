@@ -40,7 +40,7 @@ class RepeatRule:
 
     length: int = 50
     gram: int = 20
-    batch_bytes: int = 16 << 20
+    batch_bytes: int = 8 << 20
     segment: int = 1 << 20
 
 
@@ -159,39 +159,95 @@ class Levels:
         return out
 
 
-def _rows(batch: int, keys: np.ndarray, docs: np.ndarray, grams: np.ndarray, parts: int) -> list[dict]:
-    """The suffixes of a batch, packed by part: sorted by key inside."""
-    part = (grams >> np.uint64(32)).astype(np.int64) % parts
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then all next ones, so that small ids compress well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _numbers(raw: bytes, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(raw, kind)
+
+
+def _rows(batch: int, keys: np.ndarray, docs: np.ndarray, grams: np.ndarray, parts: int) -> pd.DataFrame:
+    """The suffixes of a batch, packed by part of the gram space, in the order of their keys."""
+    part = ((grams >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [
-        {"part": p, "batch": batch, "keys": keys[at].tobytes(), "docs": docs[at].tobytes(), "grams": grams[at].tobytes()}
+    low = grams.astype(np.uint32)
+    rows = [
+        {"part": p, "batch": batch, "keys": keys[at].tobytes(), "docs": _planes(docs[at]), "grams": low[at].tobytes()}
         for p in range(parts)
         if len(at := order[cuts[p] : cuts[p + 1]])
     ]
+    return pd.DataFrame(rows, columns=["part", "batch", "keys", "docs", "grams"])
 
 
 _PACKED = "part int, batch long, keys binary, docs binary, grams binary"
-_ANSWER = "batch long, keys binary, docs binary, open binary"
+_ANSWER = "batch long, step int, keys binary, docs binary, open binary"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _numbers(raw: bytes, kind=np.uint64) -> np.ndarray:
-    return np.frombuffer(raw, kind)
+def _first_docs(texts: list[tuple], answers: Levels, at: int) -> list[np.ndarray]:
+    """Per text the smallest document of each of its keys (column `at`), in this batch or by the answers."""
+    own = Levels()
+    if texts:
+        own.levels = [smallest(
+            np.concatenate([t[at] for t in texts]), np.concatenate([np.full(len(t[at]), t[0]) for t in texts]))]
+    return [np.minimum(answers.first_docs(t[at]), own.first_docs(t[at])) for t in texts]
+
 
+def _answers(frame: pd.DataFrame | None, step: int) -> tuple[Levels, np.ndarray]:
+    """The answers to one batch as one sorted level, and the spans left open."""
+    known = Levels()
+    if frame is None or not len(frame):
+        return known, np.zeros(0, np.uint64)
+    frame = frame[frame["step"] == step]
+    docs = [_unplaned(d) for d in frame["docs"]]
+    if len(docs):
+        known.levels = [smallest(_numbers(b"".join(frame["keys"])), np.concatenate(docs))]
+    return known, np.sort(_numbers(b"".join(frame["open"])))
+
+
+class Batch:
+    """The texts of one batch with what is known of their runs."""
+
+    def __init__(self, frame: pd.DataFrame, rule: RepeatRule) -> None:
+        self.scan = Scanner(rule)
+        self.raws = [np.frombuffer(raw, np.uint8) for raw in frame["raw"]]
+        self.docs = frame["doc_id"].tolist()
+        # (document, spans, grams, first windows, numbers of windows)
+        self.texts = []
+        for doc, raw in zip(self.docs, self.raws, strict=True):
+            grams, spans, first, count = self.scan.runs(raw)
+            self.texts.append((doc, spans, grams, first, count))
+
+    def resolve(self, answers: Levels, open_: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per text the windows that are repeated for sure, and those to be compared one by one."""
+        sure, asked = [], []
+        for (doc, spans, _, first, count), least in zip(self.texts, _first_docs(self.texts, answers, 1), strict=True):
+            seen = least < doc
+            at = np.searchsorted(open_, spans)
+            at[at == len(open_)] = 0
+            asks = ~seen & (open_[at] == spans) if len(open_) else np.zeros(len(spans), bool)
+            sure.append(spread(first[seen], count[seen]))
+            asked.append(spread(first[asks], count[asks]))
+        return sure, asked
 
-def _ids(frame: pd.DataFrame) -> np.ndarray:
-    return frame["doc_id"].fillna(NEVER).to_numpy().astype(np.int64) if frame["doc_id"].isna().any() else frame["doc_id"].to_numpy(np.int64)
+    def prints(self, asked: list[np.ndarray]) -> list[tuple]:
+        return [(doc, self.scan.windows(raw, starts)) for doc, raw, starts in zip(self.docs, self.raws, asked, strict=True)]
 
 
 def _suffixes(rule: RepeatRule, parts: int):
-    def task(frame: pd.DataFrame) -> pd.DataFrame:
-        scan, found = Scanner(rule), []
-        for doc, raw in zip(_ids(frame), frame["raw"], strict=True):
-            grams, spans, _, _ = scan.runs(np.frombuffer(raw, np.uint8))
-            found.append((spans, np.full(len(spans), doc), grams))
-        keys, docs, grams = smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        rows = _rows(int(frame["batch"].iloc[0]), keys, docs, grams, parts)
-        return pd.DataFrame(rows, columns=["part", "batch", "keys", "docs", "grams"])
+    """The sorted suffixes of a batch, each once, with its smallest document."""
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        texts = Batch(frame, rule).texts
+        docs = np.concatenate([np.full(len(t[1]), t[0]) for t in texts])
+        spans, docs, grams = smallest(np.concatenate([t[1] for t in texts]), docs, np.concatenate([t[2] for t in texts]))
+        return _rows(int(key[0]), spans, docs, grams, parts)
 
     return task
 
@@ -201,127 +257,79 @@ def _scan_part(frame: pd.DataFrame) -> pd.DataFrame:
 
     Answers per batch the spans that occur in an earlier document, with that document, and the spans whose
     gram has other spans as well."""
-    family = Levels()
-    for keys, docs, grams in zip(frame["keys"], frame["docs"], frame["grams"], strict=True):
-        family.add((_numbers(keys), _numbers(docs, np.int64), _numbers(grams)))
+    family, batches = Levels(), []
+    for batch, keys, docs, grams in zip(frame["batch"], frame["keys"], frame["docs"], frame["grams"], strict=True):
+        batches.append((batch, _numbers(keys), _unplaned(docs), _numbers(grams, np.uint32)))
+        family.add(batches[-1][1:])
     # distinct spans per gram
-    whole = Levels()
-    for level in reversed(family.levels):
-        whole.levels = [smallest(*(np.concatenate(c) for c in zip(level, *whole.levels, strict=True)))]
-    grams = np.sort(whole.levels[0][2]) if whole.levels else np.zeros(0, np.uint64)
+    spans, _, grams = smallest(*(np.concatenate(c) for c in zip(*family.levels, strict=True)))
+    grams = np.sort(grams)
     several = np.unique(grams[1:][grams[1:] == grams[:-1]])
-    out = []
-    for batch, keys, docs, grams in zip(frame["batch"], frame["keys"], frame["docs"], frame["grams"], strict=True):
-        keys, docs, grams = _numbers(keys), _numbers(docs, np.int64), _numbers(grams)
-        first = family.first_docs(keys)
-        seen = first < docs
-        open_ = np.isin(grams, several) & ~seen
-        if seen.any() or open_.any():
-            out.append({"batch": batch, "keys": keys[seen].tobytes(), "docs": first[seen].tobytes(), "open": keys[open_].tobytes()})
-    return pd.DataFrame(out, columns=["batch", "keys", "docs", "open"])
-
-
-def _answers(frame: pd.DataFrame) -> tuple[Levels, np.ndarray]:
-    """The answers to one batch as one sorted level, and the open spans."""
-    known = Levels()
-    if len(frame):
-        known.levels = [smallest(_numbers(b"".join(frame["keys"])), _numbers(b"".join(frame["docs"]), np.int64))]
-    return known, np.sort(_numbers(b"".join(frame["open"]))) if len(frame) else np.zeros(0, np.uint64)
-
-
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_STATE = f"kind string, {_RESULT}, raw binary, gone binary, starts binary, {_PACKED}"
-
-
-def _outcome(raw: np.ndarray, starts: np.ndarray, length: int) -> dict:
-    """The row of a document whose repeated windows start at `starts`."""
-    edges = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + length, -1)
-    gone = np.cumsum(edges[:-1]) > 0
-    spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
-    kept = hashlib.sha256(raw[~gone].tobytes()).hexdigest()
-    return {"n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": kept}
-
-
-def _resolve(rule: RepeatRule, parts: int):
-    """Second look at a batch, with its answers: finished rows, rows with open windows, their windows."""
-    def task(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        scan, rows = Scanner(rule), []
-        known, open_ = _answers(answers)
-        texts = [(doc, raw, scan.runs(np.frombuffer(raw, np.uint8))) for doc, raw in zip(_ids(frame), frame["raw"], strict=True)]
-        own = Levels()
-        if texts:
-            own.levels = [smallest(
-                np.concatenate([r[1] for _, _, r in texts]), np.concatenate([np.full(len(r[1]), d) for d, _, r in texts]))]
-        keys, docs, grams = [], [], []
-        for doc, raw, (gram, spans, first, count) in texts:
-            text = np.frombuffer(raw, np.uint8)
-            seen = np.minimum(known.first_docs(spans), own.first_docs(spans)) < doc
-            at = np.searchsorted(open_, spans)
-            at[at == len(open_)] = 0
-            asks = ~seen & (open_[at] == spans if len(open_) else False)
-            gone = spread(first[seen], count[seen])
-            name = None if doc == NEVER else int(doc)
-            if not asks.any():
-                rows.append({"kind": "done", "doc_id": name, **_outcome(text, gone, rule.length)})
-                continue
-            starts = spread(first[asks], count[asks])
-            prints = scan.windows(text, starts)
-            keys.append(prints)
-            docs.append(np.full(len(prints), doc))
-            rows.append({"kind": "open", "doc_id": name, "raw": raw, "gone": gone.tobytes(), "starts": starts.tobytes(),
-                         "batch": int(key[0])})
-        if keys:
-            k, d = smallest(np.concatenate(keys), np.concatenate(docs))
-            rows += [{"kind": "window", **r} for r in _rows(int(key[0]), k, d, k, parts)]
-        return _typed(rows, _STATE)
-
-    return task
+    return _scanned(family, batches, 1, lambda g: np.isin(g, several))
 
 
 def _scan_windows(frame: pd.DataFrame) -> pd.DataFrame:
     """The same for windows: those that occur in an earlier document."""
-    family, out = Levels(), []
-    for keys, docs in zip(frame["keys"], frame["docs"], strict=True):
-        family.add((_numbers(keys), _numbers(docs, np.int64)))
+    family, batches = Levels(), []
     for batch, keys, docs in zip(frame["batch"], frame["keys"], frame["docs"], strict=True):
-        keys, docs = _numbers(keys), _numbers(docs, np.int64)
+        batches.append((batch, _numbers(keys), _unplaned(docs)))
+        family.add(batches[-1][1:])
+    return _scanned(family, [(*b, None) for b in batches], 2, lambda g: False)
+
+
+def _scanned(family: Levels, batches: list[tuple], step: int, is_open) -> pd.DataFrame:
+    out = []
+    for batch, keys, docs, grams in batches:
         first = family.first_docs(keys)
         seen = first < docs
-        if seen.any():
-            out.append({"batch": batch, "keys": keys[seen].tobytes(), "docs": first[seen].tobytes(), "open": b""})
-    return pd.DataFrame(out, columns=["batch", "keys", "docs", "open"])
+        open_ = ~seen & is_open(grams)
+        if seen.any() or open_.any():
+            out.append({"batch": batch, "step": step, "keys": keys[seen].tobytes(), "docs": _planes(first[seen]),
+                        "open": keys[open_].tobytes()})
+    return pd.DataFrame(out, columns=["batch", "step", "keys", "docs", "open"])
+
+
+def _windows(rule: RepeatRule, parts: int):
+    """Fingerprints of a batch's windows that are to be compared, each once."""
+    def task(key: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return _rows(0, *(np.zeros(0, k) for k in (np.uint64, np.int64, np.uint64)), parts)
+        batch = Batch(frame, rule)
+        texts = batch.prints(batch.resolve(*_answers(answers, 1))[1])
+        docs = np.concatenate([np.full(len(t[1]), t[0]) for t in texts])
+        keys, docs = smallest(np.concatenate([t[1] for t in texts]), docs)
+        return _rows(int(key[0]), keys, docs, keys, parts).assign(grams=b"")
+
+    return task
 
 
 def _finish(rule: RepeatRule):
-    def task(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        scan, rows = Scanner(rule), []
-        known, _ = _answers(answers)
-        texts = []
-        for doc, raw, starts in zip(_ids(frame), frame["raw"], frame["starts"], strict=True):
-            starts = _numbers(starts, np.int64)
-            texts.append((doc, raw, starts, scan.windows(np.frombuffer(raw, np.uint8), starts)))
-        own = Levels()
-        if texts:
-            own.levels = [smallest(
-                np.concatenate([w for *_, w in texts]), np.concatenate([np.full(len(w), d) for d, *_, w in texts]))]
-        for (doc, raw, starts, prints), gone in zip(texts, frame["gone"], strict=True):
-            seen = np.minimum(known.first_docs(prints), own.first_docs(prints)) < doc
-            starts = np.concatenate([_numbers(gone, np.int64), starts[seen]])
-            name = None if doc == NEVER else int(doc)
-            rows.append({"doc_id": name, **_outcome(np.frombuffer(raw, np.uint8), starts, rule.length)})
-        return _typed(rows, _RESULT)
+    """The result rows of a batch from the answers of both steps."""
+    def task(key: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows: dict[str, list] = {c.split()[0]: [] for c in _RESULT.split(", ")}
+        if len(frame):
+            batch = Batch(frame, rule)
+            sure, asked = batch.resolve(*_answers(answers, 1))
+            texts = batch.prints(asked)
+            for doc, raw, gone, starts, least in zip(
+                batch.docs, batch.raws, sure, asked, _first_docs(texts, _answers(answers, 2)[0], 1), strict=True
+            ):
+                values = doc, *_outcome(raw, np.concatenate([gone, starts[least < doc]]), rule.length)
+                for column, value in zip(rows.values(), values, strict=True):
+                    column.append(value)
+        return pd.DataFrame({k: pd.Series(v, dtype=object if k == "kept_sha256" else "int64") for k, v in rows.items()})
 
     return task
 
 
-def _typed(rows: list[dict], schema: str) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    for name, kind in (c.split() for c in schema.split(", ")):
-        if kind in ("long", "int"):
-            frame[name] = frame[name].astype("Int64")
-    return frame
+def _outcome(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[int, int, int, str]:
+    """Bytes, removed bytes, removed runs and the digest of what stays, for the repeated windows at `starts`."""
+    edges = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + length, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
+    return len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
 
 def remove_repeats(
@@ -334,21 +342,23 @@ def remove_repeats(
     not remove each other's bytes. A row with a null id may lose what documents with an id hold and takes
     nothing from others. Other columns are not read; an empty table gives an empty one.
 
-    Documents are dealt into batches by a hash of their id, so a batch sends a suffix at most once and no
-    part of the gram space gets more than one entry per batch for however frequent a string.
+    Documents are dealt into batches by a hash, so a batch sends a suffix at most once and no part of the
+    gram space gets more than one entry per batch for however frequent a string. A batch is read again
+    for each step: that costs less than keeping its suffixes.
     """
     rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("raw"))
+        F.coalesce(docs[id_col].cast("long"), F.lit(NEVER)).alias("doc_id"),
+        F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("raw"),
+    )
     total = rows.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
     n = max(1, -(-total // rule.batch_bytes))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.coalesce("doc_id", F.xxhash64("raw"))), F.lit(n)))
+    # rows without an id are dealt by their text
+    deal = F.when(F.col("doc_id") == NEVER, F.xxhash64("raw")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("batch", F.pmod(deal, F.lit(n)))
     packed = rows.groupBy("batch").applyInPandas(_suffixes(rule, n), _PACKED)
-    answers = stored(packed.groupBy("part").applyInPandas(_scan_part, _ANSWER))
-    state = stored(
-        rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_resolve(rule, n), _STATE))
-    windows = state.filter("kind = 'window'").select("part", "batch", "keys", "docs", "grams")
-    seen = stored(windows.groupBy("part").applyInPandas(_scan_windows, _ANSWER))
-    open_ = state.filter("kind = 'open'").select("batch", "doc_id", "raw", "gone", "starts")
-    late = open_.groupBy("batch").cogroup(seen.groupBy("batch")).applyInPandas(_finish(rule), _RESULT)
-    done = state.filter("kind = 'done'").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.unionByName(late)
+    spans = stored(packed.groupBy("part").applyInPandas(_scan_part, _ANSWER))
+    published = rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInPandas(_windows(rule, n), _PACKED)
+    windows = stored(published.groupBy("part").applyInPandas(_scan_windows, _ANSWER))
+    answers = spans.unionByName(windows)
+    out = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_finish(rule), _RESULT)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NEVER)))
