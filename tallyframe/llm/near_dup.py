@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class and go on as one. Classes meet in bands of their
 signatures. In every bucket each class is first compared with the smallest one only, so a large group of
 copies gives as many pairs as it has members. The links found so far make groups; then, in each bucket,
-only classes of different groups are compared with each other, in blocks inside a task, and only pairs
-whose signatures come near the threshold leave it. Every link is confirmed on the full shingle sets.
+only classes of different groups are compared with each other, in blocks inside a task, and only links
+that join groups leave it. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class NearRule:
     n_bands: int = 32
     rows: int = 4
     slack: float = 0.15
-    block: int = 1024
+    block: int = 512
 
 
 DEFAULT_RULE = NearRule()
@@ -173,33 +173,52 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": nodes, "b": [find(x) for x in nodes]}, columns=["a", "b"]).astype(batch.dtypes.to_dict())
 
 
-def _cross_pairs(rule: NearRule):
-    """Pairs of different groups in one block pair of a bucket, near enough by their signatures."""
+def _cross_links(rule: NearRule):
+    """Links between different groups in one block pair of a bucket.
+
+    Pairs near enough by their signatures are compared on their full sets, the nearest first; a pair whose
+    groups a link of this block has joined already needs no look. At most one link per group comes out.
+    """
     least = (rule.percent / 100 - rule.slack) * rule.n_bands * rule.rows
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep", kind="stable")
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         ids, comp = group["rep"].to_numpy(), pd.factorize(group["component"])[0]
         keys = np.frombuffer(b"".join(group["bands"]), np.int64).reshape(len(group), -1)
         sigs = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), -1)
+        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
         part, band = group["part"].to_numpy(), int(group["band"].iloc[0])
         two = group["one"].iloc[0] != group["two"].iloc[0]
-        out_a, out_b = [], []
+        near: list[tuple[int, int, int]] = []
         for i in range(len(group) - 1):
             other = comp[i + 1 :] != comp[i]
             if two:  # pairs inside one of two blocks belong to that block's own task
                 other &= part[i + 1 :] != part[i]
             at = np.flatnonzero(other) + i + 1
-            if not len(at):
-                continue
-            at = at[(sigs[at] == sigs[i]).sum(axis=1) >= least]
             if len(at) and band:  # met in an earlier band already
                 at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
-            out_a += [ids[i]] * len(at)
-            out_b += ids[at].tolist()
-        return pd.DataFrame({"a": np.array(out_a, dtype=ids.dtype), "b": np.array(out_b, dtype=ids.dtype)})
+            if len(at):
+                agree = (sigs[at] == sigs[i]).sum(axis=1)
+                near += [(int(n), i, int(j)) for n, j in zip(agree, at, strict=True) if n >= least]
+        parent = list(range(comp.max() + 1))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out: list[tuple] = []
+        for _, i, j in sorted(near, reverse=True):
+            x, y = find(comp[i]), find(comp[j])
+            if x == y:
+                continue
+            both, union = likeness(sets[i], sets[j])
+            if 100 * both >= rule.percent * union:
+                parent[x] = y
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame({k: np.array([o[n] for o in out], dtype=ids.dtype) for n, k in enumerate("ab")})
 
-    return pairs
+    return links
 
 
 def near_groups(
@@ -250,13 +269,13 @@ def near_groups(
     open_ = stored(open_.filter("low != high").select("key", "size"))
     left = attach(grouped.select("key", "band", "rep", "component"), open_, ["key"], how="inner")
     left = attach(left, classes.select("rep", "bands", "marks"), ["rep"], how="inner")
+    left = attach(left, sets.withColumnRenamed("doc_id", "rep"), ["rep"], how="inner")
     parts = F.ceil(F.col("size") / rule.block).cast("int")
     left = left.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left = left.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
     kind = classes.schema["rep"].dataType.simpleString()
-    rest = left.groupBy("key", "one", "two").applyInPandas(_cross_pairs(rule), f"a {kind}, b {kind}")
-    more = stored(_verified(stored(rest), sets, rule))
+    more = stored(left.groupBy("key", "one", "two").applyInPandas(_cross_links(rule), f"a {kind}, b {kind}"))
     # the new links join whole groups, so only group names go through the second pass
     name = groups.select("node", "component")
     ends = attach(more, name.select(F.col("node").alias("a"), F.col("component").alias("ca")), ["a"])
