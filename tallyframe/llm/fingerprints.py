@@ -46,13 +46,13 @@ def _check(digest: Column) -> Column:
 def _entries(items: Column, cells: Column) -> Column:
     """The cells that items (struct<n, id>) fall into, before equal cells are joined."""
     def one(item: Column) -> Column:
-        return F.array(*[
+        return let(_check(item["id"]), lambda chk: F.array(*[
             F.struct(
                 (F.pmod(F.xxhash64(item["id"], F.lit(k)), cells) * SUBTABLES + k).cast("int").alias("cell"),
-                item["n"].alias("n"), item["id"].alias("id"), _check(item["id"]).alias("chk"),
+                item["n"].alias("n"), item["id"].alias("id"), chk.alias("chk"),
             )
             for k in range(SUBTABLES)
-        ])
+        ]))
 
     return F.flatten(F.transform(items, one))
 
@@ -66,21 +66,22 @@ def _joined(entries: Column) -> Column:
         )
 
         def add(g: Column) -> Column:
-            zero = F.struct(F.get(g, F.lit(0))["cell"].alias("cell"), F.lit(0).alias("n"),
-                            F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("chk"))
-            return F.aggregate(g, zero, lambda a, x: F.struct(
+            return F.aggregate(F.slice(g, F.lit(2), F.size(g)), F.get(g, F.lit(0)), lambda a, x: F.struct(
                 a["cell"].alias("cell"), (a["n"] + x["n"]).alias("n"),
                 a["id"].bitwiseXOR(x["id"]).alias("id"), a["chk"].bitwiseXOR(x["chk"]).alias("chk"),
             ))
 
+        def cell(s: Column, n: Column) -> Column:
+            return F.when(n == 1, F.get(e, s)).otherwise(let(F.slice(e, s + 1, n), add))
+
         def cells(st: Column) -> Column:
-            return F.transform(st, lambda s, k: add(
-                F.slice(e, s + 1, F.coalesce(F.get(st, k + 1), F.size(e)) - s)))
+            return F.transform(st, lambda s, k: let(
+                F.coalesce(F.get(st, k + 1), F.size(e)) - s, lambda n: cell(s, n)))
 
         return let(starts, cells)
 
     empty = F.array().cast(_CELLS)
-    sums = F.when(F.size(entries) == 0, empty).otherwise(let(F.array_sort(entries), stretches))
+    sums = let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, empty).otherwise(stretches(e)))
     return F.filter(sums, lambda c: (c["n"] != 0) | (c["id"] != 0) | (c["chk"] != 0))
 
 
@@ -107,7 +108,13 @@ def peel(mine: Column, other: Column, cells: Column, rule: SketchRule) -> Column
 
     def step(acc: Column, _: Column) -> Column:
         pure = F.filter(acc["rest"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["id"])))
-        items = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["id"].alias("id"))))
+
+        def of(side: int) -> Column:
+            # distinct as plain numbers, which Spark hashes; structs it would compare pair by pair
+            ids = F.transform(F.filter(pure, lambda c: c["n"] == side), lambda c: c["id"])
+            return _items(F.array_distinct(ids), side)
+
+        items = F.concat(of(1), of(-1))
 
         def taken(p: Column) -> Column:
             minus = F.transform(p, lambda x: F.struct((-x["n"]).alias("n"), x["id"].alias("id")))
