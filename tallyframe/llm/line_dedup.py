@@ -104,7 +104,8 @@ def dedup_lines(
     suspects = attach(slim, stored(often), ["hash"], how="inner")
     marks = suspects.groupBy("doc").agg(F.collect_set(F.struct("first", "hash")).alias("marks"))
     # the bytes of those chunks only
-    again = _cut(attach(rows.select("doc", "text"), stored(marks), ["doc"], how="inner"), rule)
+    # what is marked grows with the input: a join that shuffles at every size
+    again = _cut(attach(rows.select("doc", "text"), stored(marks).hint("merge"), ["doc"], how="inner"), rule)
     pieces = _exploded(again, "doc", "lines", "marks").filter(
         F.exists("marks", lambda m: m["first"] == F.col("c.first")))
     content = F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n")
@@ -114,7 +115,7 @@ def dedup_lines(
     checked = attach(pieces, stored(firsts), ["hash", "content"], how="inner")
     gone = checked.filter(F.struct("doc", "first") != F.col("kept"))
     removed = stored(gone.groupBy("doc").agg(F.collect_set(F.struct("first", "n")).alias("gone")))
-    out = attach(rows, removed, ["doc"])
+    out = attach(rows, removed.hint("merge"), ["doc"])
     lines = F.split("text", "\n", -1)
     cover = F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1)))
     left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("cover"), i + 1))
