@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return line_dedup.dedup_lines(table(spark, folder, "documents"), rule=line_dedup.PAIRS)
 
 
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
