@@ -23,10 +23,12 @@ from tallyframe.operators.skew import attach
 
 @dataclass(frozen=True)
 class TemplateRule:
-    """A subtree is template from `least_pages` pages of different content of one host on. Prose blocks
-    inside an article or main element are content however often they occur."""
+    """A subtree is template if it occurs in `share` of a host's pages of different content, and in
+    `least_pages` of them at least. Prose blocks, tables and lists inside an article or main element are
+    content however often they occur."""
 
     least_pages: int = 5
+    share: float = 0.2
 
 
 DEFAULT_RULE = TemplateRule()
@@ -43,6 +45,7 @@ BLOCKS = frozenset(
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption article main body html".split())
 CONTAINERS = BLOCKS - PROSE
+LISTED = frozenset("table ul ol dl".split())
 CONTENT = frozenset(("article", "main"))
 # which open elements a start tag ends, as far as the nearest element of the second set
 IMPLIED = {
@@ -76,10 +79,11 @@ SPACE = re.compile(r"[\s ]+")
 class Node:
     """An open element: what of it is known so far."""
 
-    __slots__ = ("tag", "dropped", "content", "names", "parts", "key")
+    __slots__ = ("tag", "dropped", "content", "names", "parts", "key", "listed")
 
-    def __init__(self, tag: str, dropped: bool, content: bool, names: str, key: int) -> None:
+    def __init__(self, tag: str, dropped: bool, content: bool, names: str, key: int, listed: bool = False) -> None:
         self.tag, self.dropped, self.content, self.names, self.key = tag, dropped, content, names, key
+        self.listed = listed  # a table or list inside content, or in one
         self.parts: list[str] = []  # hashes and texts of the children, in order
 
 
@@ -162,7 +166,8 @@ class Page:
             self._flush()
         self.count += 1
         content = parent.content or tag in CONTENT or found.get("role") == "main"
-        self.stack.append(Node(tag, dropped, content, names.strip(), self.count))
+        listed = parent.listed or parent.content and tag in LISTED
+        self.stack.append(Node(tag, dropped, content, names.strip(), self.count, listed))
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -183,8 +188,9 @@ class Page:
         body = SPACE.sub(" ", "".join(node.parts)).strip()
         name = xxhash.xxh64_intdigest(f"{node.tag}\0{node.names}\0{body}".encode("utf-8", "surrogatepass"))
         self.stack[-1].parts.append(f"\1{name:x}\2")
-        # inside content only containers can be template, never the prose itself
-        if not node.dropped and body and node.tag not in ("html", "body") and (not node.content or node.tag in CONTAINERS):
+        # inside content only containers can be template, never the prose itself, nor a table or list
+        inside = node.tag in CONTAINERS and not node.listed
+        if not node.dropped and body and node.tag not in ("html", "body") and (not node.content or inside):
             self.subtrees.append((node.key, name - (1 << 64) if name >> 63 else name))
 
     def _flush(self) -> None:
@@ -245,10 +251,15 @@ def main_texts(pages: DataFrame, rule: TemplateRule = DEFAULT_RULE) -> DataFrame
     """
     rows = parsed(pages.select(pages["page_id"], pages["url"], pages["html"]))
     rows = stored(rows.withColumn("_key", F.xxhash64("page_id", "url", "content")))
-    # distinct contents per subtree: (host, subtree, content) combined within tasks before the shuffle
-    seen = rows.select("host", "content", F.explode_outer("subtrees").alias("subtree")).filter("subtree IS NOT NULL")
-    counts = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= rule.least_pages)
-    template = stored(counts.select("host", "subtree"))
+    # distinct contents per subtree: (host, subtree, content) combined within tasks before the shuffle;
+    # the null subtree stands for the page, its count is that of the host's pages
+    subtrees = F.concat(F.array(F.lit(None).cast("long")), "subtrees")
+    seen = rows.select("host", "content", F.explode(subtrees).alias("subtree"))
+    counts = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    counts = stored(counts.filter((F.col("n") >= rule.least_pages) | F.col("subtree").isNull()))
+    pages_of = counts.filter("subtree IS NULL").select("host", F.col("n").alias("pages"))
+    often = attach(counts.filter("subtree IS NOT NULL"), pages_of, ["host"], how="inner")
+    template = stored(often.filter(F.col("n") >= F.col("pages") * rule.share).select("host", "subtree"))
     # only subtrees around a block can change a text
     touched = rows.select("_key", "host", F.explode_outer(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
     touched = touched.filter("subtree IS NOT NULL").distinct()
