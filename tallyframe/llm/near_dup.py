@@ -46,7 +46,7 @@ DEFAULT_RULE = NearRule()
 def _signed(batches: Iterator[pa.RecordBatch], rule: NearRule) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(rule.n)
     for batch in batches:
-        ids, raws = batch.column("doc_id"), batch.column("raw")
+        ids, hashes, raws = batch.column("doc_id"), batch.column("h"), batch.column("raw")
         out: dict[str, list] = {"doc_id": [], "n_shingles": [], "digest": [], "bands": [], "marks": []}
         seen: dict[bytes, tuple] = {}
         for i in range(batch.num_rows):
@@ -59,18 +59,18 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: NearRule) -> Iterator[pa.Re
             for key, value in zip(out, (ids[i].as_py(), len(grams), name, *found), strict=True):
                 out[key].append(value)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(out["doc_id"], ids.type), "n_shingles": pa.array(out["n_shingles"], pa.int64()),
+            "doc_id": pa.array(out["doc_id"], ids.type), "h": hashes, "n_shingles": pa.array(out["n_shingles"], pa.int64()),
             **{k: pa.array(out[k], pa.binary()) for k in ("digest", "bands", "marks")},
         })
 
 
 def signatures(docs: DataFrame, rule: NearRule = DEFAULT_RULE) -> DataFrame:
-    """`doc_id, n_shingles, digest, bands, marks` of `doc_id, text`; the last three null without words."""
+    """`doc_id, h, n_shingles, digest, bands, marks` of `doc_id, h, text`; the last three null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    rows = docs.select("doc_id", "h", F.encode("text", "UTF-8").alias("raw"))
     return rows.mapInArrow(
         lambda batches: _signed(batches, rule),
-        f"doc_id {kind}, n_shingles long, digest binary, bands binary, marks binary",
+        f"doc_id {kind}, h long, n_shingles long, digest binary, bands binary, marks binary",
     )
 
 
@@ -233,7 +233,13 @@ def near_groups(
     are members of their class but never name or link one: without another member their component is null
     and they are kept. An empty table gives an empty one; other columns are not read.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return _grouped(docs, id_col, text_col, rule).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, rule: NearRule) -> DataFrame:
+    """`near_groups` with `h`, the hash of the text, and `digest`, the name of its set of shingles."""
+    text = docs[text_col]
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h"))
     signed = stored(signatures(rows, rule))
     named = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("digest", "doc_id", "bands", "marks")
     classes = stored(first_row(named, ["digest"], ["doc_id"]).withColumnRenamed("doc_id", "rep"))
@@ -289,16 +295,29 @@ def near_groups(
 
     names = attach(classes.select("digest", "rep"), groups.select(F.col("node").alias("rep"), "component"), ["rep"])
     names = stored(names.select("digest", F.coalesce("component", "rep").alias("component")))
-    out = attach(signed.select("doc_id", "n_shingles", "digest"), names, ["digest"])
+    out = attach(signed.select("doc_id", "h", "n_shingles", "digest"), names, ["digest"])
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "h", "n_shingles", "digest", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearRule = DEFAULT_RULE) -> DataFrame:
-    """The rows of `docs`, all columns, whose document names its group; rows that share an id and a
-    text hash count as one and the first stays."""
-    groups = near_groups(docs, id_col, text_col, rule).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = packed(docs).withColumn("_id", F.col("row")[id_col])
-    nameless = rows.filter("_id IS NULL").select("row.*")
-    return attach(rows.filter("_id IS NOT NULL"), groups, ["_id"], how="left_semi").select("row.*").unionByName(nameless)
+    """The rows of `docs`, all columns, that name their group by `near_groups`, one for each set of shingles.
+
+    Rows that share an id and a set, or an id and a text without words, count as one: those of the smallest
+    text hash stay, and of equal texts the row that is first by a hash of its columns. Rows with a null id
+    stay where no row with an id has their set, one for each set. Other texts under one id stay if their
+    own group is named by it, even if they are near each other.
+    """
+    groups = _grouped(docs, id_col, text_col, rule).filter("kept")
+    name = F.coalesce("digest", F.encode(F.col("h").cast("string"), "UTF-8")).alias("name")
+    each = groups.groupBy("doc_id", name, "h").agg(F.count("*").alias("n"))
+    doc = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    chosen = stored(first_row(each, ["doc_id", "name"], ["h"]).select(doc.alias("_doc"), "n"))
+    id_, text = F.col("row")[id_col], F.col("row")[text_col]
+    rows = packed(docs).withColumn("_doc", F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("h")))
+    kept = stored(attach(rows, chosen, ["_doc"], how="inner"))
+    # only what occurs more than once has to be ordered
+    plain = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = first_row(kept.filter("n > 1"), ["_doc"], [F.xxhash64(*plain)])
+    return kept.filter("n = 1").select("row.*").unionByName(first.select("row.*"))
