@@ -57,31 +57,50 @@ IMPLIED = {
     "td": (frozenset(("td", "th", "p")), frozenset(("tr", "table"))),
     "th": (frozenset(("td", "th", "p")), frozenset(("tr", "table"))),
 }
-NO_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|"
-    r"disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|alert|consent|gdpr|pagination|pager|"
-    r"popup|promo|promotion|related|recommended|replies|respond|share|sharing|sidebar|side|skip|social|sponsor|sponsored|"
-    r"subscribe|subscription|teaser|toolbar|widget|login|signup|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+# a class or id says so if it is made of these words, with words of place and shape or numbers beside them
+NO_CONTENT = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies"
+    " disqus footer header masthead menu modal nav navbar navigation newsletter notice notices alert consent gdpr pagination"
+    " pager popup promo promotion related recommended replies respond share sharing sidebar side skip social sponsor sponsored"
+    " subscribe subscription teaser toolbar widget login signup search".split()
 )
+BESIDE = frozenset(
+    "site main page top bottom left right primary secondary global mobile desktop area bar block box button buttons container"
+    " form icons item items link links list section to".split()
+)
+COMMENT = re.compile(r"(?:div[_-])?comments?(?:[_-](?:body|box|content|item|text|\d+))?")
 NO_CONTENT_ROLES = frozenset(
-    "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
 )
 MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[\s ]+")
 
 
+# what drops an element, weakest first: a form may be around the whole page, a name may be that of a layout
+FORM, NAMED, ALWAYS = 1, 2, 3
+# where a block lies: in a form; nowhere special; in an article of a dropped element; in an article or main element
+IN_FORM, PLAIN, RESCUED, CONTENTS = -1, 0, 1, 2
+
+
+def names_no_content(names: str) -> bool:
+    for name in names.lower().split():
+        parts = [p for p in re.split("[_-]+", name) if p and not p.isdigit()]
+        if not NO_CONTENT.isdisjoint(parts) and all(p in NO_CONTENT or p in BESIDE for p in parts):
+            return True
+    return False
+
+
 class Node:
     """An open element: what of it is known so far."""
 
     __slots__ = ("tag", "dropped", "content", "names", "parts", "key", "listed")
 
-    def __init__(self, tag: str, dropped: bool, content: bool, names: str, key: int, listed: bool = False) -> None:
+    def __init__(self, tag: str, dropped: int, content: int, names: str, key: int, listed: bool = False) -> None:
         self.tag, self.dropped, self.content, self.names, self.key = tag, dropped, content, names, key
         self.listed = listed  # a table or list inside content, or in one
         self.parts: list[str] = []  # hashes and texts of the children, in order
@@ -90,16 +109,16 @@ class Node:
 class Page:
     """Blocks of text and subtrees of one page.
 
-    `blocks`: (text, ids of the subtrees around it, whether in an article or main element), dropped ones
-    left out. `subtrees`: (id, hash) of the subtrees whose recurrence would make them template.
+    `blocks`: (text, ids of the subtrees around it, where it lies), dropped ones left out but for those of
+    forms. `subtrees`: (id, hash) of the subtrees whose recurrence would make them template.
     """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, list[int], bool]] = []
+        self.blocks: list[tuple[str, list[int], int]] = []
         self.subtrees: list[tuple[int, int]] = []
         self.text: list[str] = []
         self.count = 0
-        self.stack = [Node("#root", False, False, "", 0)]
+        self.stack = [Node("#root", 0, PLAIN, "", 0)]
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -134,7 +153,7 @@ class Page:
         top = self.stack[-1]
         text = html.unescape(raw) if "&" in raw and top.tag not in ("script", "style") else raw
         top.parts.append(text)
-        if not top.dropped:
+        if top.dropped <= FORM:
             self.text.append(text)
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -153,19 +172,31 @@ class Page:
             if tag in BLOCKS:
                 self._flush()
             return
-        found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+        found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        parent = self.stack[-1]
-        hidden = re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None or found.get("aria-hidden") == "true"
+        parent, role = self.stack[-1], found.get("role", "").lower()
+        hidden = "hidden" in found or found.get("aria-hidden") == "true"
+        heart = tag in CONTENT or role == "main"
+        comment = tag == "article" and any(COMMENT.fullmatch(n) for n in names.lower().split())
+        own = 0
+        if tag == "form" or role == "form":
+            own = FORM
+        elif tag in DROPPED or hidden or comment or role in NO_CONTENT_ROLES:
+            own = ALWAYS
         # the page as a whole is no menu or advert, whatever its name
-        named = tag not in ("html", "body", "main", "article") and NO_CONTENT.search(names) is not None
-        if tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.IGNORECASE):
-            named = True
-        dropped = parent.dropped or tag in DROPPED or hidden or named or found.get("role", "").lower() in NO_CONTENT_ROLES
-        if tag in BLOCKS or dropped and not parent.dropped:
+        if own < NAMED and tag not in ("html", "body") and not heart and names_no_content(names):
+            own = NAMED
+        if hidden:
+            own = ALWAYS
+        # an article or main element is not lost with a form or a named element around it
+        within, content = parent.dropped, parent.content or (CONTENTS if heart else PLAIN)
+        if heart and not own and within in (FORM, NAMED):
+            content = RESCUED if within == NAMED and tag == "article" else CONTENTS
+            within = 0
+        dropped = max(within, own)
+        if tag in BLOCKS or dropped != parent.dropped:
             self._flush()
         self.count += 1
-        content = parent.content or tag in CONTENT or found.get("role") == "main"
         listed = parent.listed or parent.content and tag in LISTED
         self.stack.append(Node(tag, dropped, content, names.strip(), self.count, listed))
 
@@ -182,7 +213,7 @@ class Page:
 
     def _pop(self) -> None:
         node = self.stack[-1]
-        if node.tag in BLOCKS or node.dropped and not self.stack[-2].dropped:
+        if node.tag in BLOCKS or node.dropped != self.stack[-2].dropped:
             self._flush()
         self.stack.pop()
         body = SPACE.sub(" ", "".join(node.parts)).strip()
@@ -190,7 +221,7 @@ class Page:
         self.stack[-1].parts.append(f"\1{name:x}\2")
         # inside content only containers can be template, never the prose itself, nor a table or list
         inside = node.tag in CONTAINERS and not node.listed
-        if not node.dropped and body and node.tag not in ("html", "body") and (not node.content or inside):
+        if node.dropped <= FORM and body and node.tag not in ("html", "body") and (not node.content or inside):
             self.subtrees.append((node.key, name - (1 << 64) if name >> 63 else name))
 
     def _flush(self) -> None:
@@ -199,12 +230,20 @@ class Page:
         self.text = []
         if text:
             around = [n.key for n in self.stack[1:] if n.tag not in ("html", "body")]
-            self.blocks.append((text, around, self.stack[-1].content))
+            top = self.stack[-1]
+            self.blocks.append((text, around, IN_FORM if top.dropped else top.content))
 
     def main(self) -> list[tuple[str, list[int]]]:
-        """Blocks inside article or main elements if there are any, else all."""
-        inside = [(t, ids) for t, ids, content in self.blocks if content]
-        return inside or [(t, ids) for t, ids, _ in self.blocks]
+        """Blocks inside article or main elements if there are any, else all.
+
+        Articles in elements dropped by name count only on pages without others and if they have more
+        text than what is not dropped; text of forms only on pages without any other.
+        """
+        of = {k: [(t, ids) for t, ids, where in self.blocks if where == k] for k in (CONTENTS, RESCUED, PLAIN, IN_FORM)}
+        length = {k: sum(len(t) for t, _ in blocks) for k, blocks in of.items()}
+        if not of[CONTENTS] and length[RESCUED] > length[PLAIN]:
+            return of[RESCUED]
+        return of[CONTENTS] or of[PLAIN] or of[IN_FORM]
 
 
 BLOCK_TYPE = "array<struct<text:string,around:array<long>>>"
@@ -244,7 +283,8 @@ def main_texts(pages: DataFrame, rule: TemplateRule = DEFAULT_RULE) -> DataFrame
 
     Character references are decoded, white space inside a block is one space, blocks are trimmed, empty
     ones left out, and the rest joined by two line ends in page order. Inside article or main elements if
-    the page has any with text, else in the whole page. A null or empty html gives an empty text. Pages
+    the page has any with text, else in the whole page (`Page.main` has the order for pages whose content
+    stands in a form or in an element whose name says no content). A null or empty html gives an empty text. Pages
     without a host (a null or relative url) share the empty host. Pages of equal content count once, so
     copies of a page make no template. Repeated rows each get their row, null ids stay, other columns are
     not read, and an empty table gives an empty one.
