@@ -52,7 +52,7 @@ class SecretRules:
     allowed: tuple[str, ...] = (
         r"[A-Za-z]+",
         r"[0-9]+",
-        r"[A-Za-z]{1,20}([-_/+=][A-Za-z0-9]{0,12})+",
+        r"[A-Za-z]{1,20}(?:[-_/+=][A-Za-z0-9]{0,12})++",  # possessive: Java matches a repeated group by recursion
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"(.)\1*",
     )

@@ -67,3 +67,11 @@ def test_matches_python(spark):
 def test_awkward_rows_and_empty_table(spark):
     assert len(secrets.secret_report(awkward(spark)).collect()) == 18
     assert secrets.secret_report(empty(spark)).collect() == []
+
+
+def test_long_candidates_of_words_and_signs(spark):
+    """A rule line or a chain of short words is allowed at any length and does not exhaust the stack."""
+    texts = ["a" + "=" * 1_000_000, "a" + "-b" * 500_000, "a" + "=" * 5_000 + " " + KEY]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    assert got[0] == got[1] == "" and got[2] == f"base64_entropy:5002:{5002 + len(KEY)}"
