@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
-    chat, decontaminate, fingerprints, html_text, line_dedup, mixing, near_dup, secrets, suffix_dedup, toxicity,
+    chat, decontaminate, divergence, exact_dedup, fingerprints, html_text, line_dedup, mixing, near_dup, secrets,
+    suffix_dedup, toxicity,
 )
-from tallyframe.llm.oracles import CHAT_SQL, MIX_SQL
+from tallyframe.llm.oracles import AUDIT_SQL, CHAT_SQL, EXACT_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,14 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return shown.withColumn("masks", chat.mask_text(F.col("masks")))
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, folder, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.dedup_exact(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -72,5 +81,9 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op11_divergence": op11_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op6_mix": MIX_SQL, "op10_chat": CHAT_SQL, "op11_divergence": AUDIT_SQL, "op12_exact_dedup": EXACT_SQL,
 }
-ORACLES: dict[str, str] = {"op6_mix": MIX_SQL, "op10_chat": CHAT_SQL}
