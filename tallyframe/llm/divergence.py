@@ -1,9 +1,10 @@
 """Source divergence audit: how far the sources of a language use their terms differently.
 
 Chunk factorization: texts are cut at white space, and a block of documents becomes a list of its distinct
-chunks plus, per document, numbers into that list with counts. Only the lists are shuffled: each globally
-distinct chunk is cut into terms once, its terms are joined back to the blocks that hold it, and each block
-sums documents and occurrences per source and term before anything else moves.
+chunks plus, per document, places in that list with counts. Only the lists are shuffled: each globally
+distinct chunk is cut into terms once, the numbers of its terms are joined back to the blocks that hold it,
+and each block sums documents and occurrences per group and term before they are added up over the blocks.
+Terms and groups are numbers until the report is made.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -24,90 +24,106 @@ from tallyframe.operators.skew import attach, fits_broadcast
 
 # Terms are runs of letters A-Z and of anything beyond ASCII, so no term crosses white space.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCKS = (
-    "block long, chunks array<string>, langs array<string>, sources array<string>, sizes array<int>,"
-    " places array<int>, counts array<long>"
-)
-SUMS = "lang string, source string, term string, docs long, n long"
+BLOCKS = "block long, chunks array<string>, groups array<long>, sizes array<int>, places array<int>, counts array<int>"
+CELLS = "gid long, tid long, docs long, n long"
 
 
 @dataclass(frozen=True)
 class AuditRule:
     """`least_docs`: documents of a language that a term must occur in. `scale`: what probabilities are
-    multiplied by. `top`: ranks of the terms of a group that are reported. `block_bytes`: text after which a
+    multiplied by, at most 2,000,000,000, so that squares stay exact. `top`: ranks of the terms of a group that are reported. `block_bytes`: text after which a
     block ends; a longer document is a block of its own."""
 
     least_docs: int = 10
     scale: int = 1_000_000_000
     top: int = 10
-    block_bytes: int = 4 << 20
+    block_bytes: int = 32 << 20
 
 
 DEFAULT_RULE = AuditRule()
 
 
-def _counted(rule: AuditRule):
-    """Blocks of documents as distinct chunks and counts."""
-    def block(number: int, docs: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
-        place: dict[bytes, int] = {}
-        sizes, places, counts = [], [], []
-        for _, _, raw in docs:
-            chunks = Counter(raw.split())  # bytes are cut at ASCII white space alone
-            sizes.append(len(chunks))
-            places += [place.setdefault(c, len(place)) for c in chunks]
-            counts += chunks.values()
-        lists = (list(place), [d[0] for d in docs], [d[1] for d in docs], sizes, places, counts)
-        kinds = (pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
-        columns = [pa.array([number], pa.int64()), *(pa.array([v], pa.list_(k)) for v, k in zip(lists, kinds))]
-        columns[1] = columns[1].cast(pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays(columns, ["block", "chunks", "langs", "sources", "sizes", "places", "counts"])
+class Block:
+    """Documents as places in a list of distinct chunks, with counts."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.groups: list[int] = []
+        self.parts: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, group: int, raw: bytes) -> None:
+        chunks = Counter(raw.split())  # bytes are cut at ASCII white space alone
+        place = self.place
+        self.groups.append(group)
+        self.parts.append(np.fromiter((place.setdefault(c, len(place)) for c in chunks), np.int32, len(chunks)))
+        self.counts.append(np.fromiter(chunks.values(), np.int32, len(chunks)))
+        self.size += len(raw)
 
+    def row(self, number: int) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
+        lists = (
+            pa.array(list(self.place), pa.binary()).cast(pa.string()), pa.array(self.groups, pa.int64()), pa.array(sizes),
+            pa.array(np.concatenate(self.parts)), pa.array(np.concatenate(self.counts)),
+        )
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), *lists], ["block", "chunks", "groups", "sizes", "places", "counts"])
+
+
+def _counted(rule: AuditRule):
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[str, str, bytes]] = []
+        number, block = TaskContext.get().partitionId() << 32, Block()
         for batch in batches:
-            for lang, source, raw in zip(*(batch.column(c) for c in ("lang", "source", "raw"))):
+            for gid, raw in zip(batch.column("gid").to_pylist(), batch.column("raw")):
                 raw = raw.as_py()
-                if held and size + len(raw) > rule.block_bytes:
-                    yield block(number, held)
-                    held, size, number = [], 0, number + 1
-                held.append((lang.as_py(), source.as_py(), raw))
-                size += len(raw)
-        if held:
-            yield block(number, held)
+                if block.groups and block.size + len(raw) > rule.block_bytes:
+                    yield block.row(number)
+                    number, block = number + 1, Block()
+                block.add(gid, raw)
+        if block.groups:
+            yield block.row(number)
 
     return tasks
 
 
-def _summed(key: tuple, blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and the length of each list."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def _summed(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """Documents and occurrences per group and term of one block."""
-    if not len(blocks) or not len(found):
-        return pd.DataFrame(columns=["lang", "source", "term", "docs", "n"])
-    row = blocks.iloc[0]
-    place, count = np.asarray(row["places"], np.int64), np.asarray(row["counts"], np.int64)
-    doc = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
-    group, names = pd.factorize(pd.MultiIndex.from_arrays([row["langs"], row["sources"]]))
-    # terms of a chunk, one after the other, in the order of the chunks
-    found = found.sort_values("place", kind="stable")
-    term, terms = pd.factorize(np.concatenate(found["terms"].to_numpy()))
-    many = np.zeros(len(row["chunks"]), np.int64)
-    many[found["place"]] = found["terms"].map(len)
+    if not blocks.num_rows or not found.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("gid", "tid", "docs", "n")})
+    groups, sizes, place, count = (_flat(blocks.column(c))[0] for c in ("groups", "sizes", "places", "counts"))
+    gids, group = np.unique(groups, return_inverse=True)
+    # the terms of a chunk one after the other, in the order of the chunks
+    found = found.sort_by("place")
+    ids, lengths = _flat(found.column("tids"))
+    tids, term = np.unique(ids, return_inverse=True)
+    many = np.zeros(int(place.max()) + 1, np.int64)
+    many[found.column("place").to_numpy()] = lengths
     start = np.cumsum(many) - many
     # one row per document, chunk and term in it
     length = many[place]
-    entry = np.repeat(np.arange(len(place)), length)
+    entry = np.repeat(np.arange(len(place), dtype=np.int32), length)
     step = np.arange(len(entry)) - np.repeat(np.cumsum(length) - length, length)
     term = term[start[place[entry]] + step]
-    cell = group[doc[entry]] * len(terms) + term
-    cells, inverse = np.unique(cell, return_inverse=True)
-    total = np.zeros(len(cells), np.int64)
-    np.add.at(total, inverse, count[entry])
-    once = np.unique(doc[entry] * len(terms) + term)
-    docs = np.bincount(np.searchsorted(cells, group[once // len(terms)] * len(terms) + once % len(terms)), minlength=len(cells))
-    which = names.take(cells // len(terms))
-    return pd.DataFrame({
-        "lang": which.get_level_values(0), "source": which.get_level_values(1),
-        "term": terms[cells % len(terms)], "docs": docs, "n": total,
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[entry]
+    # sorted by document and term, each pair once with its occurrences
+    order = np.argsort(doc * len(tids) + term, kind="stable")
+    doc, term, n = doc[order], term[order], count[entry[order]].astype(np.int64)
+    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+    n = np.add.reduceat(n, first)
+    cell = group[doc[first]] * len(tids) + term[first]
+    order = np.argsort(cell, kind="stable")
+    cells, at, docs = np.unique(cell[order], return_index=True, return_counts=True)
+    return pa.table({
+        "gid": gids[cells // len(tids)], "tid": tids[cells % len(tids)], "docs": docs.astype(np.int64),
+        "n": np.add.reduceat(n[order], at),
     })
 
 
@@ -115,16 +131,27 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source")], docs["text"].alias("text"))
 
 
-def term_counts(docs: DataFrame, rule: AuditRule = DEFAULT_RULE) -> DataFrame:
-    """`lang, source, term, docs, n`: documents that hold the term, and occurrences. Every row is a document."""
+def source_groups(docs: DataFrame) -> DataFrame:
+    """`gid, lang, source` of every group that occurs."""
+    groups = _labelled(docs).select("lang", "source").distinct()
+    return stored(groups.select(F.monotonically_increasing_id().alias("gid"), "lang", "source"))
+
+
+def term_counts(docs: DataFrame, groups: DataFrame, rule: AuditRule = DEFAULT_RULE) -> tuple[DataFrame, DataFrame]:
+    """`gid, tid, docs, n`, the documents that hold a term and its occurrences, and `tid, term`."""
+    numbered = attach(_labelled(docs), groups, ["lang", "source"], "inner", small=fits_broadcast(groups))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")
-    blocks = stored(_labelled(docs).select("lang", "source", raw).mapInArrow(_counted(rule), BLOCKS))
-    chunks = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
+    blocks = stored(numbered.select("gid", raw).mapInArrow(_counted(rule), BLOCKS))
+    # a chunk has one row per block, so no chunk has a share of the rows that matters
+    chunks = blocks.select(F.col("block").alias("home"), F.posexplode("chunks").alias("place", "chunk"))
     cut = F.regexp_extract_all(lowered(F.col("chunk")), F.lit(TERM), F.lit(0)).alias("terms")
-    distinct = chunks.select("chunk").distinct().select("chunk", cut).filter(F.size("terms") > 0)
-    found = attach(chunks, stored(distinct), ["chunk"], how="inner").select(F.col("block").alias("home"), "place", "terms")
-    sums = blocks.groupBy("block").cogroup(found.groupBy("home")).applyInPandas(_summed, SUMS)
-    return stored(sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    distinct = stored(chunks.select("chunk").distinct().select("chunk", cut).filter(F.size("terms") > 0))
+    each = distinct.select("chunk", F.explode("terms").alias("term"))
+    terms = stored(each.select("term").distinct().select(F.monotonically_increasing_id().alias("tid"), "term"))
+    cut_ids = each.join(terms, "term").groupBy("chunk").agg(F.collect_list("tid").alias("tids"))
+    found = stored(chunks.join(cut_ids, "chunk").select("home", "place", "tids"))
+    sums = blocks.drop("chunks").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_summed, CELLS)
+    return stored(sums.groupBy("gid", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))), terms
 
 
 def _share(n: str, total: str, terms: str, rule: AuditRule) -> Column:
@@ -146,52 +173,51 @@ def divergence_audit(docs: DataFrame, rule: AuditRule = DEFAULT_RULE) -> DataFra
     one source has no pairs. Ties are broken by the item's bytes. Rows with equal or null ids are documents
     like any others, other columns are not read, and an empty table gives an empty result.
     """
-    counts = term_counts(docs, rule)
-    kept = stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-                  .filter(F.col("docs") >= rule.least_docs).select("lang", "term", "lang_n"))
+    groups = source_groups(docs)
+    counts, terms = term_counts(docs, groups, rule)
+    small = fits_broadcast(groups)
+    counts = attach(counts, groups.select("gid", "lang"), ["gid"], "inner", small=small)
+    kept = stored(counts.groupBy("lang", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
+                  .filter(F.col("docs") >= rule.least_docs).select("lang", "tid", "lang_n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    used = stored(attach(counts.select("lang", "source", "term", "n"), kept, ["lang", "term"], "inner"))
-    totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
-    groups = _labelled(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
-    groups = groups.join(langs, "lang", "left").fillna(0, ["total", "held", "terms", "lang_total"])
+    used = stored(attach(counts.select("lang", "gid", "tid", "n"), kept, ["lang", "tid"], "inner"))
+    totals = used.groupBy("gid").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    groups = groups.join(totals, "gid", "left").join(langs, "lang", "left").fillna(0, ["total", "held", "terms", "lang_total"])
     # the share of a term that the group does not use
     groups = stored(groups.withColumn("none", F.when(F.col("terms") > 0, _share("0L", "total", "terms", rule))))
-    small = fits_broadcast(groups)
-    used = attach(used, groups, ["lang", "source"], "inner", small=small)
-    used = stored(used.select("lang", "source", "term", "none", _share("n", "total", "terms", rule).alias("p"),
+    used = attach(used, groups.select("gid", "total", "terms", "lang_total", "none"), ["gid"], "inner", small=small)
+    used = stored(used.select("lang", "gid", "tid", "none", _share("n", "total", "terms", rule).alias("p"),
                               _share("lang_n", "lang_total", "terms", rule).alias("q")))
-    return _pairs(used, groups).unionByName(_terms(used, rule))
+    return _pairs(used, groups).unionByName(_terms(used, groups, terms, rule))
 
 
 def _pairs(used: DataFrame, groups: DataFrame) -> DataFrame:
     """Sums over all kept terms, from the terms that a source uses: a term that neither of two sources uses
     gives the same value each time, and one that only one of them uses depends on its share there alone."""
     left, right = (
-        used.select("lang", "term", F.col("source").alias(s), F.col("p").alias(f"p_{s}"), F.col("none").alias(f"none_{s}"))
+        used.select("lang", "tid", F.col("gid").alias(s), F.col("p").alias(f"p_{s}"), F.col("none").alias(f"none_{s}"))
         for s in ("a", "b")
     )
-    shared = left.join(right, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b").agg(
+    shared = left.join(right, ["lang", "tid"]).filter("a < b").groupBy("a", "b").agg(
         F.sum(_apart("p_a", "p_b") - _apart("p_a", "none_b") - _apart("none_a", "p_b")).alias("more"),
         F.count("*").alias("both"))
-    levels = used.groupBy("lang", "source", "p").agg(F.count("*").alias("n"))
-    others = groups.select("lang", F.col("source").alias("other"), F.col("none").alias("none_other"))
-    alone = levels.join(others, "lang").filter("source <> other").groupBy("lang", "source", "other").agg(
-        F.sum(F.col("n") * _apart("p", "none_other")).alias("alone"))
-    alone = stored(alone)
+    levels = used.groupBy("lang", "gid", "p").agg(F.count("*").alias("n"))
+    others = groups.select("lang", F.col("gid").alias("other"), F.col("none").alias("none_other"))
+    alone = stored(levels.join(others, "lang").filter("gid <> other").groupBy("gid", "other").agg(
+        F.sum(F.col("n") * _apart("p", "none_other")).alias("alone")))
     a, b = (
-        groups.select("lang", F.col("source").alias(s), F.col("held").alias(f"held_{s}"), F.col("none").alias(f"none_{s}"), "terms")
+        groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "held", "none")], F.col("gid").alias(s), "terms")
         for s in ("a", "b")
     )
-    pairs = a.join(b.drop("terms"), "lang").filter("a < b").join(shared, ["lang", "a", "b"], "left")
-    for one, other, name in (("a", "b", "alone_a"), ("b", "a", "alone_b")):
-        side = alone.select("lang", F.col("source").alias(one), F.col("other").alias(other), F.col("alone").alias(name))
-        pairs = pairs.join(side, ["lang", "a", "b"], "left")
+    pairs = a.join(b.drop("terms"), "lang").filter("a < b").join(shared, ["a", "b"], "left")
+    for one, other in (("a", "b"), ("b", "a")):
+        side = alone.select(F.col("gid").alias(one), F.col("other").alias(other), F.col("alone").alias(f"alone_{one}"))
+        pairs = pairs.join(side, ["a", "b"], "left")
     pairs = pairs.fillna(0, ["more", "both", "alone_a", "alone_b"])
     neither = (F.col("terms") - F.col("held_a") - F.col("held_b") + F.col("both")) * _apart("none_a", "none_b")
     value = F.when(F.col("terms") > 0, F.col("alone_a") + F.col("alone_b") + F.col("more") + neither).otherwise(0)
-    pairs = stored(pairs.select("lang", "a", "b", value.cast("long").alias("value")))
-    both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(
-        pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
+    pairs = stored(pairs.select("lang", "source_a", "source_b", value.cast("long").alias("value")))
+    both = pairs.toDF("lang", "source", "item", "value").unionByName(pairs.toDF("lang", "item", "source", "value"))
     return both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", _rank().alias("rank"))
 
 
@@ -199,7 +225,10 @@ def _rank() -> Column:
     return F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
 
 
-def _terms(used: DataFrame, rule: AuditRule) -> DataFrame:
-    more = used.filter("p > q").select("lang", "source", F.col("term").alias("item"), _apart("p", "q").alias("value"))
-    ranked = more.withColumn("rank", _rank()).filter(F.col("rank") <= rule.top)
+def _terms(used: DataFrame, groups: DataFrame, terms: DataFrame, rule: AuditRule) -> DataFrame:
+    more = used.filter("p > q").select("gid", "tid", _apart("p", "q").alias("value"))
+    # with all ties of the last rank, as the terms decide among them
+    near = more.withColumn("near", F.rank().over(Window.partitionBy("gid").orderBy(F.col("value").desc())))
+    near = near.filter(F.col("near") <= rule.top).join(terms, "tid").join(groups.select("gid", "lang", "source"), "gid")
+    ranked = near.withColumnRenamed("term", "item").withColumn("rank", _rank()).filter(F.col("rank") <= rule.top)
     return ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import (
-    chat, decontaminate, divergence, exact_dedup, fingerprints, html_text, line_dedup, mixing, near_dup, secrets,
+    alignment, chat, decontaminate, divergence, exact_dedup, fingerprints, html_text, line_dedup, mixing, near_dup, secrets,
     suffix_dedup, toxicity,
 )
 from tallyframe.llm.oracles import AUDIT_SQL, CHAT_SQL, EXACT_SQL, MIX_SQL
@@ -70,6 +70,10 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, folder, "documents"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat": op10_chat,
     "op11_divergence": op11_divergence,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op6_mix": MIX_SQL, "op10_chat": CHAT_SQL, "op11_divergence": AUDIT_SQL, "op12_exact_dedup": EXACT_SQL,
