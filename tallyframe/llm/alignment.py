@@ -32,11 +32,13 @@ FOLDER = "/opt/tokenizers"
 @dataclass(frozen=True)
 class AlignRule:
     """`piece`: ends of both sides that a piece merges, about. `chunk_bytes`: text that a task tokenizes at
-    a time. `chunk_tokens`: tokens that it merges at a time."""
+    a time. `chunk_tokens`: tokens that it merges at a time. `batch_rows`: rows that a task is given at a
+    time, as a row of tokens may be large."""
 
     piece: int = 1 << 16
     chunk_bytes: int = 1 << 20
     chunk_tokens: int = 1 << 19
+    batch_rows: int = 256
 
 
 DEFAULT_RULE = AlignRule()
@@ -405,7 +407,8 @@ def tokenized(docs: DataFrame, models, id_col: str, text_col: str, rule: AlignRu
     """One row per piece: the ids of both sides, and where their first tokens begin."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n"))
-    return stored(rows.mapInArrow(_tokenized(models, rule), PIECES.format(id=docs.schema[id_col].dataType.simpleString())))
+    return stored(rows.mapInArrow(_tokenized(models, rule), PIECES.format(id=docs.schema[id_col].dataType.simpleString())),
+                  rule.batch_rows)
 
 
 def merged_pieces(pieces: DataFrame, models, rule: AlignRule) -> DataFrame:
@@ -413,4 +416,4 @@ def merged_pieces(pieces: DataFrame, models, rule: AlignRule) -> DataFrame:
     schema = MERGED.format(id=pieces.schema["doc_id"].dataType.simpleString())
     one = pieces.filter("pieces = 1").mapInArrow(_merged(models, rule), schema)
     many = pieces.filter("pieces > 1").repartition("row", "piece").mapInArrow(_merged(models, rule), schema)
-    return stored(one.unionByName(many))
+    return stored(one.unionByName(many), rule.batch_rows)

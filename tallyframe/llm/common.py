@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.storage import written
 
-# Words are runs of anything but ASCII white space; the same pattern holds in Java, RE2 and Python.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Words are runs of anything but ASCII white space; the same pattern holds in Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,15 +33,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read back, so a lost executor costs nothing.
 
-    The shuffle files of the write are dropped once it has ended, as nothing reads them again.
+    The shuffle files of the write are dropped once it has ended, as nothing reads them again. `batch_rows`:
+    rows that Python functions in it are given at a time, for rows that are large.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} if batch_rows is None else {CLEANUP: "true", BATCH_ROWS: str(batch_rows)}
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
     try:
         return written(df)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
