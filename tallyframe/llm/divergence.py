@@ -10,7 +10,7 @@ Terms and groups are numbers until the report is made.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,8 @@ from tallyframe.operators.skew import attach, fits_broadcast
 
 # Terms are runs of letters A-Z and of anything beyond ASCII, so no term crosses white space.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCKS = "block long, chunks array<string>, groups array<long>, sizes array<int>, places array<int>, counts array<int>"
+BLOCKS = "block long, chunks array<string>, docs binary, pairs binary"
+PAIRS_AT_ONCE = 1 << 18
 CELLS = "gid long, tid long, docs long, n long"
 
 
@@ -37,12 +38,24 @@ class AuditRule:
     least_docs: int = 10
     scale: int = 1_000_000_000
     top: int = 10
-    block_bytes: int = 32 << 20
+    block_bytes: int = 16 << 20
 
 
 DEFAULT_RULE = AuditRule()
 
 
+def packed_table(**columns: np.ndarray) -> bytes:
+    """Columns as compressed bytes: places of words take a third of their plain size."""
+    table, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    return [c.to_numpy() for c in pa.ipc.open_stream(raw).read_all().columns]
+
+
 class Block:
     """Documents as places in a list of distinct chunks, with counts."""
 
@@ -63,13 +76,12 @@ class Block:
 
     def row(self, number: int) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
-        lists = (
-            pa.array(list(self.place), pa.binary()).cast(pa.string()), pa.array(self.groups, pa.int64()), pa.array(sizes),
-            pa.array(np.concatenate(self.parts)), pa.array(np.concatenate(self.counts)),
-        )
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *lists], ["block", "chunks", "groups", "sizes", "places", "counts"])
+        docs = packed_table(group=np.array(self.groups, np.int64), size=sizes)
+        pairs = packed_table(place=np.concatenate(self.parts), count=np.concatenate(self.counts))
+        chunks = pa.array(list(self.place), pa.binary()).cast(pa.string())
+        chunks = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+        columns = [pa.array([number], pa.int64()), chunks, pa.array([docs], pa.binary()), pa.array([pairs], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "chunks", "docs", "pairs"])
 
 
 def _counted(rule: AuditRule):
@@ -98,27 +110,28 @@ def _summed(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """Documents and occurrences per group and term of one block."""
     if not blocks.num_rows or not found.num_rows:
         return pa.table({c: pa.array([], pa.int64()) for c in ("gid", "tid", "docs", "n")})
-    groups, sizes, place, count = (_flat(blocks.column(c))[0] for c in ("groups", "sizes", "places", "counts"))
+    groups, sizes = unpacked(blocks.column("docs")[0].as_py())
+    place, count = unpacked(blocks.column("pairs")[0].as_py())
     gids, group = np.unique(groups, return_inverse=True)
     # the terms of a chunk one after the other, in the order of the chunks
     found = found.sort_by("place")
     ids, lengths = _flat(found.column("tids"))
     tids, term = np.unique(ids, return_inverse=True)
-    many = np.zeros(int(place.max()) + 1, np.int64)
+    many = np.zeros(int(place.max(initial=0)) + 1, np.int32)
     many[found.column("place").to_numpy()] = lengths
     start = np.cumsum(many) - many
     # one row per document, chunk and term in it
     length = many[place]
     entry = np.repeat(np.arange(len(place), dtype=np.int32), length)
-    step = np.arange(len(entry)) - np.repeat(np.cumsum(length) - length, length)
+    step = np.arange(len(entry), dtype=np.int32) - np.repeat(np.cumsum(length) - length, length)
     term = term[start[place[entry]] + step]
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[entry]
+    pair = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[entry] * len(tids) + term
     # sorted by document and term, each pair once with its occurrences
-    order = np.argsort(doc * len(tids) + term, kind="stable")
-    doc, term, n = doc[order], term[order], count[entry[order]].astype(np.int64)
-    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
-    n = np.add.reduceat(n, first)
-    cell = group[doc[first]] * len(tids) + term[first]
+    order = np.argsort(pair, kind="stable")
+    pair, n = pair[order], count[entry[order]].astype(np.int64)
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n, pair = np.add.reduceat(n, first), pair[first]
+    cell = group[pair // len(tids)] * len(tids) + pair % len(tids)
     order = np.argsort(cell, kind="stable")
     cells, at, docs = np.unique(cell[order], return_index=True, return_counts=True)
     return pa.table({
@@ -137,7 +150,9 @@ def source_groups(docs: DataFrame) -> DataFrame:
     return stored(groups.select(F.monotonically_increasing_id().alias("gid"), "lang", "source"))
 
 
-def term_counts(docs: DataFrame, groups: DataFrame, rule: AuditRule = DEFAULT_RULE) -> tuple[DataFrame, DataFrame]:
+def term_counts(
+    docs: DataFrame, groups: DataFrame, rule: AuditRule = DEFAULT_RULE, hashed: Callable[[Column], Column] = F.xxhash64
+) -> tuple[DataFrame, DataFrame]:
     """`gid, tid, docs, n`, the documents that hold a term and its occurrences, and `tid, term`."""
     numbered = attach(_labelled(docs), groups, ["lang", "source"], "inner", small=fits_broadcast(groups))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")
@@ -146,12 +161,35 @@ def term_counts(docs: DataFrame, groups: DataFrame, rule: AuditRule = DEFAULT_RU
     chunks = blocks.select(F.col("block").alias("home"), F.posexplode("chunks").alias("place", "chunk"))
     cut = F.regexp_extract_all(lowered(F.col("chunk")), F.lit(TERM), F.lit(0)).alias("terms")
     distinct = stored(chunks.select("chunk").distinct().select("chunk", cut).filter(F.size("terms") > 0))
-    each = distinct.select("chunk", F.explode("terms").alias("term"))
-    terms = stored(each.select("term").distinct().select(F.monotonically_increasing_id().alias("tid"), "term"))
-    cut_ids = each.join(terms, "term").groupBy("chunk").agg(F.collect_list("tid").alias("tids"))
-    found = stored(chunks.join(cut_ids, "chunk").select("home", "place", "tids"))
+    terms = stored(distinct.select(F.explode("terms").alias("term")).distinct())
+    number = term_number(terms, hashed)
+    found = chunks.join(distinct.select("chunk", F.transform("terms", number).alias("tids")), "chunk")
+    found = stored(found.select("home", "place", "tids"))
     sums = blocks.drop("chunks").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_summed, CELLS)
-    return stored(sums.groupBy("gid", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))), terms
+    counts = stored(sums.groupBy("gid", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    return counts, terms.select(number(F.col("term")).alias("tid"), "term")
+
+
+def term_number(terms: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> Callable[[Column], Column]:
+    """A number for every term: its hash. The terms that share a hash, of which there are hardly any (one pair
+    among six billion terms), are listed, and all but the first take the next numbers that no term has."""
+    by_hash = terms.select("term", hashed(F.col("term")).alias("tid"))
+    shared = by_hash.join(by_hash.groupBy("tid").count().filter("count > 1").select("tid"), "tid").orderBy("tid", "term").collect()
+    given: dict[str, int] = {}
+    seen: set[int] = set()
+    for r in shared:
+        if r.tid not in seen:
+            seen.add(r.tid)
+            continue
+        number = r.tid
+        while number in seen or not by_hash.filter(F.col("tid") == number).isEmpty():
+            number = number + 1 if number < (1 << 63) - 1 else -(1 << 63)
+        seen.add(number)
+        given[r.term] = number
+    if not given:
+        return lambda term: hashed(term)
+    listed = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+    return lambda term: F.coalesce(F.try_element_at(listed, term), hashed(term))
 
 
 def _share(n: str, total: str, terms: str, rule: AuditRule) -> Column:
@@ -191,16 +229,46 @@ def divergence_audit(docs: DataFrame, rule: AuditRule = DEFAULT_RULE) -> DataFra
     return _pairs(used, groups).unionByName(_terms(used, groups, terms, rule))
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the terms that both sources of a pair use; a row is a term with its sources and shares."""
+    for batch in batches:
+        uses = batch.column("uses")
+        gid, p, none = (uses.flatten().field(k).to_numpy() for k in range(3))
+        left_of_row = np.repeat(uses.offsets.to_numpy()[1:] - uses.offsets.to_numpy()[0], np.diff(uses.offsets.to_numpy()))
+        after = left_of_row - np.arange(len(gid)) - 1  # pairs of each use with the later ones of its term
+        for lo, hi in _stretches(after, PAIRS_AT_ONCE):
+            n = after[lo:hi]
+            a = np.repeat(np.arange(lo, hi), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+
+            def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return (x - y) * (x - y) // (x + y)
+
+            more = apart(p[a], p[b]) - apart(p[a], none[b]) - apart(none[a], p[b])
+            gids, at = np.unique(np.concatenate([gid[a], gid[b]]), return_inverse=True)
+            x, y = at[: len(a)], at[len(a) :]
+            code, which = np.unique(np.minimum(x, y) * len(gids) + np.maximum(x, y), return_inverse=True)
+            total = np.zeros(len(code), np.int64)
+            np.add.at(total, which, more)
+            both = np.bincount(which, minlength=len(code)).astype(np.int64)
+            columns = [gids[code // max(1, len(gids))], gids[code % max(1, len(gids))], total, both]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "more", "both"])
+
+
+def _stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of entries whose sizes add up to about `most`."""
+    mark = np.cumsum(sizes) // most
+    start = np.flatnonzero(np.diff(mark, prepend=-1))
+    return zip(start.tolist(), [*start[1:].tolist(), len(sizes)])
+
+
 def _pairs(used: DataFrame, groups: DataFrame) -> DataFrame:
     """Sums over all kept terms, from the terms that a source uses: a term that neither of two sources uses
     gives the same value each time, and one that only one of them uses depends on its share there alone."""
-    left, right = (
-        used.select("lang", "tid", F.col("gid").alias(s), F.col("p").alias(f"p_{s}"), F.col("none").alias(f"none_{s}"))
-        for s in ("a", "b")
-    )
-    shared = left.join(right, ["lang", "tid"]).filter("a < b").groupBy("a", "b").agg(
-        F.sum(_apart("p_a", "p_b") - _apart("p_a", "none_b") - _apart("none_a", "p_b")).alias("more"),
-        F.count("*").alias("both"))
+    # a term has at most one entry per source of its language
+    uses = used.groupBy("lang", "tid").agg(F.collect_list(F.struct("gid", "p", "none")).alias("uses"))
+    shared = uses.select("uses").mapInArrow(_together, "a long, b long, more long, both long").groupBy("a", "b").agg(
+        F.sum("more").alias("more"), F.sum("both").alias("both"))
     levels = used.groupBy("lang", "gid", "p").agg(F.count("*").alias("n"))
     others = groups.select("lang", F.col("gid").alias("other"), F.col("none").alias("none_other"))
     alone = stored(levels.join(others, "lang").filter("gid <> other").groupBy("gid", "other").agg(

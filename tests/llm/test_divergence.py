@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 from helpers import LOWER, awkward, empty, prose
+from pyspark.sql import functions as F
 
 from tallyframe.llm import divergence
 from tallyframe.llm.divergence import AuditRule
@@ -77,13 +78,27 @@ def test_ties_and_exact_arithmetic(spark):
 
 def test_one_block():
     """A document counts once per term, whatever chunks it stands in."""
-    blocks = pa.table({"block": [1], "groups": [[7, 9]], "sizes": [[3, 1]], "places": [[0, 1, 2, 1]], "counts": [[2, 1, 5, 4]]})
+    block = divergence.Block()
+    for group, text in ((7, b"a, b... a, c c c c c"), (9, b"b... b...\x0bb... b...")):
+        block.add(group, text)
+    blocks = pa.Table.from_batches([block.row(1)])
+    assert blocks.column("chunks").to_pylist() == [["a,", "b...", "c"]]
     found = pa.table({"home": [1, 1], "place": [1, 0], "tids": [[50, 60, 60], [50]]})
     out = divergence._summed(blocks, found).to_pylist()
     assert {tuple(r.values()) for r in out} == {(7, 50, 1, 3), (7, 60, 1, 2), (9, 50, 1, 4), (9, 60, 1, 8)}
     assert divergence._summed(blocks, found.slice(0, 0)).num_rows == 0
 
 
+def test_terms_that_share_a_hash(spark):
+    """Terms whose hashes are equal, or are the next number, have numbers of their own."""
+    rows = [(c + d,) for c in "abcdef" for d in "xyz"]
+    terms = spark.createDataFrame(rows, "term string")
+    for hashed in (lambda t: F.length(t).cast("long"), lambda t: (F.ascii(t) % 2).cast("long"), F.xxhash64):
+        number = divergence.term_number(terms, hashed)
+        got = {r.term: r.tid for r in terms.select("term", number(F.col("term")).alias("tid")).collect()}
+        assert len(set(got.values())) == len(rows)
+
+
 def test_awkward_rows_and_empty_table(spark):
     docs = awkward(spark).selectExpr("*", "CAST(NULL AS STRING) AS lang")
     assert {r.lang for r in divergence.divergence_audit(docs).collect()} <= {""}
