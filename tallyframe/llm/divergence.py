@@ -24,7 +24,9 @@ from tallyframe.operators.skew import attach, fits_broadcast
 
 # Terms are runs of letters A-Z and of anything beyond ASCII, so no term crosses white space.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCKS = "block long, chunks array<string>, docs binary, pairs binary"
+BLOCKS = "block long, chunks array<string>, docs binary, pairs binary, n_pairs long"
+GATHERED = 100_000  # chunks whose terms are packed at a time
+PART_CELLS = 2_000_000  # cells that a task adds up, at most, but for those of one term
 PAIRS_AT_ONCE = 1 << 18
 CELLS = "gid long, tid long, docs long, n long"
 
@@ -44,16 +46,25 @@ class AuditRule:
 DEFAULT_RULE = AuditRule()
 
 
-def packed_table(**columns: np.ndarray) -> bytes:
-    """Columns as compressed bytes: places of words take a third of their plain size."""
-    table, sink = pa.table(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as compressed bytes."""
+    raw = b"".join(len(c).to_bytes(8, "little") + c.tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
-    return [c.to_numpy() for c in pa.ipc.open_stream(raw).read_all().columns]
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 8))
+        at += 8 + n * np.dtype(kind).itemsize
+    return out
+
+
+def _joined(blobs: pa.ChunkedArray, *kinds: type) -> list[np.ndarray]:
+    """Columns of several packs, one after the other."""
+    return [np.concatenate(c) for c in zip(*(unpack(b.as_py(), *kinds) for b in blobs))]
 
 
 class Block:
@@ -76,12 +87,13 @@ class Block:
 
     def row(self, number: int) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
-        docs = packed_table(group=np.array(self.groups, np.int64), size=sizes)
-        pairs = packed_table(place=np.concatenate(self.parts), count=np.concatenate(self.counts))
+        docs = pack(np.array(self.groups, np.int64), sizes)
+        pairs = pack(np.concatenate(self.parts), np.concatenate(self.counts))
         chunks = pa.array(list(self.place), pa.binary()).cast(pa.string())
         chunks = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
-        columns = [pa.array([number], pa.int64()), chunks, pa.array([docs], pa.binary()), pa.array([pairs], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "chunks", "docs", "pairs"])
+        columns = [pa.array([number], pa.int64()), chunks, pa.array([docs], pa.binary()), pa.array([pairs], pa.binary()),
+                   pa.array([int(sizes.sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "chunks", "docs", "pairs", "n_pairs"])
 
 
 def _counted(rule: AuditRule):
@@ -100,26 +112,68 @@ def _counted(rule: AuditRule):
     return tasks
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, and the length of each list."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-
-
-def _summed(blocks: pa.Table, found: pa.Table) -> pa.Table:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of the terms of chunks, packed by the block they go back to."""
+    for batch in batches:
+        home, place = (batch.column(c).to_numpy() for c in ("home", "place"))
+        ids = batch.column("tids")
+        length = np.diff(ids.offsets.to_numpy()).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        ids = ids.take(pa.array(order)).flatten().to_numpy()
+        home, place, length = home[order], place[order], length[order]
+        first = np.flatnonzero(np.diff(home, prepend=-1))
+        ends = np.concatenate([[0], np.cumsum(length)])
+        blobs = [pack(place[a:b], length[a:b], ids[ends[a] : ends[b]]) for a, b in zip(first, [*first[1:], len(home)])]
+        yield pa.RecordBatch.from_arrays([pa.array(home[first]), pa.array(blobs, pa.binary())], ["home", "terms"])
+
+
+def _summed(parts: int):
+    def block(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        """Documents and occurrences per group and term of one block, packed by parts of the terms."""
+        if not blocks.num_rows or not found.num_rows:
+            return pa.table({"part": pa.array([], pa.int32()), "cells": pa.array([], pa.binary())})
+        gid, tid, docs, n = _cells(blocks, found)
+        part = tid.view(np.uint64) % np.uint64(parts)
+        order = np.lexsort((gid, tid, part))
+        part, columns = part[order], [c[order] for c in (gid, tid, docs, n)]
+        first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        blobs = [pack(*_in_steps(*(c[a:b] for c in columns))) for a, b in zip(first, [*first[1:], len(part)])]
+        return pa.table({"part": pa.array(part[first].astype(np.int32)), "cells": pa.array(blobs, pa.binary())})
+
+    return block
+
+
+def _in_steps(gid: np.ndarray, tid: np.ndarray, docs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rising numbers as the steps between them, which pack well."""
+    return gid, np.diff(tid, prepend=0), docs, n
+
+
+def _added(cells: pa.Table) -> pa.Table:
+    """The cells of a part of the terms, summed over the blocks."""
+    gid, tid, docs, n = (np.concatenate(c) for c in zip(*(
+        (g, np.cumsum(t), d, m) for g, t, d, m in (unpack(b.as_py(), *[np.int64] * 4) for b in cells.column("cells")))))
+    gids, g = np.unique(gid, return_inverse=True)
+    tids, t = np.unique(tid, return_inverse=True)
+    cell, which = np.unique(t * len(gids) + g, return_inverse=True)
+    sums = []
+    for values in (docs, n):
+        total = np.zeros(len(cell), np.int64)
+        np.add.at(total, which, values)
+        sums.append(total)
+    return pa.table({"gid": gids[cell % len(gids)], "tid": tids[cell // len(gids)], "docs": sums[0], "n": sums[1]})
+
+
+def _cells(blocks: pa.Table, found: pa.Table) -> tuple[np.ndarray, ...]:
     """Documents and occurrences per group and term of one block."""
-    if not blocks.num_rows or not found.num_rows:
-        return pa.table({c: pa.array([], pa.int64()) for c in ("gid", "tid", "docs", "n")})
-    groups, sizes = unpacked(blocks.column("docs")[0].as_py())
-    place, count = unpacked(blocks.column("pairs")[0].as_py())
+    groups, sizes = unpack(blocks.column("docs")[0].as_py(), np.int64, np.int32)
+    place, count = unpack(blocks.column("pairs")[0].as_py(), np.int32, np.int32)
     gids, group = np.unique(groups, return_inverse=True)
-    # the terms of a chunk one after the other, in the order of the chunks
-    found = found.sort_by("place")
-    ids, lengths = _flat(found.column("tids"))
+    # the terms of a chunk one after the other
+    places, lengths, ids = _joined(found.column("terms"), np.int32, np.int32, np.int64)
     tids, term = np.unique(ids, return_inverse=True)
-    many = np.zeros(int(place.max(initial=0)) + 1, np.int32)
-    many[found.column("place").to_numpy()] = lengths
-    start = np.cumsum(many) - many
+    many, start = (np.zeros(int(place.max(initial=0)) + 1, np.int64) for _ in range(2))
+    many[places] = lengths
+    start[places] = np.cumsum(lengths) - lengths
     # one row per document, chunk and term in it
     length = many[place]
     entry = np.repeat(np.arange(len(place), dtype=np.int32), length)
@@ -134,10 +188,7 @@ def _summed(blocks: pa.Table, found: pa.Table) -> pa.Table:
     cell = group[pair // len(tids)] * len(tids) + pair % len(tids)
     order = np.argsort(cell, kind="stable")
     cells, at, docs = np.unique(cell[order], return_index=True, return_counts=True)
-    return pa.table({
-        "gid": gids[cells // len(tids)], "tid": tids[cells % len(tids)], "docs": docs.astype(np.int64),
-        "n": np.add.reduceat(n[order], at),
-    })
+    return gids[cells // len(tids)], tids[cells % len(tids)], docs.astype(np.int64), np.add.reduceat(n[order], at)
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -164,9 +215,12 @@ def term_counts(
     terms = stored(distinct.select(F.explode("terms").alias("term")).distinct())
     number = term_number(terms, hashed)
     found = chunks.join(distinct.select("chunk", F.transform("terms", number).alias("tids")), "chunk")
-    found = stored(found.select("home", "place", "tids"))
-    sums = blocks.drop("chunks").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_summed, CELLS)
-    counts = stored(sums.groupBy("gid", "tid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    found = stored(found.select("home", "place", "tids").mapInArrow(_gathered, "home long, terms binary"), GATHERED)
+    # a part's cells fit a task whatever the number of blocks
+    parts = max(1, -(-(blocks.agg(F.sum("n_pairs")).first()[0] or 0) // PART_CELLS))
+    sums = blocks.select("block", "docs", "pairs").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(
+        _summed(parts), "part int, cells binary")
+    counts = stored(sums.groupBy("part").applyInArrow(_added, CELLS))
     return counts, terms.select(number(F.col("term")).alias("tid"), "term")
 
 

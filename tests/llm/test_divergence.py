@@ -83,10 +83,16 @@ def test_one_block():
         block.add(group, text)
     blocks = pa.Table.from_batches([block.row(1)])
     assert blocks.column("chunks").to_pylist() == [["a,", "b...", "c"]]
-    found = pa.table({"home": [1, 1], "place": [1, 0], "tids": [[50, 60, 60], [50]]})
-    out = divergence._summed(blocks, found).to_pylist()
-    assert {tuple(r.values()) for r in out} == {(7, 50, 1, 3), (7, 60, 1, 2), (9, 50, 1, 4), (9, 60, 1, 8)}
-    assert divergence._summed(blocks, found.slice(0, 0)).num_rows == 0
+    found = pa.RecordBatch.from_pydict({"home": [1, 1], "place": pa.array([1, 0], pa.int32()), "tids": [[50, 60, 60], [-50]]})
+    found = pa.Table.from_batches(list(divergence._gathered([found])))
+    want = {(7, -50, 1, 2), (7, 50, 1, 1), (7, 60, 1, 2), (9, 50, 1, 4), (9, 60, 1, 8)}
+    assert set(zip(*(c.tolist() for c in divergence._cells(blocks, found)))) == want
+    for parts in (1, 3):
+        packed = divergence._summed(parts)(blocks, found)
+        twice = pa.concat_tables([packed, packed])
+        got = divergence._added(twice).to_pylist()
+        assert {(r["gid"], r["tid"], r["docs"] // 2, r["n"] // 2) for r in got} == want and len(got) == 5
+    assert divergence._summed(1)(blocks, found.slice(0, 0)).num_rows == 0
 
 
 def test_terms_that_share_a_hash(spark):
