@@ -49,3 +49,11 @@ def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     finally:
         for key, value in before.items():
             conf.unset(key) if value is None else conf.set(key, value)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more, as all that came of it is stored itself."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

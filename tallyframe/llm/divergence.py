@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lowered, stored
+from tallyframe.llm.common import discard, lowered, stored
 from tallyframe.operators.skew import attach, fits_broadcast
 
 # Terms are runs of letters A-Z and of anything beyond ASCII, so no term crosses white space.
@@ -216,11 +216,14 @@ def term_counts(
     number = term_number(terms, hashed)
     found = chunks.join(distinct.select("chunk", F.transform("terms", number).alias("tids")), "chunk")
     found = stored(found.select("home", "place", "tids").mapInArrow(_gathered, "home long, terms binary"), GATHERED)
+    discard(distinct)
     # a part's cells fit a task whatever the number of blocks
     parts = max(1, -(-(blocks.agg(F.sum("n_pairs")).first()[0] or 0) // PART_CELLS))
     sums = blocks.select("block", "docs", "pairs").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(
         _summed(parts), "part int, cells binary")
     counts = stored(sums.groupBy("part").applyInArrow(_added, CELLS))
+    discard(blocks)
+    discard(found)
     return counts, terms.select(number(F.col("term")).alias("tid"), "term")
 
 
