@@ -1,143 +1,93 @@
-"""Spreadsheet workbooks: many files per job, one file per record, decoded inside tasks."""
+"""Spreadsheet workbooks: many files per job, one task per sheet, rows decoded as they stream past."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tallyframe.operators.parse import PLACE
 from tallyframe.operators.skew import attach
+from tallyframe.sources import xlsx
+from tallyframe.sources.files import PATHS_PER_TASK, open_at_random
 
-_ROWS = "path string, sheet_no int, sheet string, row_no bigint, cells array<string>"
+_PART = pa.struct([("method", pa.int32()), ("start", pa.int64()), ("size", pa.int64())])
+_SHEETS = pa.schema([
+    ("path", pa.string()), ("sheet_no", pa.int32()), ("sheet", pa.string()), ("part", _PART), ("shared", _PART),
+    ("dates", pa.list_(pa.string())), ("later", pa.bool_()), ("error", pa.string()),
+])
+_ROWS = pa.schema([
+    ("path", pa.string()), ("sheet_no", pa.int32()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())),
+])
+_AT_ONCE = 10_000  # rows given out at a time
 
 
-def _decoder():
-    """Generator of (sheet_no, sheet, row_no, cells); nested so that it travels by value."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def decode(content: bytes):
-        import io
-        import re
-        import zipfile
-        from datetime import datetime, timedelta
-        from decimal import Decimal, InvalidOperation
-        from xml.etree import ElementTree
 
-        def local(tag: str) -> str:
-            return tag.rsplit("}", 1)[-1]
+def _described(err: Exception) -> str:
+    return f"{type(err).__name__}: {err}"
 
-        def text_of(node) -> str:
-            return "".join(t.text or "" for t in node.iter() if local(t.tag) == "t")
 
-        def column_no(reference: str) -> int:
-            n = 0
-            for ch in re.match(r"[A-Z]+", reference).group():
-                n = n * 26 + ord(ch) - 64
-            return n - 1
+def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per sheet: where its part of the file lies, and what its cells need."""
+    def plain(part: xlsx.Part | None) -> dict | None:
+        return asdict(part) if part else None
 
-        def exact(text: str) -> str:
-            """A stored number without an exponent, as the cell holds it."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for path in batch.column("path").to_pylist():
             try:
-                number = Decimal(text)
-            except InvalidOperation:
-                return text
-            return format(number, "f") if "E" in text.upper() and number.is_finite() else text
+                with open_at_random(path) as file:
+                    book = xlsx.open_book(file)
+                rows += [(path, s.number, s.name, plain(s.part), plain(book.shared), book.dates, book.later, None) for s in book.sheets]
+            except Exception as err:  # a broken file is reported, not fatal
+                rows.append((path, -1, None, None, None, [], False, _described(err)))
+        yield _batch(rows, _SHEETS)
 
-        def dated(text: str, base: datetime) -> str:
-            """A serial day number as an ISO date, with a time if it has one."""
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(value: dict | None) -> xlsx.Part | None:
+        return xlsx.Part(**value) if value else None
+
+    for batch in batches:
+        for s in batch.to_pylist():
+            rows: list[tuple] = []
             try:
-                days = float(text)
-            except ValueError:
-                return text
-            if base.year == 1899 and days < 60:  # the serial calendar has a 29 February 1900
-                days += 1
-            moment = base + timedelta(seconds=round(days * 86400))
-            return moment.strftime("%Y-%m-%d" if moment.time() == moment.min.time() else "%Y-%m-%d %H:%M:%S")
-
-        def date_styles() -> set:
-            """Numbers of the cell styles that show dates."""
-            if "xl/styles.xml" not in book.namelist():
-                return set()
-            root = ElementTree.fromstring(book.read("xl/styles.xml"))
-            shown = set(range(14, 23)) | set(range(27, 37)) | set(range(45, 48)) | set(range(50, 59))  # fixed values
-            for node in root.iter():
-                if local(node.tag) == "numFmt":
-                    code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", node.get("formatCode", ""))
-                    number = int(node.get("numFmtId", -1))
-                    shown = shown | {number} if re.search(r"[dmyhsDMYHS]", code) else shown - {number}
-            cells = next((n for n in root if local(n.tag) == "cellXfs"), ())
-            return {str(i) for i, n in enumerate(cells) if int(n.get("numFmtId", 0)) in shown}
-
-        book = zipfile.ZipFile(io.BytesIO(content))
-        dates = date_styles()
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = [text_of(node) for node in root if local(node.tag) == "si"]
-        links = {}
-        for node in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
-            target = node.get("Target", "")
-            links[node.get("Id")] = target.lstrip("/") if target.startswith("/") else "xl/" + target
-        root = ElementTree.fromstring(book.read("xl/workbook.xml"))
-        sheets = [n for n in root.iter() if local(n.tag) == "sheet"]
-        later = any(local(n.tag) == "workbookPr" and n.get("date1904") in ("1", "true") for n in root.iter())
-        base = datetime(1904, 1, 1) if later else datetime(1899, 12, 30)
-        for sheet_no, sheet in enumerate(sheets):
-            link = next(v for k, v in sheet.attrib.items() if local(k) == "id")
-            with book.open(links[link]) as part:
-                number = 0
-                for _, node in ElementTree.iterparse(part):
-                    if local(node.tag) != "row":
-                        continue
-                    cells: list = []
-                    for cell in node:
-                        at = column_no(cell.get("r")) if cell.get("r") else len(cells)
-                        cells += [None] * (at + 1 - len(cells))
-                        kind = cell.get("t")
-                        value = next((c.text for c in cell if local(c.tag) == "v"), None)
-                        if kind == "inlineStr":
-                            value = text_of(cell)
-                        elif kind == "s" and value is not None:
-                            value = shared[int(value)]
-                        elif kind == "b" and value is not None:
-                            value = "True" if value == "1" else "False"
-                        elif kind == "e":
-                            value = None
-                        elif kind in (None, "n") and value is not None:
-                            value = dated(value, base) if cell.get("s") in dates else exact(value)
-                        cells[at] = value
-                    number = int(node.get("r", number + 1))  # the number may be left out
-                    if any(c not in (None, "") for c in cells):
-                        yield sheet_no, sheet.get("name"), number, cells
-                    node.clear()
-
-    return decode
+                if s["error"]:
+                    rows.append((s["path"], -1, None, 0, [s["error"]]))
+                else:
+                    with open_at_random(s["path"]) as file:
+                        shared = xlsx.shared_strings(file, part(s["shared"]))
+                        for number, cells in xlsx.sheet_rows(file, part(s["part"]), shared, set(s["dates"]), s["later"]):
+                            rows.append((s["path"], s["sheet_no"], s["sheet"], number, cells))
+                            if len(rows) == _AT_ONCE:
+                                yield _batch(rows, _ROWS)
+                                rows = []
+            except Exception as err:
+                rows.append((s["path"], -1, None, 0, [_described(err)]))
+            yield _batch(rows, _ROWS)
 
 
 def workbook_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Non-empty rows of every sheet. A file that cannot be decoded gives one row with sheet_no -1
-    and the reason as its only cell. One workbook is one record, so its size must fit a task."""
-    decode = _decoder()
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows: list = []
-                try:
-                    for row in decode(content):
-                        rows.append((path, *row))
-                        if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
-                            rows = []
-                except Exception as err:  # a broken file is reported, not fatal
-                    rows.append((path, -1, None, 0, [f"{type(err).__name__}: {err}"]))
-                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row_no", "cells"])
-
-    files = spark.read.format("binaryFile").load([str(p) for p in paths]).select("path", "content")
-    return files.mapInPandas(run, _ROWS)
+    """Non-empty rows of every sheet. A file or sheet that cannot be decoded gives one row with sheet_no -1
+    and the reason as its only cell.
+
+    Files are read by ranges: first the directory of each, then every sheet in a task of its own, which
+    holds a piece of the sheet, the workbook's shared strings and 10,000 rows. No task holds a file, and
+    the file format ends a sheet at 1,048,576 rows.
+    """
+    given = spark.createDataFrame([(str(p),) for p in paths], "path string")
+    listed = given.repartition(max(1, -(-len(paths) // PATHS_PER_TASK)), "path").mapInArrow(_sheets, from_arrow_schema(_SHEETS))
+    # a row per sheet says little about the work: small partitions are not put together
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, "path", "sheet_no").mapInArrow(_decoded, from_arrow_schema(_ROWS))
 
 
 def sheet_summary(rows: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -167,6 +117,6 @@ def scan_workbook(rows: DataFrame, paths: Sequence[str], headers: list[str], she
         *[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(len(headers))],
         (F.col("row_no") - F.col("_top") - 1).alias(PLACE[0]),
         F.element_at(parts, -1).alias(PLACE[1]),
-        F.element_at(parts, -2).alias(PLACE[2]),
+        F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).alias(PLACE[2]),
         F.col("path").alias(PLACE[3]),
     )
