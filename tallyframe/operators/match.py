@@ -14,6 +14,7 @@ threshold allows changes loses no pair that could reach the threshold.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,15 +163,8 @@ def fuzzy_match(
 
     masters = cut(_candidate_masters(crm, queries, fits_broadcast(asked)))
     small = fits_broadcast(asked, masters)
-    pairs = _pairs(queries, masters.filter("_crm_name != ''"), _lowest_threshold(matching) / 100.0, policy, small)
-    scored = (
-        pairs.filter(can_reach("_crm_name", "_name", "_thr"))
-        .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))
-        .filter((F.col("score") >= F.col("_thr")) & (F.col("score") > 0))
-    )
-    best = scored.groupBy(*block, "_name", "_thr", "_shared_id").agg(
-        F.max(F.struct("score", (-F.col("crm_order")).alias("_neg"))).alias("_best")
-    )
+    named = masters.filter("_crm_name != ''")
+    best = _best_names(queries, named, _lowest_threshold(matching) / 100.0, policy, small, cut)
 
     # A client id on several master rows: its mobile hit hides its e-mail hit.
     hidden = (
@@ -214,6 +208,57 @@ def _candidate_masters(crm: DataFrame, queries: DataFrame, few: bool) -> DataFra
     )
 
 
+# Below this threshold a name has to be cut into more parts than it has letters.
+SEGMENTED = 2 / 3
+# Scores at which the names of large blocks are looked for first when the threshold lies below that. At lower
+# scores the parts of a name are so short that nearly all names share one.
+LEVELS = (0.9,)
+
+
+def _best_names(
+    queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, small: bool, cut: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The best name of each query and `_shared_id`, as `_best` (score, minus the master's order).
+
+    Only the best one counts. At a threshold too low for segments, large blocks are therefore searched from
+    the top: a query whose best name scores 0.9 or more has it from segments for 0.9, and only queries
+    without such a name are compared with all names of fitting length.
+    """
+    block, ask = ["kind", "key"], ["kind", "key", "_name", "_thr"]
+    if t > SEGMENTED:
+        return _top(queries, named, t, policy, small)
+    sizes = named.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.filter(F.col("n") > policy.hot_block).select(*block))
+    if large.isEmpty():
+        return _top(queries, named, t, policy, small)
+    crowded = attach(named, large, block, "left_semi", small)
+    left = cut(attach(queries, large, block, "left_semi", small))
+    found = []
+    for level in LEVELS:
+        hits = cut(_top(left, crowded, level, policy, small))
+        found.append(hits)
+        # a master row that shares its client id may be hidden later, so it settles nothing
+        settled = hits.filter("_shared_id IS NULL").select(*ask)
+        left = cut(attach(left, settled, ask, "left_anti", small).filter(F.col("_thr") < level * 100))
+    rest = attach(queries, large, block, "left_anti", small).unionByName(left)
+    found.append(_top(rest, named, t, policy, small))
+    return reduce(DataFrame.unionByName, found).groupBy(*ask, "_shared_id").agg(F.max("_best").alias("_best"))
+
+
+def _top(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, small: bool) -> DataFrame:
+    """The best name of each query and `_shared_id` that scores `t` and the query's own threshold."""
+    needed = F.greatest(F.col("_thr"), F.lit(t * 100.0))
+    pairs = _pairs(queries, named, t, policy, small).withColumn("_needed", needed)
+    scored = (
+        pairs.filter(can_reach("_crm_name", "_name", "_needed"))
+        .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))
+        .filter((F.col("score") >= F.col("_needed")) & (F.col("score") > 0))
+    )
+    return scored.groupBy("kind", "key", "_name", "_thr", "_shared_id").agg(
+        F.max(F.struct("score", (-F.col("crm_order")).alias("_neg"))).alias("_best")
+    )
+
+
 def _pairs(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, small: bool) -> DataFrame:
     """Name pairs that can reach the threshold `t`, and few others."""
     block = ["kind", "key"]

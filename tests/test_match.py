@@ -85,6 +85,9 @@ def frames(spark, crm, reports):
         (3, 0.9, ("mobile", "email"), SkewPolicy(hot_block=0)),
         (4, 0.7, ("email",), SkewPolicy(hot_block=2, task_pairs=1)),
         (5, 0.5, ("mobile",), SkewPolicy(hot_block=1, task_pairs=10)),
+        (10, 0.4, ("mobile", "email"), SkewPolicy(hot_block=4)),
+        (11, 0.6, ("mobile", "email"), SkewPolicy(hot_block=0, task_pairs=20)),
+        (12, 0.0, ("mobile", "email"), SkewPolicy(hot_block=5)),
         (6, 1.0, ("mobile", "email"), SkewPolicy(hot_block=1)),
     ],
 )
@@ -240,3 +243,33 @@ def test_master_rows_need_a_unique_order(spark):
     for bad in (spark.range(5), spark.sql("SELECT 1L AS crm_order UNION ALL SELECT 1L"), spark.sql("SELECT CAST(NULL AS BIGINT) AS crm_order")):
         with pytest.raises(SchemaMismatchError, match="crm_order"):
             check_order(bad)
+
+
+def test_low_threshold_in_a_hot_block(spark, monkeypatch):
+    """One mobile on a third of both sides at a threshold of 0.5: few pairs are formed, the best names are found."""
+    rng = random.Random(5)
+    names = sorted({" ".join("".join(rng.choices("ABCDEFGHIKLMNOPRSTUVY", k=rng.randint(4, 8))) for _ in range(3)) for _ in range(700)})
+    crm = [{"crm_client_id": f"C{i}", "crm_order": i, "pan": f"P{i}", "investor_name": n, "mobile": "9" if i % 3 == 0 else f"8{i}",
+            "email": None} for i, n in enumerate(names)]
+    hot = names[::3]
+    reports = []
+    for i in range(600):
+        name = rng.choice(hot)
+        if i % 20 == 0:  # no name close to it
+            name = " ".join("".join(rng.choices("ABCDEFGHIKLMNOPRSTUVY", k=6)) for _ in range(3))
+        elif i % 2:
+            at = rng.randrange(len(name))
+            name = name[:at] + "Z" + name[at + 1 :]
+        reports.append({"source": "CAMS", "raw_row_index": i + 2, "pan": f"Q{i}", "investor_name": name,
+                        "mobile": "9" if i % 3 == 0 else f"8{i}", "email": None})
+    want = brute(crm, reports, True, 50.0, ("mobile",))
+    formed = []
+    plain = match._pairs
+    monkeypatch.setattr(match, "_pairs", lambda *args: formed.append(plain(*args)) or formed[-1])
+    m = Matching(enable_fuzzy_matching=True, fuzzy_threshold=0.5, fuzzy_secondary_keys=("mobile",))
+    c, r = frames(spark, crm, reports)
+    rows = match.align(r, c, m, SkewPolicy(hot_block=100)).select("raw_row_index", F.col("crm.crm_order").alias("o"), "match_route").collect()
+    assert {x.raw_row_index: (x.o, x.match_route) for x in rows} == {k: v[:2] for k, v in want.items()}
+    assert len(formed) == len(match.LEVELS) + 1
+    asked = len({x["investor_name"] for x in reports if x["mobile"] == "9"})
+    assert sum(p.count() for p in formed) < asked * len(hot) / 3
