@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.config import DEFAULT_COMPARE_PROFILE, Profiles, ReconConfig, SourceProfile
-from tallyframe.functions.text import lookup
+from tallyframe.functions.text import fixed_two, lookup
 from tallyframe.operators.match import is_incomplete
 from tallyframe.schema import (
     AMOUNT,
@@ -109,7 +109,7 @@ def explanation(config: ReconConfig) -> Column:
     crm, report = col("crm_value"), col("report_value")
     labels = ", ".join(f"'{f}', '{c.label}'" for f, c in COMPARABLE.items())
     label = f"map({labels})[field_name]"
-    number = "format_string('%.2f', try_cast({} AS DOUBLE))"
+    crm_number, report_number = fixed_two("try_cast(crm_value AS DOUBLE)"), fixed_two("try_cast(report_value AS DOUBLE)")
     return F.expr(f"""
         CASE discrepancy_type
         WHEN 'MISSING_IN_CRM' THEN
@@ -128,8 +128,7 @@ def explanation(config: ReconConfig) -> Column:
         ELSE
           CASE WHEN discrepancy_type = 'AMOUNT_MISMATCH' AND try_cast(crm_value AS DOUBLE) IS NOT NULL
                     AND try_cast(report_value AS DOUBLE) IS NOT NULL
-          THEN concat('Amount mismatch detected. CRM value ', {number.format('crm_value')},
-                      ' differs from Report value ', {number.format('report_value')}, '.')
+          THEN concat('Amount mismatch detected. CRM value ', {crm_number}, ' differs from Report value ', {report_number}, '.')
           ELSE concat(initcap(replace(field_name, '_', ' ')), " mismatch detected. CRM value '", {crm},
                       "' differs from Report value '", {report}, "'.") END
         END
@@ -159,7 +158,7 @@ def _trace(route: Column, confidence: Column, run_ts: str, rule: Column, notes:
 
 
 # Columns that place a discrepancy: reports first, then master rows, each in file order.
-PLACE = ("phase", "file_id", "file_name", "raw_row_index", "folio_number", "field_no", "crm_client_id")
+PLACE = ("phase", "file_id", "file_name", "file_path", "raw_row_index", "folio_number", "field_no", "crm_client_id")
 
 
 def report_discrepancies(
@@ -183,7 +182,7 @@ def report_discrepancies(
     )
     flat = aligned.withColumns({**helpers, "_listed": listed, "crm_client_id": F.col("crm.crm_client_id")}).drop("crm")
     found = flat.select(
-        "pan", "source", "file_id", "file_name", "raw_row_index", "folio_number", "match_route", "match_confidence",
+        "pan", "source", "file_id", "file_name", "file_path", "raw_row_index", "folio_number", "match_route", "match_confidence",
         "crm_client_id", F.inline(entries),
     )
     info = F.expr(
@@ -199,7 +198,7 @@ def report_discrepancies(
         severity(config, F.col("discrepancy_type")).alias("severity"),
         explanation(config).alias("explanation"), "source", info.alias("source_info"),
         _trace(F.col("match_route"), F.col("match_confidence"), run_ts, rule, notes).alias("audit_trace"),
-        F.lit(0).alias("phase"), "file_id", "file_name", "raw_row_index", "folio_number", "field_no", "crm_client_id",
+        F.lit(0).alias("phase"), "file_id", "file_name", "file_path", "raw_row_index", "folio_number", "field_no", "crm_client_id",
     )
 
 
@@ -223,7 +222,7 @@ def master_discrepancies(missing: DataFrame, config: ReconConfig, run_ts: str =
         none.alias("report_value"), severity(config, kind).alias("severity"), why.alias("explanation"),
         F.lit("CRM").alias("source"), F.expr("map('crm_client_id', crm_client_id)").alias("source_info"),
         _trace(F.lit("UNMATCHED"), F.lit(0.0), run_ts, F.lit("CRM Master List"), no_notes).alias("audit_trace"),
-        F.lit(1).alias("phase"), none.alias("file_id"), none.alias("file_name"),
+        F.lit(1).alias("phase"), none.alias("file_id"), none.alias("file_name"), none.alias("file_path"),
         F.col("crm_order").cast("bigint").alias("raw_row_index"), none.alias("folio_number"),
         F.lit(0).alias("field_no"), "crm_client_id",
     )
@@ -238,7 +237,7 @@ def matched_audits(matched: DataFrame, config: ReconConfig, run_ts: str = "") ->
         "source",
         F.lit(run_ts).alias("timestamp"),
         skipped_notes(config, STANDARD_FIELDS).alias("skipped_comparisons"),
-        "file_id", "file_name", "raw_row_index",
+        "file_id", "file_name", "file_path", "raw_row_index",
     )
 
 

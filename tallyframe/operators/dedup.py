@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import strip
 from tallyframe.operators.skew import attach, first_row
+from tallyframe.schema import file_key
 
 # Fields whose difference makes a duplicate a conflicting one.
 CONFLICT_FIELDS = (
@@ -22,10 +23,7 @@ def _keyed(df: DataFrame, kind: str) -> DataFrame:
     if kind == "crm":
         file, part = F.lit(""), F.col("crm_client_id")
     else:
-        # files are told apart by their full path; tables without one by folder and name
-        file = F.concat_ws("/", "file_id", "file_name")
-        if "file_path" in df.columns:
-            file = F.coalesce(F.col("file_path"), file)
+        file = file_key(df)
         part = F.coalesce(strip(F.col("folio_number")), F.lit(""))
     return df.withColumns({"_file": file, "_pan": F.col("pan"), "_part": part})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import views
 from tallyframe.operators.compare import PLACE
 from tallyframe.operators.skew import attach
+from tallyframe.schema import file_key
 
 
 def _one_row(parts: list[DataFrame], names: list[str]) -> DataFrame:
@@ -80,6 +81,28 @@ def source_breakdown(aligned: DataFrame, discrepancies: DataFrame, approximate:
     )
 
 
+def source_sketches(aligned: DataFrame, discrepancies: DataFrame, lg_entries: int = 14) -> DataFrame:
+    """Per source and file: rows processed, rows matched and a sketch of the PANs with a discrepancy.
+
+    Sketches of several files or runs add up without their rows, see `merged_breakdown`. With 2 **
+    `lg_entries` entries the count of distinct PANs is off by 0.83 / sqrt(entries) in the standard
+    deviation, 0.65 % with 14.
+    """
+    by = ["source", "file"]
+    rows = aligned.withColumn("file", file_key(aligned)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("processed"), F.count(F.when(F.col("match_route") != "UNMATCHED", 1)).alias("matched"))
+    wrong = discrepancies.filter(F.col("source") != "CRM").withColumn("file", file_key(discrepancies))
+    return rows.join(wrong.groupBy(*by).agg(F.hll_sketch_agg("pan", F.lit(lg_entries)).alias("pans")), by, "left")
+
+
+def merged_breakdown(sketches: DataFrame) -> DataFrame:
+    """`source_breakdown` over all files and runs whose `source_sketches` are given; a client that differs
+    in several of them counts once."""
+    return sketches.groupBy("source").agg(
+        F.sum("processed").alias("processed"), F.sum("matched").alias("matched"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("pans", F.lit(True))), F.lit(0)).alias("discrepancies"))
+
+
 def source_match_rate(breakdown: DataFrame) -> DataFrame:
     """Share of matched rows per source, and its band."""
     rate = F.when(F.col("processed") > 0, F.col("matched") / F.col("processed") * 100).otherwise(100.0)
@@ -129,12 +152,13 @@ def parse_counts(parsed: DataFrame, by: tuple[str, ...] = ("file_id", "file_name
 def clean_sources(matched: DataFrame, discrepancies: DataFrame) -> DataFrame:
     """(pan, source_label) of clients whose matched rows there carry no discrepancy, in first-seen
     order of the file rows."""
-    row = ["file_id", "file_name", "raw_row_index"]
-    wrong = discrepancies.filter("phase = 0").select(*row).distinct()
-    clean = attach(matched.filter(F.col("match_route") != "UNMATCHED"), wrong, row, "left_anti")
+    row = ["_file", "raw_row_index"]
+    wrong = discrepancies.filter("phase = 0").select(file_key(discrepancies).alias("_file"), "raw_row_index").distinct()
+    rows = matched.filter(F.col("match_route") != "UNMATCHED").withColumn("_file", file_key(matched))
+    clean = attach(rows, wrong, row, "left_anti")
     label = F.concat(views.source_label(F.col("source")), views.code_suffix(F.col("folio_number")))
     return clean.groupBy(F.col("crm.pan").alias("pan"), label.alias("source_label")).agg(
-        F.min(F.struct("file_name", "raw_row_index")).alias("first_seen")
+        F.min(F.struct("file_name", "_file", "raw_row_index")).alias("first_seen")
     ).select("pan", "source_label", "first_seen.file_name", "first_seen.raw_row_index")
 
 

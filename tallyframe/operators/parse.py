@@ -152,14 +152,16 @@ def parse_table(
     """Typed rows of one layout, with `reasons` (empty when accepted) and `raw_data`.
 
     `raw` has the string columns of the file, in order, plus `_row` (0-based data row),
-    `_file_name`, `_file_id` and, if known, `_file_path`. `headers` names them where the column names of `raw` do not.
+    `_file_name`, `_file_id` and, if known, `_file_path` and `_beyond` (cells after the last header, which
+    reject the row). `headers` names them where the column names of `raw` do not.
     `source` is "CRM" for the master.
     """
     if "_file_path" not in raw.columns:
         raw = raw.withColumn("_file_path", F.lit(None).cast("string"))
-    own = [c for c in raw.columns if c not in PLACE]
+    own = [c for c in raw.columns if c not in (*PLACE, "_beyond")]
     headers = headers or own
-    numbered = raw.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], *PLACE)
+    beyond = F.col("_beyond") if "_beyond" in raw.columns else F.lit(None).cast("string")
+    numbered = raw.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], beyond.alias("_beyond"), *PLACE)
     found = {h: null_missing(F.col(f"_c{i}")) for i, h in enumerate(headers)}
     found |= split_columns(found)
     mapping = map_headers(found, aliases or aliases_of(source))
@@ -198,11 +200,12 @@ def parse_table(
         fields["source"] = F.lit(source)
         fields["raw_row_index"] = F.col("_row") + 2
     fields |= {"file_name": F.col("_file_name"), "file_id": F.col("_file_id"), "file_path": F.col("_file_path"),
-               "row_number": F.col("_row") + 2}
+               "row_number": F.col("_row") + 2, "_beyond": F.col("_beyond")}
 
+    too_long = F.array(F.lit(f"Expected {len(headers)} cells, the row has more"))
+    reasons = reject_reasons(source, None if amount_cell is None else F.col("_amount_cell"))
     typed = numbered.select(*[c.alias(n) for n, c in fields.items()]).withColumn(
-        "reasons", reject_reasons(source, None if amount_cell is None else F.col("_amount_cell"))
-    )
+        "reasons", F.when(F.col("_beyond").isNotNull(), too_long).otherwise(reasons))
     if source == "CRM":
         return conform(typed, CRM, ("file_name", "file_id", "file_path", "row_number", "raw_data", "reasons"))
     return conform(typed, REPORT, ("row_number", "raw_data", "reasons"))

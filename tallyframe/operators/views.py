@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,8 @@ from tallyframe.config import ReconConfig
 from tallyframe.functions import normalize as N
 from tallyframe.functions.text import collapse, lookup, strip
 from tallyframe.operators.compare import PLACE, compare_profiles, severity, _differing_fields
-from tallyframe.operators.skew import first_row
-from tallyframe.schema import COMPARABLE, MATRIX_FIELDS
+from tallyframe.operators.skew import attach, first_row, fits_broadcast
+from tallyframe.schema import COMPARABLE, MATRIX_FIELDS, file_key
 
 # How sources are called in result sheets, and the order of their columns.
 SOURCE_LABEL = {
@@ -196,8 +197,8 @@ def _column_rank() -> Column:
 def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
     """Side-by-side comparison in long form: one row per matched report row and matrix field.
 
-    Columns: pan (of the client), field_no, field, column_label, column_rank, file_name,
-    raw_row_index, crm_value, value, status (match, mismatch, verify or none).
+    Columns: pan (of the client), field_no, field, column_label, column_rank, file_id, file_name,
+    file_path, raw_row_index, crm_value, value, status (match, mismatch, verify or none).
     """
     helpers, differing = _differing_fields(config)
     listed = compare_profiles(config).by_source(
@@ -210,7 +211,7 @@ def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
     cells = flat.withColumn("_types", kinds).select(
         F.col("_client").alias("pan"),
         F.concat(source_label(F.col("source")), code_suffix(F.col("folio_number"))).alias("column_label"),
-        _column_rank().alias("column_rank"), "source", "file_id", "file_name", "raw_row_index", "folio_number",
+        _column_rank().alias("column_rank"), "source", "file_id", "file_name", "file_path", "raw_row_index", "folio_number",
         "missing_fields", "empty_fields", "kyc_status_raw", "_crm_kyc", "_types", F.inline(_cells(reference="_crm_")),
     )
     none = F.array().cast("array<string>")
@@ -230,7 +231,7 @@ def field_matrix_long(aligned: DataFrame, config: ReconConfig) -> DataFrame:
         .when(F.col("_same"), "match").otherwise("mismatch")
     )
     return shown.select(
-        "pan", "column_label", "column_rank", "source", "file_id", "file_name", "raw_row_index", "folio_number",
+        "pan", "column_label", "column_rank", "source", "file_id", "file_name", "file_path", "raw_row_index", "folio_number",
         "field_no", _sheet_label(name).alias("field"), "crm_value", "value", status.alias("status"),
     )
 
@@ -242,43 +243,48 @@ def field_matrix(
     """Matrix of one client: a row per field, the CRM first and then a column per file and code.
 
     `duplicates` (rejected duplicate rows) come back as columns; files of `all_files` (source,
-    file_name) without a row of the client get an empty column. A page has at most `per_page` of
+    file_name, and file_path where names repeat) without a row of the client get an empty column. A page has at most `per_page` of
     these columns, in the order of the whole matrix; the pages after the last have the CRM alone.
     """
-    mine = long.filter(F.col("pan") == pan)
-    mine = first_row(mine, ["field_no", "file_id", "file_name", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
-    cells = mine.select("field_no", "field", "crm_value", "column_label", "column_rank", "file_name", "raw_row_index", "value")
+    mine = long.filter(F.col("pan") == pan).withColumn("_file", file_key(long))
+    mine = first_row(mine, ["field_no", "_file", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
+    place = ["column_rank", "file_name", "_file", "raw_row_index"]
+    cells = mine.select("field_no", "field", "crm_value", "column_label", *place, "value")
     none = F.array().cast("array<string>")
     no_value = F.lit(None).cast("string")
     if duplicates is not None:
         extra = duplicates.filter(F.col("pan") == pan).select(
             F.concat(source_label(F.col("source")), code_suffix(F.col("folio_number"))).alias("column_label"),
-            _column_rank().alias("column_rank"), "file_name", "raw_row_index", F.inline(_cells()),
+            _column_rank().alias("column_rank"), "file_name", file_key(duplicates).alias("_file"), "raw_row_index",
+            F.inline(_cells()),
         )
         cells = cells.unionByName(extra.select(
             "field_no", _sheet_label(F.col("name")).alias("field"), no_value.alias("crm_value"), "column_label",
-            "column_rank", "file_name", "raw_row_index", display_value(F.col("raw"), F.col("name"), none, none).alias("value"),
+            *place, display_value(F.col("raw"), F.col("name"), none, none).alias("value"),
         ))
     if all_files is not None:
         fields = F.expr("array(" + ", ".join(f"named_struct('field_no', {i}, 'name', '{f}')" for i, f in enumerate(MATRIX_FIELDS)) + ")")
-        empty = all_files.join(cells.select("file_name").distinct(), "file_name", "left_anti").select(
-            source_label(F.col("source")).alias("column_label"), _column_rank().alias("column_rank"), "file_name", F.inline(fields)
+        # a list of names alone cannot tell files of one name apart
+        by = "_file" if "file_path" in all_files.columns else "file_name"
+        listed = all_files.withColumn("_file", F.col("file_path") if by == "_file" else F.col("file_name"))
+        empty = listed.join(cells.select(by).distinct(), by, "left_anti").select(
+            source_label(F.col("source")).alias("column_label"), _column_rank().alias("column_rank"), "file_name", "_file",
+            F.inline(fields),
         )
         cells = cells.unionByName(empty.select(
             "field_no", _sheet_label(F.col("name")).alias("field"), no_value.alias("crm_value"), "column_label",
-            "column_rank", "file_name", F.lit(-1).cast("bigint").alias("raw_row_index"), F.lit(DASH).alias("value"),
+            "column_rank", "file_name", "_file", F.lit(-1).cast("bigint").alias("raw_row_index"), F.lit(DASH).alias("value"),
         ))
-    place = ["column_rank", "file_name", "raw_row_index"]
     heads = cells.groupBy(*place).agg(F.min("column_label").alias("column_label"))
     # equal labels are numbered over the whole matrix
     heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy("column_label").orderBy(*place)))
     chosen = heads.orderBy(*place).offset(page * per_page).limit(per_page).collect()
     names = {
-        (h.file_name, h.raw_row_index): h.column_label if h["_nth"] == 1 else f"{h.column_label} #{h['_nth']}" for h in chosen
+        (h["_file"], h.raw_row_index): h.column_label if h["_nth"] == 1 else f"{h.column_label} #{h['_nth']}" for h in chosen
     }
 
     def column(key: tuple) -> Column:
-        test = (F.col("file_name") == key[0]) & (F.col("raw_row_index") == key[1])
+        test = (F.col("_file") == key[0]) & (F.col("raw_row_index") == key[1])
         return F.max(F.when(test, F.col("value"))).alias(names[key])
 
     return cells.groupBy("field_no", "field").agg(
@@ -324,7 +330,7 @@ def action_list(discrepancies: DataFrame, duplicates: DataFrame | None = None, f
                      F.lit("'")).alias("field_record"),
             F.concat(F.lit("Duplicate row "), F.col("raw_row_index").cast("string"), F.lit(" found in "), F.col("source"))
             .alias("found_value"),
-            F.struct("file_id", "file_name", "raw_row_index").alias("_place"),
+            F.struct("file_id", "file_name", file_key(duplicates).alias("file"), "raw_row_index").alias("_place"),
         )
         rows = rows.unionByName(
             copies.groupBy("source", "field_record").agg(F.min_by("found_value", "_place").alias("found_value")).select(
@@ -396,7 +402,7 @@ def redact(df: DataFrame) -> DataFrame:
 def masked_export(name: str, df: DataFrame) -> Column:
     """A column of a flat export, masked by its name or else as text a client may be named in."""
     kind = df.schema[name].dataType
-    if not isinstance(kind, T.StringType) or name in ("file_name", "run_id"):
+    if not isinstance(kind, T.StringType) or name in ("file_name", "file_path", "run_id"):
         return F.col(name)
     mask = MASKS.get(name, _masked_text)
     return mask(F.col(name)).alias(name)
@@ -419,20 +425,35 @@ def search(discrepancies: DataFrame, text: str = "", severity: str = "ALL", sour
     return out
 
 
-def page(
-    discrepancies: DataFrame, by: str = "severity", ascending: bool = False, number: int = 1, size: int = 10
-) -> DataFrame:
-    """A page of the sorted results. Ties keep file order. Spark sorts only as far as the page."""
+def pan_key_text(pan: str, key: str) -> str:
+    """The keyed hash of one PAN, as `pan_key` gives it."""
+    return hashlib.sha256(f"{key}:{pan.strip().upper()}".encode()).hexdigest()
+
+
+def page_order(by: str = "severity", ascending: bool = False) -> list[Column]:
+    """Columns by which results are sorted for paging. Ties keep file order."""
     keys = {
         "pan": F.col("pan"), "discrepancy_type": F.col("discrepancy_type"), "source": F.col("source"),
         "investor_name": F.coalesce("explanation", F.lit("")),
         "severity": -F.coalesce(lookup(F.col("severity"), SEVERITY_RANK), F.lit("5")).cast("int"),
     }
-    key = keys[by].asc() if ascending else keys[by].desc()
-    return discrepancies.orderBy(key, *PLACE).offset((number - 1) * size).limit(size)
+    return [keys[by].asc() if ascending else keys[by].desc(), *map(F.col, PLACE)]
+
+
+def page(
+    discrepancies: DataFrame, by: str = "severity", ascending: bool = False, number: int = 1, size: int = 10
+) -> DataFrame:
+    """A page of the sorted results. Spark sorts as far as the page: for late pages of a stored run see
+    `plans.run.stored_page`."""
+    return discrepancies.orderBy(*page_order(by, ascending)).offset((number - 1) * size).limit(size)
 
 
 def client_extract(df: DataFrame, pans: Sequence[str], column: str | Column = "pan") -> DataFrame:
-    """All rows of the given clients."""
-    wanted = [p.strip().upper() for p in pans if p.strip()]
-    return df.filter((F.col(column) if isinstance(column, str) else column).isin(wanted))
+    """All rows of the given clients. More than a thousand are joined, as a table."""
+    wanted = sorted({p.strip().upper() for p in pans if p.strip()})
+    value = F.col(column) if isinstance(column, str) else column
+    if len(wanted) <= 1_000:
+        return df.filter(value.isin(wanted))
+    listed = df.sparkSession.createDataFrame([(p,) for p in wanted], "_wanted string")
+    keyed = df.withColumn("_wanted", value)
+    return attach(keyed, listed, ["_wanted"], "left_semi", small=fits_broadcast(listed)).drop("_wanted")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # 24 integer digits and 10 decimals: a difference of two such values is still exact.
@@ -151,6 +152,12 @@ def skipped_note(field: str) -> str:
     return f"{known.code if known else field.upper()}_COMPARISON_SKIPPED"
 
 
+def file_key(df: DataFrame) -> Column:
+    """What tells the files of a table's rows apart: the full path, or folder and name where there is none."""
+    file = F.concat_ws("/", "file_id", "file_name")
+    return F.coalesce(F.col("file_path"), file) if "file_path" in df.columns else file
+
+
 def struct_type(layout: dict) -> T.StructType:
     return T.StructType([T.StructField(name, dtype) for name, dtype in layout.items()])
 

@@ -134,3 +134,19 @@ def test_sorted_name_score_column(spark):
     df = spark.createDataFrame([("JOHN A DOE", "DOE JOHN A"), ("JOHN DOE", "JON DOE")], "a string, b string")
     score = sorted_name_score(token_sort(F.col("a")), token_sort(F.col("b")))
     assert [round(r.s, 4) for r in df.select(score.alias("s")).collect()] == [100.0, 93.3333]
+
+
+def test_two_decimals_like_a_c_library(spark):
+    import random
+
+    from tallyframe.functions.text import fixed_two
+
+    rng = random.Random(4)
+    values = [0.125, 0.375, 2.675, 1.005, 1e15 + 0.5, 0.005, 0.015, 0.045, 0.995, 0.9951, 99.995, -2.675, -0.001, -0.0, 0.0, 1e-300,
+              8999999999999998.5, 4503599627370495.5, 0.285, 1.285, 5e-324, 123456789.125, 0.1 + 0.2, 1e14 + 0.125]
+    values += [rng.randint(-10**6, 10**6) / 1000 for _ in range(3000)] + [rng.random() * 10 ** rng.randint(-4, 9) for _ in range(3000)]
+    values += [(2 * rng.randint(0, 10**9) + 1) / 8 for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.expr(fixed_two("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got if r.t != f"{r.x:.2f}"] == []
+    odd = spark.sql(f"SELECT {fixed_two('CAST(NULL AS DOUBLE)')} AS a, {fixed_two('1e22D')} AS b").first()
+    assert odd.b == "10000000000000000000000.00"
