@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable, Sequence
@@ -22,6 +23,8 @@ from tallyframe.operators.validate import explode_failures, split_valid, with_fa
 from tallyframe.plans.reconcile import Reconciliation, reconcile
 from tallyframe.schema import DLQ, REPORT, conform, struct_type
 from tallyframe.sources import catalog, files, sinks, statements, workbook
+from tallyframe.sources.ordered import PLACE, OrderedTable
+from tallyframe.sources.textindex import TextIndex
 from tallyframe.storage import written
 
 
@@ -95,6 +98,17 @@ def _read(
     return parse_table(raw, source, headers=header)
 
 
+def _read_special(spark: SparkSession, reader: catalog.Reader, paths: list[str]) -> DataFrame:
+    """Parsed rows of the files of a registered source that brings its own format."""
+    spark.dataSource.register(reader.data_source)
+    raw = spark.read.format(reader.data_source.name()).option("paths", json.dumps(paths)).load()
+    missing = {"_row", "_file_path"} - set(raw.columns)
+    if missing:
+        raise SchemaMismatchError(f"The data source of {reader.source} lacks columns: {', '.join(sorted(missing))}")
+    cells = [F.col(c).cast("string").alias(c) for c in raw.columns if c not in ("_row", "_file_path")]
+    return parse_table(raw.select(*cells, "_row", *files.place(F.col("_file_path"))), reader.source)
+
+
 def _workbooks(
     spark: SparkSession, probes: Sequence[Row], cut, sheet: str | None
 ) -> tuple[DataFrame | None, dict[str, Row]]:
@@ -156,7 +170,11 @@ def load_reports(
 
     failed: list[tuple] = []
     facts = []
+    special: dict[catalog.Reader, list[str]] = {}
     for p in probes:
+        if reader := catalog.reader_of(p.file_name):
+            special.setdefault(reader, []).append(p.path)
+            continue
         summary = info.get(p.path)
         names = p.file_name.lower()
         if names.endswith(".csv") and (p.zipped or p.size_seen == 0 or not p.header_line):
@@ -198,7 +216,7 @@ def load_reports(
                 groups.setdefault((d.source, p.zipped, tuple(d.header)), []).append(d.path)
             except SchemaMismatchError as err:
                 failed.append((d.file_name, d.source, "PARSER_ERROR", str(err)))
-    parts = []
+    parts = [_read_special(spark, reader, named) for reader, named in special.items()]
     for (source, _, header), group in groups.items():
         members = [info[g].path for g in group] if by_path[group[0]].zipped else group
         parts.append(_read(spark, by_path[group[0]], members, source, list(header), books, sheet))
@@ -283,10 +301,11 @@ def write_outputs(out: RunResult, config: ReconConfig) -> list[str]:
     clear = written(found)
     tables = {
         "discrepancies": clear, "matched_audits": audits, "aligned": out.result.aligned,
-        "missing_in_report": out.result.missing_in_report, "dlq": out.dlq, "failed_files": out.failed_files,
+        "missing_in_report": written(out.result.missing_in_report), "dlq": out.dlq, "failed_files": out.failed_files,
         "parse_counts": metrics.parse_counts(out.reports.parsed, ("file_path", "file_id", "file_name")),
         "validation_counts": metrics.validation_counts(
             out.reports.checked, out.reports.valid, ("file_path", "file_id", "file_name")),
+        "source_sketches": metrics.source_sketches(out.result.aligned, clear),
     }
     sinks.write_tables({name: keyed(df) for name, df in tables.items()}, folder, out.run_id)
     if "csv" in formats:
@@ -318,6 +337,36 @@ def stored_client(
 ) -> DataFrame:
     """The rows of some clients in a table of a stored run, masked or not. `key`: the run's `redaction_key`."""
     rows = spark.read.parquet(f"{folder}/tables/{table}/run_id={run_id}")
-    wanted = spark.createDataFrame([(p,) for p in {p.strip().upper() for p in pans if p.strip()}], "pan string")
-    wanted = wanted.select(views.pan_key(F.col("pan"), key).alias("pan_key"))
-    return rows.join(F.broadcast(wanted), "pan_key", "left_semi")
+    return sinks.rows_of_keys(rows, [views.pan_key_text(p, key) for p in pans if p.strip()])
+
+
+def stored_breakdown(spark: SparkSession, folder: str, run_ids: Sequence[str]) -> DataFrame:
+    """Rows, matches and distinct clients with a discrepancy per source over several stored runs."""
+    paths = [f"{folder}/tables/source_sketches/run_id={r}" for r in run_ids]
+    return metrics.merged_breakdown(spark.read.parquet(*paths))
+
+
+def stored_order(
+    spark: SparkSession, folder: str, run_id: str, by: str = "severity", ascending: bool = False
+) -> OrderedTable:
+    """The discrepancies of a stored run in an order, made when it is first asked for."""
+    way = "up" if ascending else "down"
+    found = spark.read.parquet(f"{folder}/tables/discrepancies/run_id={run_id}")
+    return OrderedTable.write(found, views.page_order(by, ascending), f"{folder}/orders/discrepancies/{by}-{way}/run_id={run_id}")
+
+
+def stored_page(
+    spark: SparkSession, folder: str, run_id: str, by: str = "severity", ascending: bool = False, number: int = 1, size: int = 10
+) -> DataFrame:
+    """A page of the sorted discrepancies of a stored run; a late page costs what the first one does."""
+    return stored_order(spark, folder, run_id, by, ascending).page(number, size).drop(*PLACE)
+
+
+def stored_search(
+    spark: SparkSession, folder: str, run_id: str, text: str = "", severity: str = "ALL", source: str = "ALL"
+) -> DataFrame:
+    """Discrepancies of a stored run whose PAN or explanation holds a text, found by an index that is made
+    when it is first asked for. Of a masked run the masked texts are searched."""
+    table = stored_order(spark, folder, run_id)
+    index = TextIndex.write(table, ("pan", "explanation"), f"{folder}/indexes/discrepancies/run_id={run_id}")
+    return views.search(index.search(text) if text else table.rows, text, severity, source).drop(*PLACE)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from tallyframe.errors import ParserError, SchemaMismatchError
 
@@ -131,12 +132,33 @@ SHEET_WORDS: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 
+@dataclass(frozen=True)
+class Reader:
+    """How the files of a source with a format of their own are read."""
+
+    source: str
+    data_source: type[DataSource]
+
+
+# By the suffix of the files.
+READERS: dict[str, Reader] = {}
+
+
 def register_source(
-    name: str, aliases: Aliases, in_headers: Iterable[str] = (), in_file_name: Iterable[str] = ()
+    name: str, aliases: Aliases, in_headers: Iterable[str] = (), in_file_name: Iterable[str] = (),
+    data_source: type[DataSource] | None = None, suffixes: Iterable[str] = (),
 ) -> None:
-    """Teach the engine a further source: its headers, and the words that identify its files."""
+    """Teach the engine a further source: its headers, and the words that identify its files.
+
+    Files of a format of their own are known by their `suffixes` and read by `data_source`, a Spark data
+    source in Python. It is given the paths as option `paths`, a JSON list, and has a text column per
+    header, `_row` (bigint, the number of the data row in its file from 0 on) and `_file_path`. Its
+    partitions are the tasks of the scan.
+    """
     name = name.upper().strip()
     ALIASES[name] = dict(aliases)
+    if data_source is not None:
+        READERS.update({s.lower(): Reader(name, data_source) for s in suffixes})
     words = tuple(w.lower() for w in in_headers), tuple(w.lower() for w in in_file_name)
     if any(words):
         SIGNATURES.insert(0, Signature(name, *words))
@@ -197,6 +219,10 @@ def source_from_sheets(sheets: Column) -> Column:
     return F.get(F.array_compact(F.transform(sheets, of)), F.lit(0))
 
 
+def reader_of(file_name: str) -> Reader | None:
+    return next((r for s, r in READERS.items() if file_name.lower().endswith(s)), None)
+
+
 def suffix_of(file_name: Column) -> Column:
     return F.lower(F.regexp_extract(file_name, r"(\.[^./\\]+)$", 1))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.errors import ParserError
 from tallyframe.operators.parse import PLACE
 from tallyframe.operators.skew import attach
+from tallyframe.sources.catalog import READERS
 from tallyframe.storage import written
 
 SUPPORTED = (".csv", ".xlsx", ".xls", ".pdf")
@@ -23,11 +24,11 @@ def list_batch(spark: SparkSession, folder: str) -> DataFrame:
     return (
         spark.read.format("binaryFile").load(folder)
         .select("path", F.col("length").alias("size"))
-        .filter(suffix.isin(*SUPPORTED))
+        .filter(suffix.isin(*SUPPORTED, *READERS))
     )
 
 
-def _opener():
+def _opener(at_random: bool = False):
     """Open a path of any file system Arrow knows; nested so that it travels by value."""
 
     def open_stream(path: str):
@@ -41,11 +42,16 @@ def _opener():
             system, inner = fs.FileSystem.from_uri(path)
         else:
             system, inner = fs.LocalFileSystem(), path
-        return system.open_input_stream(inner, compression=None)
+        return system.open_input_file(inner) if at_random else system.open_input_stream(inner, compression=None)
 
     return open_stream
 
 
+def open_at_random(path: str):
+    """A file opened for ranged reads, on any file system Arrow knows."""
+    return _opener(at_random=True)(path)
+
+
 def _over_paths(spark: SparkSession, paths: Sequence[str], fn, schema: str) -> DataFrame:
     """One row per path, spread over tasks; `fn` works on one opened file."""
     open_stream = _opener()
@@ -153,7 +159,7 @@ def expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def suffix_like(path: str) -> bool:
-    return path.rstrip("/").lower().endswith(SUPPORTED) and not path.endswith("/")
+    return path.rstrip("/").lower().endswith((*SUPPORTED, *READERS)) and not path.endswith("/")
 
 
 def split_header(line: str) -> list[str]:
@@ -296,12 +302,17 @@ def scan_csv(spark: SparkSession, paths: Sequence[str], headers: list[str]) -> D
     """Rows of delimited files that share a header, all cells as text, with `_row`.
 
     Files are split between tasks, also those with line ends inside quoted cells. Rows shorter than the
-    header end in nulls.
+    header end in nulls; of longer ones `_beyond` holds what follows the header's last cell, if it is not blank.
     """
     columns = [f"_c{i}" for i in range(len(headers))]
     layout = ", ".join(f"{c} string" for c in columns)
+    # few rows have as many commas as the header has names, and only they are looked at cell by cell
+    commas = F.length("line") - F.length(F.translate("line", ",", ""))
+    first = f"^(?:{_FIELD}){{{len(headers)}}}"
+    rest = F.when(F.col("line").rlike(first), F.regexp_replace("line", first, ""))
+    beyond = F.when(commas >= len(headers), F.when(rest.rlike(r'[^\s,"]'), rest)).alias("_beyond")
     return (
         numbered_records(spark, paths).filter("line_no > 0")
-        .select(F.from_csv("line", layout, _CSV).alias("_r"), (F.col("line_no") - 1).alias("_row"), *place(F.col("_path")))
-        .select(*[F.col(f"_r.{c}").alias(c) for c in columns], *PLACE)
+        .select(F.from_csv("line", layout, _CSV).alias("_r"), beyond, (F.col("line_no") - 1).alias("_row"), *place(F.col("_path")))
+        .select(*[F.col(f"_r.{c}").alias(c) for c in columns], "_beyond", *PLACE)
     )

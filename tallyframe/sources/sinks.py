@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.config import ReconConfig
+from tallyframe.operators.skew import attach, fits_broadcast
 from tallyframe.schema import FAILED_FILE
 
 FORMATS = ("excel", "csv", "json")
@@ -89,10 +94,43 @@ def write_json(statistics: DataFrame, tables: dict[str, DataFrame], folder: str,
         df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/json/{name}/run_id={run_id}")
 
 
+CLIENT_KEY = "pan_key"  # by which the rows of a client lie together in stored tables
+
+
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """Rows in ranges of a key and sorted by it, so that the files' statistics name where a key is.
+
+    The other columns take part in the ranges: a key with a large share of the rows spans several.
+    """
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
+    spread = F.xxhash64(*[F.col(c) for c in plain])
+    return df.repartitionByRange(F.col(key), spread).sortWithinPartitions(F.col(key), spread)
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, run_id: str) -> None:
-    """Parquet per table, one partition per run: a client's results are a filter on these."""
+    """Parquet per table, one partition per run. Rows with a client's key lie together, and Bloom filters
+    tell the parts of a file that lack a key: a client's results read little of a table."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/tables/{name}/run_id={run_id}")
+        path = f"{folder}/tables/{name}/run_id={run_id}"
+        if CLIENT_KEY not in df.columns:
+            df.write.mode("overwrite").parquet(path)
+            continue
+        clustered(df, CLIENT_KEY).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{CLIENT_KEY}", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
+def rows_of_keys(df: DataFrame, keys: Sequence[str], column: str = CLIENT_KEY) -> DataFrame:
+    """The rows whose column holds one of the keys.
+
+    Up to a thousand keys are told to the scan, in lists of ten, the longest that Spark looks up one by
+    one in a file's statistics. More are joined, over a broadcast only if they fit one.
+    """
+    keys = sorted(set(keys))
+    if len(keys) <= 1_000:
+        lists = [F.col(column).isin(keys[i : i + 10]) for i in range(0, len(keys), 10)]
+        return df.filter(reduce(or_, lists, F.lit(False)))
+    wanted = df.sparkSession.createDataFrame([(k,) for k in keys], f"{column} string")
+    return attach(df, wanted, [column], "left_semi", small=fits_broadcast(wanted))
 
 
 def summary_text(metrics: dict, breakdown: Iterable[tuple[str, int]]) -> str:
@@ -111,7 +149,12 @@ def summary_text(metrics: dict, breakdown: Iterable[tuple[str, int]]) -> str:
 
 
 class RunHistory:
-    """Append-only table of runs in one folder."""
+    """Table of runs in one folder, which several writers may add to.
+
+    A run takes its number by creating a file that must not exist yet, so no two runs share one; its row
+    appears, whole, once it is written under that number. The number of a writer that ends in between
+    stays unused.
+    """
 
     LAYOUT = (
         "run_no int, timestamp string, crm_filename string, report_count int,"
@@ -123,21 +166,40 @@ class RunHistory:
 
     def _runs(self) -> DataFrame:
         try:
-            found = self._spark.read.schema(self.LAYOUT).parquet(self._folder)
+            found = self._spark.read.schema(self.LAYOUT).parquet(f"{self._folder}/runs")
         except Exception as err:
             if "PATH_NOT_FOUND" not in str(err):
                 raise
             found = self._spark.createDataFrame([], self.LAYOUT)
         return found.withColumn("run_id", F.format_string("RUN-%03d", "run_no"))
 
+    def _claim(self) -> int:
+        """The next number, taken."""
+        jvm, conf = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        claims = jvm.org.apache.hadoop.fs.Path(f"{self._folder}/claims")
+        system = claims.getFileSystem(conf)
+        system.mkdirs(claims)
+        taken = [int(f.getPath().getName()) for f in system.listStatus(claims)]
+        number = max(taken, default=0) + 1
+        while True:
+            try:
+                system.create(jvm.org.apache.hadoop.fs.Path(claims, f"{number:09d}"), False).close()
+                return number
+            except Py4JJavaError as err:
+                if not system.exists(jvm.org.apache.hadoop.fs.Path(claims, f"{number:09d}")):
+                    raise err
+                number += 1  # another writer was first
+
     def save(self, summary: dict, timestamp: str, crm_filename: str, report_count: int, status: str = "success") -> str:
-        last = self._runs().agg(F.max("run_no")).first()[0] or 0
+        number = self._claim()
         row = (
-            last + 1, timestamp, crm_filename, report_count, float(summary.get("match_rate_percent", 0.0)),
+            number, timestamp, crm_filename, report_count, float(summary.get("match_rate_percent", 0.0)),
             int(summary.get("discrepancy_count", 0)), status, json.dumps(summary, default=str),
         )
-        self._spark.createDataFrame([row], self.LAYOUT).coalesce(1).write.mode("append").parquet(self._folder)
-        return f"RUN-{last + 1:03d}"
+        rows = self._spark.createDataFrame([row], self.LAYOUT).drop("run_no")
+        # a folder of its own, as writers that append to one folder delete each other's unfinished files
+        rows.coalesce(1).write.parquet(f"{self._folder}/runs/run_no={number}")
+        return f"RUN-{number:03d}"
 
     def list(self) -> DataFrame:
         """Newest first, without the payload."""

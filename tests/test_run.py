@@ -170,6 +170,26 @@ def test_history(spark, tmp_path):
     assert history.get("RUN-009").count() == 0
 
 
+def test_concurrent_writers_get_numbers_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def add(i):
+        return RunHistory(spark, str(tmp_path / "runs")).save({"discrepancy_count": i}, f"t{i}", "crm.csv", i)
+
+    with ThreadPoolExecutor(4) as pool:
+        names = list(pool.map(add, range(8)))
+    assert sorted(names) == [f"RUN-{i:03d}" for i in range(1, 9)]
+    got = {r.run_id: r.discrepancy_count for r in RunHistory(spark, str(tmp_path / "runs")).list().collect()}
+    assert got == {name: i for i, name in enumerate(names)}
+
+
+def test_number_of_an_unfinished_run_stays_unused(spark, tmp_path):
+    history = RunHistory(spark, str(tmp_path / "runs"))
+    assert history._claim() == 1 and history.list().count() == 0
+    assert history.save({}, "t", "crm.csv", 1) == "RUN-002"
+    assert [r.run_id for r in history.list().collect()] == ["RUN-002"]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("engine:\n  amount_epsilon: 0.05\nmatching:\n  enable_fuzzy_matching: true\n"
                                      "  fuzzy_secondary_keys: [mobile]\nsources:\n  CAMS:\n    compare: [pan]\n")
@@ -264,3 +284,64 @@ def test_allowed_statuses_reach_a_run(spark, files):
     config = replace(config, sources={**config.sources, "CAMS": cams}, validation=Validation(allowed_kyc_statuses=("PENDING",)))
     r = run(spark, files / "crm.csv", [files / "cams.csv"], config, write=False)
     assert r.dlq.filter("stage = 'validate' AND field_name = 'kyc_status'").count() > 0
+
+
+def ledger_source():
+    """A data source for files of lines `key|who|sum`, two partitions per file."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Half(InputPartition):
+        def __init__(self, path, half):
+            self.path, self.half = path, half
+
+    class LedgerReader(DataSourceReader):
+        def __init__(self, paths):
+            self.paths = paths
+
+        def partitions(self):
+            return [Half(p, h) for p in self.paths for h in (0, 1)]
+
+        def read(self, partition):
+            with open(partition.path.removeprefix("file:")) as file:
+                for i, line in enumerate(file):
+                    if i % 2 == partition.half:
+                        yield (*line.rstrip("\n").split("|"), i, partition.path)
+
+    class Ledger(DataSource):
+        @classmethod
+        def name(cls):
+            return "ledger"
+
+        def schema(self):
+            return "key string, who string, sum string, _row bigint, _file_path string"
+
+        def reader(self, schema):
+            import json
+
+            return LedgerReader(json.loads(self.options["paths"]))
+
+    return Ledger
+
+
+def test_registered_source_with_a_reader(spark, files, tmp_path):
+    from tallyframe.sources import catalog
+    from tallyframe.sources.files import expand
+
+    aliases = {"pan": ("key",), "investor_name": ("who",), "total_amount": ("sum",)}
+    catalog.register_source("ledger", aliases, data_source=ledger_source(), suffixes=(".ldg",))
+    try:
+        for k in (1, 2):
+            (tmp_path / f"{k}.ldg").write_text("ABCDE1234A|Asha Rao|50000\nABCDE1234B|Bala Iyer|1\n|nobody|2\n")
+        paths = expand(spark, [str(tmp_path)])
+        assert len(paths) == 2
+        config = replace(standard_config(), output_directory=str(tmp_path / "out"))
+        done = run(spark, files / "crm.csv", [*paths, files / "cams.csv"], config, write=False)
+        rows = done.reports.parsed.filter("source = 'LEDGER'")
+        assert rows.count() == 6 and rows.select("file_path").distinct().count() == 2
+        assert {r.raw_row_index for r in rows.collect()} == {2, 3, 4}
+        found = done.result.discrepancies.filter("source = 'LEDGER' AND discrepancy_type = 'AMOUNT_MISMATCH'").collect()
+        assert [(r.pan, r.raw_row_index) for r in found] == [("ABCDE1234B", 3)] * 2
+        assert done.dlq.filter("source = 'LEDGER' AND stage = 'parse'").count() == 2
+    finally:
+        catalog.READERS.clear()
+        del catalog.ALIASES["LEDGER"]

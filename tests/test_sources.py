@@ -313,3 +313,78 @@ def test_amounts_beyond_ten_decimals_are_refused_by_name(spark):
         ["ABCDE1234F", "A", "1.12345678901", "1"], ["ABCDE1234F", "A", "1.1234567890", "2"], ["ABCDE1234F", "A", "2.5000000000000", "3"]])
     ok, bad = split_parsed(parse_table(raw, "CAMS"))
     assert [r.reason for r in bad.collect()] == ["total_amount: more than 10 decimals"] and ok.count() == 2
+
+
+def test_cells_beyond_the_header_reject_the_row(spark, tmp_path):
+    (tmp_path / "cams.csv").write_text(
+        'PAN,Name\nABCDE1234A,x,EXTRA,MORE\nABCDE1234B,"a,b"\nABCDE1234C,c,,\nABCDE1234D,d,,"late"\nABCDE1234E\n'
+        'ABCDE1234F,"q ""r"", s",""\nABCDE1234G,"n\nm",z\n')
+    raw = files.scan_csv(spark, [str(tmp_path / "cams.csv")], ["PAN", "Name"])
+    assert {r._c0[-1]: r._beyond for r in raw.collect()} == {
+        "A": "EXTRA,MORE", "B": None, "C": None, "D": ',"late"', "E": None, "F": None, "G": "z"}
+    accepted, rejected = split_parsed(parse_table(raw, "CAMS", headers=["PAN", "Name"]))
+    assert {r.pan[-1] for r in accepted.collect()} == {"B", "C", "F"}
+    assert {r.pan[-1] for r in rejected.filter("reason = 'Expected 2 cells, the row has more'").collect()} == {"A", "D", "G"}
+
+
+def test_large_sheet_is_streamed(tmp_path):
+    """A sheet is never held whole, nor is the file: only pieces of it are read."""
+    import tracemalloc
+
+    from tallyframe.sources import xlsx
+
+    n, path = 60_000, tmp_path / "big.xlsx"
+    xlsx_rows = [[f"NAME {i}", i * 1.5, None, f"text {i % 7}"] for i in range(n)]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        body = "".join(f"<row><c t='inlineStr'><is><t>{a}</t></is></c><c><v>{b}</v></c><c/><c t='s'><v>{i % 7}</v></c></row>"
+                       for i, (a, b, _, _) in enumerate(xlsx_rows))
+        z.writestr("xl/workbook.xml", "<workbook><sheets><sheet name='S' id='r1'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<R><Relationship Id='r1' Target='s.xml'/></R>")
+        z.writestr("xl/s.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>text {i}</t></si>" for i in range(7)) + "</sst>")
+        size = len(body)
+        del body
+    seen = 0
+    with files.open_at_random(str(path)) as file:
+        tracemalloc.start()
+        book = xlsx.open_book(file)
+        shared = xlsx.shared_strings(file, book.shared)
+        for (number, cells), row in zip(xlsx.sheet_rows(file, book.sheets[0].part, shared, set(), False), xlsx_rows):
+            assert cells == [row[0], str(row[1]), None, row[3]]
+            seen = number
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert seen == n and size > 5 << 20 and peak < 2 * xlsx.READ + (3 << 20), (size, peak)
+
+
+def test_sheets_are_tasks_of_their_own(spark, tmp_path):
+    sheets = {f"Sheet {k}": [["PAN", "Name"], *[[f"P{k}{i}", "N"] for i in range(50)]] for k in range(6)}
+    xlsx(tmp_path / "many.xlsx", sheets)
+    rows = workbook.workbook_rows(spark, [str(tmp_path / "many.xlsx")])
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert {(r.sheet, r.n) for r in rows.groupBy("sheet").agg(F.count("*").alias("n")).collect()} == {(s, 51) for s in sheets}
+    assert rows.filter("sheet = 'Sheet 4' AND row_no = 3").first().cells == ["P41", "N"]
+
+
+def test_good_and_broken_files_in_one_task(spark, tmp_path):
+    xlsx(tmp_path / "good.xlsx", {"A": [["PAN"], ["P1"]], "B": [["x"]]})
+    (tmp_path / "bad.xlsx").write_text("no book")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = workbook.workbook_rows(spark, [str(tmp_path / n) for n in ("good.xlsx", "bad.xlsx")]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.sheet_no, r.row_no, r.cells[0][:10]) for r in rows} == {(0, 1, "PAN"), (0, 2, "P1"), (1, 1, "x"), (-1, 0, "BadZipFile")}
+
+
+def test_sheet_broken_in_the_middle(spark, tmp_path):
+    """The rows before the break come out, and the reason as a row of the file."""
+    xlsx(tmp_path / "good.xlsx", {"A": [["PAN"], ["P1"]]})
+    with zipfile.ZipFile(tmp_path / "good.xlsx") as good, zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as bad:
+        for name in good.namelist():
+            text = good.read(name).decode()
+            bad.writestr(name, text.replace("</sheetData>", "<row></sheetData>") if "sheet1" in name else text)
+    rows = workbook.workbook_rows(spark, [str(tmp_path / "bad.xlsx"), str(tmp_path / "none.xlsx")]).collect()
+    errors = {r.path.rsplit("/", 1)[1]: r.cells[0] for r in rows if r.sheet_no == -1}
+    assert "ParseError" in errors["bad.xlsx"] and "FileNotFoundError" in errors["none.xlsx"], errors
+    assert [r.cells for r in rows if r.sheet_no == 0][:1] == [["PAN"]]

@@ -305,7 +305,7 @@ SELECT *, CASE WHEN pan_no IS NULL OR client_name = 'n/a' THEN concat('Missing r
 """
 
 
-def _parsed(spark, folder):
+def parsed_rows(spark, folder):
     raw = derive(spark, folder, RAW).select(
         F.col("pan_no").alias("PAN_NO"), F.col("client_name").alias("Client Name"), F.col("folio").alias("Folio"),
         F.col("amount").alias("Amount"), F.col("mobile").alias("Mobile"), F.col("email").alias("Email"),
@@ -322,7 +322,7 @@ SELECT crm_order + 2 AS raw_row_index, pan_no AS pan, client_name AS investor_na
   'fatca_status,investor_status,last_transaction_date' AS missing_fields
 FROM t WHERE reason = ''""")
 def parse_rows(spark, folder):
-    accepted, _ = parse.split_parsed(_parsed(spark, folder))
+    accepted, _ = parse.split_parsed(parsed_rows(spark, folder))
     return accepted.select(
         "raw_row_index", "pan", "investor_name", "folio_number", F.col("total_amount").cast("decimal(18,2)").alias("total_amount"),
         "mobile", "email", "kyc_status", "kyc_status_raw", F.array_join("missing_fields", ",").alias("missing_fields"),
@@ -331,14 +331,14 @@ def parse_rows(spark, folder):
 
 @query("mandatory_gate", PARSED_ORACLE + "SELECT crm_order + 2 AS row_number, reason FROM t WHERE reason <> ''")
 def mandatory_gate(spark, folder):
-    return parse.split_parsed(_parsed(spark, folder))[1].select("row_number", "reason")
+    return parse.split_parsed(parsed_rows(spark, folder))[1].select("row_number", "reason")
 
 
 @query("parse_counts", PARSED_ORACLE + """
 SELECT 'kfintech.csv' AS file_name, count(*) AS total_rows, count(*) FILTER (WHERE reason = '') AS parsed_rows,
   count(*) FILTER (WHERE reason <> '') AS failed_rows FROM t""")
 def parse_counts(spark, folder):
-    return metrics.parse_counts(_parsed(spark, folder), ("file_name",))
+    return metrics.parse_counts(parsed_rows(spark, folder), ("file_name",))
 
 
 FILES = """

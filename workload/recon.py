@@ -381,7 +381,7 @@ _MATRIX_FIELDS = [
 ]
 _EMPTY_FIELDS = ["Date of Birth", "Bank name", "Bank account", "IFSC", "Registered address", "Mode of holding", "Nominee 1",
                  "Nominee relation / %", "Distributor (ARN)"]
-_CELLS = " UNION ALL ".join(
+CELLS_SQL = " UNION ALL ".join(
     [f"SELECT c_pan AS pan, column_label, '{n}' AS field, coalesce({c}, '—') AS crm_value, coalesce({v}, '—') AS value, "
      f"CASE WHEN {v} IS NULL THEN 'none' WHEN {d or 'FALSE'} THEN 'mismatch' ELSE 'match' END AS status FROM lab"
      for n, c, v, d in _MATRIX_FIELDS]
@@ -390,14 +390,14 @@ _CELLS = " UNION ALL ".join(
 
 
 @query("field_matrix", f"""{FLOW}, lab AS (SELECT *, concat(CASE WHEN source = 'NSE' THEN 'NSE' ELSE 'CAMS/KFintech' END, ' (code ', folio_number, ')') AS column_label FROM pairs)
-{_CELLS}""")
+{CELLS_SQL}""")
 def field_matrix(spark, folder):
     long = views.field_matrix_long(flow(spark, folder).aligned, CONFIG)
     return long.select("pan", "column_label", "field", "crm_value", "value", "status")
 
 
 @query("client_matrix", f"""{FLOW}, one AS (SELECT min(c_pan) AS p FROM pairs), lab AS (SELECT pairs.*, 'x' AS column_label FROM pairs, one WHERE c_pan = p),
-cells AS ({_CELLS}) SELECT field, max(crm_value) AS crm_value, max(value) AS value FROM cells GROUP BY field""")
+cells AS ({CELLS_SQL}) SELECT field, max(crm_value) AS crm_value, max(value) AS value FROM cells GROUP BY field""")
 def client_matrix(spark, folder):
     """Matrix of the first client in PAN order, as a pivot."""
     aligned = flow(spark, folder).aligned
