@@ -164,18 +164,24 @@ def fuzzy_match(
     masters = cut(_candidate_masters(crm, queries, fits_broadcast(asked)))
     small = fits_broadcast(asked, masters)
     named = masters.filter("_crm_name != ''")
-    best = _best_names(queries, named, _lowest_threshold(matching) / 100.0, policy, small, cut)
+    # of small inputs one look tells which of the steps for large blocks and shared ids can be left out
+    biggest, shared = _block_facts(masters) if small else (None, None)
+    if small and biggest <= policy.hot_block and biggest * asked.count() <= policy.task_pairs:
+        best = _scored_best(attach(queries, named, block, "inner", small).withColumn("_needed", F.col("_thr")))
+    else:
+        best = _best_names(queries, named, _lowest_threshold(matching) / 100.0, policy, small, cut)
 
-    # A client id on several master rows: its mobile hit hides its e-mail hit.
-    hidden = (
-        masters.filter((F.col("kind") == _MOBILE) & F.col("_shared_id").isNotNull())
-        .select("_shared_id", F.col("key").alias("_m"), F.lit(True).alias("_hidden"))
-        .distinct()
-    )
     offers = attach(by_contact, best, [*block, "_name", "_thr"], "inner", small)
-    offers = attach(offers, hidden, ["_shared_id", "_m"], "left", small).filter(
-        ~((F.col("kind") == _EMAIL) & F.coalesce("_hidden", F.lit(False)))
-    )
+    if shared != 0:
+        # A client id on several master rows: its mobile hit hides its e-mail hit.
+        hidden = (
+            masters.filter((F.col("kind") == _MOBILE) & F.col("_shared_id").isNotNull())
+            .select("_shared_id", F.col("key").alias("_m"), F.lit(True).alias("_hidden"))
+            .distinct()
+        )
+        offers = attach(offers, hidden, ["_shared_id", "_m"], "left", small).filter(
+            ~((F.col("kind") == _EMAIL) & F.coalesce("_hidden", F.lit(False)))
+        )
     choice = (
         offers.groupBy(*ask)
         .agg(F.max(F.struct("_best.score", (-F.col("kind")).alias("_rank"), "_best._neg")).alias("_pick"))
@@ -245,10 +251,21 @@ def _best_names(
     return reduce(DataFrame.unionByName, found).groupBy(*ask, "_shared_id").agg(F.max("_best").alias("_best"))
 
 
+def _block_facts(masters: DataFrame) -> tuple[int, int]:
+    """Names in the largest block, and rows whose client id other rows share."""
+    blocks = masters.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count("_shared_id").alias("s"))
+    facts = blocks.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
+    return facts["n"], facts["s"]
+
+
 def _top(queries: DataFrame, named: DataFrame, t: float, policy: SkewPolicy, small: bool) -> DataFrame:
     """The best name of each query and `_shared_id` that scores `t` and the query's own threshold."""
     needed = F.greatest(F.col("_thr"), F.lit(t * 100.0))
-    pairs = _pairs(queries, named, t, policy, small).withColumn("_needed", needed)
+    return _scored_best(_pairs(queries, named, t, policy, small).withColumn("_needed", needed))
+
+
+def _scored_best(pairs: DataFrame) -> DataFrame:
+    """The best pair of each query and `_shared_id` that scores `_needed`."""
     scored = (
         pairs.filter(can_reach("_crm_name", "_name", "_needed"))
         .withColumn("score", sorted_name_score(F.col("_crm_name"), F.col("_name")))

@@ -6,7 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -255,6 +255,8 @@ def run(
     parsed, failures = load_reports(spark, report_paths, cut, sheet)
     reports = prepare(parsed, "report", config, keep_extended, cut)
     result = reconcile(crm.valid, conform(reports.valid, REPORT), config, run_ts, policy, cut)
+    if write:  # counts, tables and exports all read them
+        result = replace(result, discrepancies=written(result.discrepancies), missing_in_report=written(result.missing_in_report))
     dlq = cut(crm.dlq.unionByName(reports.dlq))
     failed_files = sinks.failed_files_table(spark, failures)
     summary = metrics.summary_metrics(crm.parsed, reports.parsed, result.matched, result.discrepancies, dlq, failed_files)
@@ -278,7 +280,8 @@ def run(
 
 
 def write_outputs(out: RunResult, config: ReconConfig) -> list[str]:
-    """Result tables as Parquet, plus the configured formats. Returns the formats written.
+    """Result tables as Parquet, plus the configured formats. Returns the formats written. The discrepancies
+    are read several times and should be stored.
 
     All views are computed from clear values; each table is masked as its last step.
     """
@@ -298,35 +301,34 @@ def write_outputs(out: RunResult, config: ReconConfig) -> list[str]:
         """Exports carry identifiers under other names as well."""
         return df.select(*[views.masked_export(c, df) for c in df.columns]) if secret else df
 
-    clear = written(found)
     tables = {
-        "discrepancies": clear, "matched_audits": audits, "aligned": out.result.aligned,
-        "missing_in_report": written(out.result.missing_in_report), "dlq": out.dlq, "failed_files": out.failed_files,
+        "discrepancies": found, "matched_audits": audits, "aligned": out.result.aligned,
+        "missing_in_report": out.result.missing_in_report, "dlq": out.dlq, "failed_files": out.failed_files,
         "parse_counts": metrics.parse_counts(out.reports.parsed, ("file_path", "file_id", "file_name")),
         "validation_counts": metrics.validation_counts(
             out.reports.checked, out.reports.valid, ("file_path", "file_id", "file_name")),
-        "source_sketches": metrics.source_sketches(out.result.aligned, clear),
+        "source_sketches": metrics.source_sketches(out.result.aligned, found),
     }
     sinks.write_tables({name: keyed(df) for name, df in tables.items()}, folder, out.run_id)
     if "csv" in formats:
         sinks.write_csv({name: exported(df) for name, df in {
-            "discrepancies": sinks.discrepancy_export(clear),
+            "discrepancies": sinks.discrepancy_export(found),
             "matched": sinks.matched_export(out.result.matched),
             "unmatched": sinks.unmatched_export(out.result.missing_in_crm, out.result.missing_in_report),
             "failed_files": out.failed_files,
         }.items()}, folder, out.run_id)
     if "json" in formats:
         sinks.write_json(out.summary, {
-            "discrepancies": shown(clear.drop("phase", "field_no")), "failed_files": out.failed_files,
+            "discrepancies": shown(found.drop("phase", "field_no")), "failed_files": out.failed_files,
             "matched_audits": shown(audits),
         }, folder, out.run_id)
     if "excel" in formats or "xlsx" in formats:
         copies = out.reports.duplicates
         sheets = {
             "reconciliation": views.field_matrix_long(out.result.aligned, config),
-            "errors_actions": views.action_list(clear, copies),
-            "key_issues": metrics.key_issues(clear).select("issue", "occurrences"),
-            "clean_sources": metrics.clean_sources(out.result.matched, clear),
+            "errors_actions": views.action_list(found, copies),
+            "key_issues": metrics.key_issues(found).select("issue", "occurrences"),
+            "clean_sources": metrics.clean_sources(out.result.matched, found),
         }
         sinks.write_csv({f"sheets/{name}": exported(df) for name, df in sheets.items()}, folder, out.run_id)
     return formats
