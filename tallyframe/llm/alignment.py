@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,6 +28,7 @@ from tallyframe.operators.skew import attach
 # Splits of the byte-level vocabularies: fixed value, as the tokenizer's file leaves it to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FOLDER = "/opt/tokenizers"
+LONG_SPACE = 100_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,12 @@ class ByteTokens:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoder(" " + t) for t in texts]
+        return [(self._by_file if _long_space(t) else self.encoder)(" " + t) for t in texts]
+
+
+def _long_space(text: str) -> bool:
+    """Whether white space runs on for so long that the faster library's pattern would run out of stack."""
+    return len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text) is not None
 
 
 class PieceTokens:

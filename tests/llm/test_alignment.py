@@ -110,3 +110,14 @@ def test_bound_of_pairs():
 def test_awkward_rows_and_empty_table(spark):
     assert len(alignment.align(awkward(spark)).collect()) == 18
     assert alignment.align(empty(spark)).collect() == []
+
+
+def test_very_long_runs_of_white_space():
+    """Texts that the faster library cannot split go through the other one, with equal results below that length."""
+    model = alignment.ByteTokens(read(A_PATH))
+    for sign in (" ", "\n", " \t", "　"):
+        short = "a" + sign * ((alignment.LONG_SPACE - 1) // len(sign)) + "b"
+        assert not alignment._long_space(short) and model.encode([short]) == [model._by_file(" " + short)]
+        long = "a" + sign * 600_000 + "b"
+        ids = model.encode([long])[0]
+        assert b"".join(model.bytes[i] for i in ids) == (" " + long).encode()
