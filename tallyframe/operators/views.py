@@ -244,7 +244,8 @@ def field_matrix(
 
     `duplicates` (rejected duplicate rows) come back as columns; files of `all_files` (source,
     file_name, and file_path where names repeat) without a row of the client get an empty column. A page has at most `per_page` of
-    these columns, in the order of the whole matrix; the pages after the last have the CRM alone.
+    these columns, in the order of the whole matrix; the pages after the last have the CRM alone. The
+    metadata of a column name its `file` and `raw_row_index`.
     """
     mine = long.filter(F.col("pan") == pan).withColumn("_file", file_key(long))
     mine = first_row(mine, ["field_no", "_file", F.coalesce("folio_number", F.lit(""))], ["raw_row_index"])
@@ -285,7 +286,7 @@ def field_matrix(
 
     def column(key: tuple) -> Column:
         test = (F.col("_file") == key[0]) & (F.col("raw_row_index") == key[1])
-        return F.max(F.when(test, F.col("value"))).alias(names[key])
+        return F.max(F.when(test, F.col("value"))).alias(names[key], metadata={"file": key[0], "raw_row_index": key[1]})
 
     return cells.groupBy("field_no", "field").agg(
         F.max("crm_value").alias("CRM (reference)"), *[column(k) for k in names]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.config import Matching, standard_config
@@ -396,14 +398,30 @@ def field_matrix(spark, folder):
     return long.select("pan", "column_label", "field", "crm_value", "value", "status")
 
 
+MATRIX_PAGE = 500  # columns of a client's matrix that are read at once
+
+
+def merged_matrix(long, pan, groups):
+    """A client's whole matrix, its columns merged into one per group, the greatest text first. A client whose
+    PAN several report rows hold has as many columns. `groups`: name -> start of the path of its files."""
+    pages, number, full = [], 0, True
+    while full:
+        page = views.field_matrix(long, pan, page=number, per_page=MATRIX_PAGE)
+        files = {f.name: f.metadata["file"] for f in page.schema.fields if "file" in f.metadata}
+        cells = {g: [F.col(f"`{c}`") for c, file in files.items() if file.startswith(start)] for g, start in groups.items()}
+        pages.append(page.select("field", F.col("CRM (reference)").alias("crm_value"), *[
+            (F.array_max(F.array(*of)) if of else F.lit(None).cast("string")).alias(g) for g, of in cells.items()]))
+        number, full = number + 1, len(files) == MATRIX_PAGE
+    return reduce(DataFrame.unionByName, pages).groupBy("field").agg(*[F.max(c).alias(c) for c in ("crm_value", *groups)])
+
+
 @query("client_matrix", f"""{FLOW}, one AS (SELECT min(c_pan) AS p FROM pairs), lab AS (SELECT pairs.*, 'x' AS column_label FROM pairs, one WHERE c_pan = p),
 cells AS ({CELLS_SQL}) SELECT field, max(crm_value) AS crm_value, max(value) AS value FROM cells GROUP BY field""")
 def client_matrix(spark, folder):
     """Matrix of the first client in PAN order, as a pivot."""
     aligned = flow(spark, folder).aligned
     pan = match.is_matched(aligned).agg(F.min("crm.pan")).first()[0]
-    matrix = views.field_matrix(views.field_matrix_long(aligned, CONFIG), pan)
-    return matrix.toDF("field", "crm_value", "value")
+    return merged_matrix(views.field_matrix_long(aligned, CONFIG), pan, {"value": ""})
 
 
 _FOUND = """CASE discrepancy_type WHEN 'MISSING_IN_CRM' THEN 'Record exists in report but not in CRM'

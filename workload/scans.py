@@ -20,7 +20,7 @@ from tallyframe.storage import scratch_folder
 from workload.books import write_books, write_files
 from workload.fields import BASE, COPIES, PARSED_ORACLE, derive, parsed_rows
 from workload.inputs import crm_table, report_table
-from workload.recon import CELLS_SQL, CONFIG, FLOW, flow, sides
+from workload.recon import CELLS_SQL, CONFIG, FLOW, flow, merged_matrix, sides
 from workload.registry import query
 
 PARTS = 64
@@ -103,7 +103,7 @@ def matrix_same_name(spark, folder):
     """Two files of one name are two columns of a client's matrix."""
     aligned = twice(spark, folder).aligned
     pan = aligned.filter("match_route != 'UNMATCHED' AND email IS NOT NULL").agg(F.min("crm.pan")).first()[0]
-    return views.field_matrix(views.field_matrix_long(aligned, CONFIG), pan).toDF("field", "crm_value", "feb", "jan")
+    return merged_matrix(views.field_matrix_long(aligned, CONFIG), pan, {"feb": "feb/", "jan": "jan/"})
 
 
 @query("fuzzy_threshold_zero", f"""{FLOW}, b0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_row_index
