@@ -12,6 +12,7 @@ from tallyframe.functions.status import read_status
 from tallyframe.functions.text import blank, collapse, strip
 from tallyframe.schema import AMOUNT, CRM, EXTENDED_FIELDS, REPORT, STANDARD_FIELDS, STATUS_FIELDS, conform
 from tallyframe.sources.catalog import Aliases, aliases_of, map_headers
+from tallyframe.storage import spread
 
 # Columns a scan adds to the file's own.
 PLACE = ("_row", "_file_name", "_file_id", "_file_path")
@@ -161,7 +162,7 @@ def parse_table(
     own = [c for c in raw.columns if c not in (*PLACE, "_beyond")]
     headers = headers or own
     beyond = F.col("_beyond") if "_beyond" in raw.columns else F.lit(None).cast("string")
-    numbered = raw.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], beyond.alias("_beyond"), *PLACE)
+    numbered = spread(raw, "_file_path", "_file_id", "_file_name", "_row").select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], beyond.alias("_beyond"), *PLACE)
     found = {h: null_missing(F.col(f"_c{i}")) for i, h in enumerate(headers)}
     found |= split_columns(found)
     mapping = map_headers(found, aliases or aliases_of(source))

@@ -26,6 +26,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/recon-{context.applicationId}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` dealt over the tasks of the session by columns that tell its rows apart, before work that costs far
+    more than moving a row. A scan follows the bytes of its files, and a small file holds many short rows."""
+    return df.repartition(*by)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back.
 
