@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.text import strip
 from tallyframe.operators.parse import clean_text, is_minor, reject_reasons
 from tallyframe.schema import AMOUNT, EXTENDED_FIELDS, REPORT, STANDARD_FIELDS, conform
-from tallyframe.storage import written
+from tallyframe.storage import spread, written
 
 # Fixed values: (field, labels, accepted text), tried in this order on every line.
 LABELS = (
@@ -39,24 +39,34 @@ PAN_LABELLED = r"(?iU)PAN\s*:\s*([A-Z0-9]{10})"
 PAN_BARE = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
 
 KEYS = ("pan", *[field for field, _, _ in LABELS])
-LINES_PER_STRETCH = 20_000
+LINES_PER_STRETCH = 200_000
 
 
-def _found(line: Column) -> dict[str, Column]:
-    """Field -> text found on a line, null where its label is absent."""
-    def cut(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+def _found(lines: DataFrame) -> DataFrame:
+    """Add a column per key, `_<key>`: the text found on a line, null where its label is absent.
 
-    out = {"pan": F.upper(strip(F.coalesce(cut(PAN_LABELLED), cut(PAN_BARE))))}
-    for field, label, text in LABELS:
-        # Presence of the label decides; the captured text may be blank after trimming.
-        out[field] = F.when(line.rlike(f"(?iU){label}\\s*:\\s*{text}"),
-                            strip(F.regexp_extract(line, f"(?iU){label}\\s*:\\s*({text})", 1)))
-    digits = F.regexp_replace(out["mobile"], r"\D", "")
-    out["mobile"] = F.when((F.length(digits) > 10) & digits.startswith("91"), F.substring(digits, 3, 1 << 30)).otherwise(digits)
-    amount = F.regexp_replace(out["total_amount"], ",", "")
-    out["total_amount"] = F.when(amount.try_cast(AMOUNT).isNotNull(), amount)
-    return out
+    The steps are separate columns, so that each pattern runs once per line. The text is taken out of the
+    part that matched, where the pattern finds what it found in the line, as it looks at nothing around it.
+    """
+    def cut(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(F.col("_line"), pattern, 1), F.lit(""))
+
+    patterns = {field: f"(?iU){label}\\s*:\\s*({text})" for field, label, text in LABELS}
+    out = lines.withColumn("_line", strip(F.col("line"))).withColumns({
+        "_pan": F.upper(strip(F.coalesce(cut(PAN_LABELLED), cut(PAN_BARE)))),
+        **{f"_{field}": F.regexp_extract(F.col("_line"), pattern, 0) for field, pattern in patterns.items()},
+    })
+    # Presence of the label decides; the captured text may be blank after trimming.
+    out = out.withColumns({
+        f"_{field}": F.when(F.col(f"_{field}") != "", strip(F.regexp_extract(F.col(f"_{field}"), pattern, 1)))
+        for field, pattern in patterns.items()
+    })
+    out = out.withColumns({"_digits": F.regexp_replace("_mobile", r"\D", ""), "_amount": F.regexp_replace("_total_amount", ",", "")})
+    digits, amount = F.col("_digits"), F.col("_amount")
+    return out.withColumns({
+        "_mobile": F.when((F.length(digits) > 10) & digits.startswith("91"), F.substring(digits, 3, 1 << 30)).otherwise(digits),
+        "_total_amount": F.when(amount.try_cast(AMOUNT).isNotNull(), amount),
+    })
 
 
 def statement_entries(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> DataFrame:
@@ -66,12 +76,11 @@ def statement_entries(lines: DataFrame, stretch: int = LINES_PER_STRETCH) -> Dat
     """
     if "file_path" not in lines.columns:
         lines = lines.withColumn("file_path", F.concat_ws("/", "file_id", "file_name"))
-    found = _found(strip(F.col("line")))
     entries = F.array_compact(F.array(*[
-        F.when(found[key].isNotNull(), F.struct(F.lit(i).alias("key_no"), F.lit(key).alias("key"), found[key].alias("value")))
+        F.when(F.col(f"_{key}").isNotNull(), F.struct(F.lit(i).alias("key_no"), F.lit(key).alias("key"), F.col(f"_{key}").alias("value")))
         for i, key in enumerate(KEYS)
     ]))
-    return lines.select(*_FILE, "line_no", F.inline(entries)).select(
+    return _found(spread(lines, *_FILE, "line_no")).select(*_FILE, "line_no", F.inline(entries)).select(
         *_FILE, F.floor(F.col("line_no") / stretch).alias("stretch"),
         (F.col("line_no") * len(KEYS) + F.col("key_no")).alias("seq"), "key_no", "key", "value",
     )
