@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.skew import attach
 from tallyframe.sources.ordered import PLACE, OrderedTable, exists, publish
+from tallyframe.storage import spread
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,18 @@ class IndexRule:
 DEFAULT_RULE = IndexRule()
 
 
-def _grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    n = F.length(low) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, 3)))).otherwise(F.array().cast("array<string>"))
+def _grams(low: Column) -> Column:
+    """The trigrams of a text in lower case. The pattern looks at the three code points from every place on; half
+    a surrogate pair is none."""
+    return F.regexp_extract_all(low, F.lit(r"(?=(\P{Cs}{3}))"), F.lit(1))
+
+
+def held_grams(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(part, pos, gram) of every trigram a row holds. The texts are put in lower case first and then moved, so
+    that this is done once per text and not once per trigram."""
+    texts = rows.select(*PLACE, *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_low{i}") for i, c in enumerate(columns)])
+    every = F.array_distinct(F.concat(*[_grams(F.col(f"_low{i}")) for i in range(len(columns))]))
+    return spread(texts, *PLACE, light=True).select(*PLACE, F.explode(every).alias("gram"))
 
 
 class TextIndex:
@@ -57,8 +64,7 @@ class TextIndex:
         spark = table.rows.sparkSession
         if not exists(spark, path):
             made = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-            every = F.array_distinct(F.concat(*[_grams(F.col(c)) for c in columns]))
-            held = table.rows.select(*PLACE, F.explode(every).alias("gram"))
+            held = held_grams(table.rows, columns)
             counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
             counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{made}/counts")
             usual = spark.read.schema(counts.schema).parquet(f"{made}/counts").filter(F.col("n") > rule.common * table.count())

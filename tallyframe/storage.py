@@ -26,10 +26,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/recon-{context.applicationId}"
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str, light: bool = False) -> DataFrame:
     """`df` dealt over the tasks of the session by columns that tell its rows apart, before work that costs far
-    more than moving a row. A scan follows the bytes of its files, and a small file holds many short rows."""
-    return df.repartition(*by)
+    more than moving a row. A scan follows the bytes of its files, and a small file holds many short rows.
+    `light`: the rows are so short that adaptive execution would put them together again."""
+    if not light:
+        return df.repartition(*by)
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
 def written(df: DataFrame) -> DataFrame:

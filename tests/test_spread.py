@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.parse import parse_table
 from tallyframe.sources import statements
+from tallyframe.sources.textindex import held_grams
 
 
 @pytest.fixture
@@ -30,3 +31,17 @@ def test_statement_lines(apart):
         F.lit("in").alias("file_id"), F.lit("s.pdf").alias("file_name"), F.col("id").alias("line_no"), F.lit("Name: A B").alias("line"))
     assert tasks_with_rows(statements.statement_entries(lines)) == 4
 
+
+def test_trigrams(apart):
+    rows = apart.range(0, 400, 1, 1).select(
+        F.lit(0).alias("part"), F.col("id").alias("pos"), F.lit("ABCD").alias("pan"), F.lit(None).cast("string").alias("explanation"))
+    held = held_grams(rows, ["pan", "explanation"])
+    assert tasks_with_rows(held) == 4
+    assert sorted(r.gram for r in held.filter("pos = 7").collect()) == ["abc", "bcd"]
+
+
+def test_trigrams_are_of_code_points(apart):
+    texts = ["", "ab", "abc", "ÄÖÜß 'x'", "a\U0001F600b\U0001F601c", "line\nend\r\n ok", "aaaaa"]
+    rows = apart.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "part int, pos bigint, t string")
+    want = {(i, t.lower()[k : k + 3]) for i, t in enumerate(texts) for k in range(len(t.lower()) - 2)}
+    assert sorted((r.pos, r.gram) for r in held_grams(rows, ["t"]).collect()) == sorted(want)
