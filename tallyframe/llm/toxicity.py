@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+STRETCH = 1 << 19  # n-grams that a step of the fit weighs at a time
+
 
 @dataclass(frozen=True)
 class ToxicityRule:
@@ -97,27 +99,54 @@ def _pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
         at = end
 
 
+class Bags:
+    """The n-grams of texts with their shares, joined over stretches of texts."""
+
+    def __init__(self, size: int) -> None:
+        self.held = np.zeros(size, np.int32)  # texts per bucket
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0  # entries of those
+        self.done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # buckets, shares, entries per text
+
+    def add(self, at: np.ndarray, shares: np.ndarray) -> None:
+        self.held[at] += 1
+        self.open.append((at, shares))
+        self.n += len(at)
+        if self.n >= STRETCH:
+            self.close()
+
+    def close(self) -> None:
+        if self.open:
+            at, shares = (np.concatenate(c) for c in zip(*self.open, strict=True))
+            self.done.append((at, shares, np.array([len(a) for a, _ in self.open])))
+            self.open, self.n = [], 0
+
+    def shared(self, common: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The stretches with the common buckets alone; each is let go as its successor is made."""
+        self.close()
+        for k, (at, shares, n) in enumerate(self.done):
+            keep = common[at]
+            text = np.repeat(np.arange(len(n)), n)[keep]
+            self.done[k] = at[keep], shares[keep], np.bincount(text, minlength=len(n))
+        return self.done
+
+
 def fit(texts: list[str], labels: list[int], rule: ToxicityRule) -> ToxicityModel:
     """Embeddings and the linear softmax together, by full-batch Adam.
 
     With X the rows of n-gram shares, the logits are X (E W); the gradient of E is (X' g) W' and that of W
     is E' (X' g), so a step needs two passes over the n-grams whatever the dimensions. Buckets seen in one
-    text only stay at zero.
+    text only stay at zero. The passes take the n-grams in stretches, added up in the order of the texts, so
+    little more is held than the n-grams themselves.
     """
     size = 1 << rule.bits
-    ids, shares, lengths = [], [], []
+    bags = Bags(size)
     for text in texts:
         counts = np.bincount(buckets(text, rule), minlength=size) if text else np.zeros(size, np.int64)
         at = np.flatnonzero(counts)
-        ids.append(at.astype(np.int32))
-        shares.append((counts[at] / max(1, counts.sum())).astype(np.float32))
-        lengths.append(len(at))
-    idx, x = np.concatenate(ids), np.concatenate(shares)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    del ids, shares
-    common = np.bincount(idx, minlength=size) > 1
-    keep = common[idx]
-    idx, x, doc = idx[keep], x[keep], doc[keep]
+        bags.add(at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32))
+    common = bags.held > 1
+    stretches = bags.shared(common)
     y = np.array(labels, dtype=np.float64)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
 
@@ -129,10 +158,17 @@ def fit(texts: list[str], labels: list[int], rule: ToxicityRule) -> ToxicityMode
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for t in range(1, rule.steps + 1):
         per_bucket = embed @ linear
-        margin = np.bincount(doc, weights=x * (per_bucket[:, 1] - per_bucket[:, 0])[idx], minlength=len(y))
+        apart = per_bucket[:, 1] - per_bucket[:, 0]
+        margin = np.concatenate([
+            np.bincount(np.repeat(np.arange(len(n)), n), weights=x * apart[idx], minlength=len(n))
+            for idx, x, n in stretches])
         p = 1 / (1 + np.exp(-(margin + bias[1] - bias[0])))  # the softmax of two classes
         g = (weight * (p - y)).astype(np.float32)
-        back = np.bincount(idx, weights=x * g[doc], minlength=size).astype(np.float32)
+        back, first = np.zeros(size), 0
+        for idx, x, n in stretches:
+            np.add.at(back, idx, (x * np.repeat(g[first : first + len(n)], n)).astype(np.float64))
+            first += len(n)
+        back = back.astype(np.float32)
         both = np.stack([-back, back], axis=1)
         grads = [both @ linear.T + rule.decay * embed, embed.T @ both, np.array([-g.sum(), g.sum()], np.float32)]
         for p_, grad, (m, v) in zip(params, grads, moments, strict=True):

@@ -1,5 +1,7 @@
+import tracemalloc
 import zlib
 
+import numpy as np
 from helpers import awkward, empty, prose
 
 from tallyframe.llm import toxicity
@@ -59,3 +61,21 @@ def test_filter_keeps_columns(spark):
     docs = awkward(spark)
     model = toxicity.train(*labelled(spark, 60), RULE)
     assert toxicity.keep_civil(docs, model).columns == docs.columns
+
+
+def test_fit_holds_its_n_grams_once():
+    rule = toxicity.ToxicityRule(bits=16, dims=2, steps=2)
+    texts = [prose(i % 150, 1_500) for i in range(450)]
+    entries = sum(len(np.unique(toxicity.buckets(t, rule))) for t in texts)
+    tracemalloc.start()
+    toxicity.fit(texts, [i % 2 for i in range(450)], rule)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * entries  # 8 bytes of each entry, and what a stretch and the weights take; 34 with all at once
+
+
+def test_stretches_do_not_change_the_model(monkeypatch):
+    texts, labels = [prose(i % 40, 30 + i % 9) for i in range(120)] + [""], [i % 3 == 0 for i in range(121)]
+    want = toxicity.fit(texts, labels, RULE)
+    monkeypatch.setattr(toxicity, "STRETCH", 50)
+    assert toxicity.fit(texts, labels, RULE) == want
