@@ -127,12 +127,18 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
 
 
+def stretches(ranked: np.ndarray) -> np.ndarray:
+    """Where the stretches of equal numbers of a sorted array start."""
+    return np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+
+
 def smallest(keys: np.ndarray, docs: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A sorted array of distinct keys, each with its smallest document and what came with it."""
-    order = np.lexsort((docs, keys))
-    keys = keys[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    return keys[first], docs[order][first], *(m[order][first] for m in more)
+    """A sorted array of distinct keys, each with its smallest document and what comes with the key."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = stretches(ranked)
+    least = np.minimum.reduceat(docs[order], first) if len(keys) else docs
+    return ranked[first], least, *(m[order[first]] for m in more)
 
 
 class Levels:
@@ -191,13 +197,31 @@ _ANSWER = "batch long, step int, keys binary, docs binary, open binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _first_docs(texts: list[tuple], answers: Levels, at: int) -> list[np.ndarray]:
-    """Per text the smallest document of each of its keys (column `at`), in this batch or by the answers."""
-    own = Levels()
-    if texts:
-        own.levels = [smallest(
-            np.concatenate([t[at] for t in texts]), np.concatenate([np.full(len(t[at]), t[0]) for t in texts]))]
-    return [np.minimum(answers.first_docs(t[at]), own.first_docs(t[at])) for t in texts]
+def _first_docs(
+    texts: list[tuple], answers: Levels, at: int, open_: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the smallest document of each of its keys (column `at`), in this batch or by the answers, and
+    whether the key is in the sorted `open_`. The keys of a batch are sorted once and looked up in their order,
+    as searches all over an array wait for memory each."""
+    if not texts:
+        return []
+    sizes = [len(t[at]) for t in texts]
+    keys = np.concatenate([t[at] for t in texts])
+    least, listed = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    if len(keys):
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = stretches(ranked)
+        times, ranked = np.diff(np.append(first, len(keys))), ranked[first]
+        docs = np.repeat(np.array([t[0] for t in texts], np.int64), sizes)
+        found = np.minimum(answers.first_docs(ranked), np.minimum.reduceat(docs[order], first))
+        least[order] = np.repeat(found, times)
+        if open_ is not None and len(open_):
+            place = np.searchsorted(open_, ranked)
+            place[place == len(open_)] = 0
+            listed[order] = np.repeat(open_[place] == ranked, times)
+    cuts = np.cumsum(sizes)[:-1]
+    return list(zip(np.split(least, cuts), np.split(listed, cuts), strict=True))
 
 
 def _answers(frame: pd.DataFrame | None, step: int) -> tuple[Levels, np.ndarray]:
@@ -228,11 +252,10 @@ class Batch:
     def resolve(self, answers: Levels, open_: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per text the windows that are repeated for sure, and those to be compared one by one."""
         sure, asked = [], []
-        for (doc, spans, _, first, count), least in zip(self.texts, _first_docs(self.texts, answers, 1), strict=True):
+        known = _first_docs(self.texts, answers, 1, open_)
+        for (doc, _, _, first, count), (least, listed) in zip(self.texts, known, strict=True):
             seen = least < doc
-            at = np.searchsorted(open_, spans)
-            at[at == len(open_)] = 0
-            asks = ~seen & (open_[at] == spans) if len(open_) else np.zeros(len(spans), bool)
+            asks = ~seen & listed
             sure.append(spread(first[seen], count[seen]))
             asked.append(spread(first[asks], count[asks]))
         return sure, asked
@@ -311,7 +334,7 @@ def _finish(rule: RepeatRule):
             batch = Batch(frame, rule)
             sure, asked = batch.resolve(*_answers(answers, 1))
             texts = batch.prints(asked)
-            for doc, raw, gone, starts, least in zip(
+            for doc, raw, gone, starts, (least, _) in zip(
                 batch.docs, batch.raws, sure, asked, _first_docs(texts, _answers(answers, 2)[0], 1), strict=True
             ):
                 values = doc, *_outcome(raw, np.concatenate([gone, starts[least < doc]]), rule.length)
@@ -324,10 +347,10 @@ def _finish(rule: RepeatRule):
 
 def _outcome(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[int, int, int, str]:
     """Bytes, removed bytes, removed runs and the digest of what stays, for the repeated windows at `starts`."""
-    edges = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + length, -1)
-    gone = np.cumsum(edges[:-1]) > 0
+    edges = np.zeros(len(raw) + 1, np.int8)
+    edges[starts] = 1  # a window is named once
+    edges[starts + length] -= 1
+    gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
     spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
     return len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 from helpers import awkward, empty, prose
 
 from tallyframe.llm import suffix_dedup
@@ -63,3 +64,19 @@ def test_levels_halve_and_answer_like_one_array():
     asked = np.arange(600, dtype=np.uint64)
     want = [known.get(k, suffix_dedup.NEVER) for k in range(600)]
     assert family.first_docs(asked).tolist() == want
+
+
+def test_keys_of_a_batch_are_looked_up_once_and_in_their_order(monkeypatch):
+    looked, first_docs = [], suffix_dedup.Levels.first_docs
+
+    def watched(self, keys):
+        looked.append(keys)
+        return first_docs(self, keys)
+
+    monkeypatch.setattr(suffix_dedup.Levels, "first_docs", watched)
+    texts = [prose(i % 7, 200) for i in range(20)]
+    frame = pd.DataFrame({"doc_id": range(20), "raw": [t.encode() for t in texts]})
+    out = suffix_dedup._finish(suffix_dedup.DEFAULT_RULE)((0,), frame, pd.DataFrame())
+    assert out["n_removed"].tolist() == [0] * 7 + [len(t) for t in texts[7:]]
+    assert len(looked) <= 2  # the spans of the batch, and its windows
+    assert all((keys[1:] > keys[:-1]).all() for keys in looked)
