@@ -9,6 +9,7 @@ from tallyframe.storage import written
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+HASHED_SIDE = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 # Words are runs of anything but ASCII white space; the same pattern holds in Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,14 +34,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int | None = None, hashed_side: str | None = None) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read back, so a lost executor costs nothing.
 
     The shuffle files of the write are dropped once it has ended, as nothing reads them again. `batch_rows`:
-    rows that Python functions in it are given at a time, for rows that are large.
+    rows that Python functions in it are given at a time, for rows that are large. `hashed_side`: partitions of
+    at most that size are joined by a hash table, as adaptive execution finds; larger ones are sorted.
     """
     conf = df.sparkSession.conf
-    wanted = {CLEANUP: "true"} if batch_rows is None else {CLEANUP: "true", BATCH_ROWS: str(batch_rows)}
+    wanted = {CLEANUP: "true"}
+    if batch_rows is not None:
+        wanted[BATCH_ROWS] = str(batch_rows)
+    if hashed_side is not None:
+        wanted[HASHED_SIDE] = hashed_side
     before = {key: conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         conf.set(key, value)

@@ -9,7 +9,7 @@ Terms and groups are numbers until the report is made.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +28,7 @@ BLOCKS = "block long, chunks array<string>, docs binary, pairs binary, n_pairs l
 GATHERED = 100_000  # chunks whose terms are packed at a time
 PART_CELLS = 2_000_000  # cells that a task adds up, at most, but for those of one term
 PAIRS_AT_ONCE = 1 << 18
+ENTRIES = 1 << 17  # terms of documents that a block counts at a time, but for those of one document
 CELLS = "gid long, tid long, docs long, n long"
 
 
@@ -71,7 +72,8 @@ class Block:
     """Documents as places in a list of distinct chunks, with counts."""
 
     def __init__(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: defaultdict[bytes, int] = defaultdict()
+        self.place.default_factory = self.place.__len__  # a new chunk takes the next place, without a step of Python
         self.groups: list[int] = []
         self.parts: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -79,13 +81,13 @@ class Block:
 
     def add(self, group: int, raw: bytes) -> None:
         chunks = Counter(raw.split())  # bytes are cut at ASCII white space alone
-        place = self.place
         self.groups.append(group)
-        self.parts.append(np.fromiter((place.setdefault(c, len(place)) for c in chunks), np.int32, len(chunks)))
+        self.parts.append(np.fromiter(map(self.place.__getitem__, chunks), np.int32, len(chunks)))
         self.counts.append(np.fromiter(chunks.values(), np.int32, len(chunks)))
         self.size += len(raw)
 
     def row(self, number: int) -> pa.RecordBatch:
+        self.place.default_factory = None  # which holds the places themselves
         sizes = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
         docs = pack(np.array(self.groups, np.int64), sizes)
         pairs = pack(np.concatenate(self.parts), np.concatenate(self.counts))
@@ -150,17 +152,15 @@ def _in_steps(gid: np.ndarray, tid: np.ndarray, docs: np.ndarray, n: np.ndarray)
 
 def _added(cells: pa.Table) -> pa.Table:
     """The cells of a part of the terms, summed over the blocks."""
-    gid, tid, docs, n = (np.concatenate(c) for c in zip(*(
-        (g, np.cumsum(t), d, m) for g, t, d, m in (unpack(b.as_py(), *[np.int64] * 4) for b in cells.column("cells")))))
-    gids, g = np.unique(gid, return_inverse=True)
-    tids, t = np.unique(tid, return_inverse=True)
-    cell, which = np.unique(t * len(gids) + g, return_inverse=True)
-    sums = []
-    for values in (docs, n):
-        total = np.zeros(len(cell), np.int64)
-        np.add.at(total, which, values)
-        sums.append(total)
-    return pa.table({"gid": gids[cell % len(gids)], "tid": tids[cell // len(gids)], "docs": sums[0], "n": sums[1]})
+    packs = [unpack(b.as_py(), *[np.int64] * 4) for b in cells.column("cells")]
+    tid = np.concatenate([np.cumsum(p[1]) for p in packs])
+    gid = np.concatenate([p[0] for p in packs])
+    order = np.lexsort((gid, tid))
+    gid, tid = gid[order], tid[order]
+    first = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (gid[1:] != gid[:-1])]))
+    gid, tid = gid[first], tid[first]
+    docs, n = (np.add.reduceat(np.concatenate([p[k] for p in packs])[order], first) for k in (2, 3))
+    return pa.table({"gid": gid, "tid": tid, "docs": docs, "n": n})
 
 
 def _cells(blocks: pa.Table, found: pa.Table) -> tuple[np.ndarray, ...]:
@@ -171,24 +171,59 @@ def _cells(blocks: pa.Table, found: pa.Table) -> tuple[np.ndarray, ...]:
     # the terms of a chunk one after the other
     places, lengths, ids = _joined(found.column("terms"), np.int32, np.int32, np.int64)
     tids, term = np.unique(ids, return_inverse=True)
-    many, start = (np.zeros(int(place.max(initial=0)) + 1, np.int64) for _ in range(2))
+    term = term.astype(np.int32)
+    many, start = (np.zeros(int(place.max(initial=0)) + 1, np.int32) for _ in range(2))
     many[places] = lengths
     start[places] = np.cumsum(lengths) - lengths
+    del places, lengths, ids
+    # the documents of a group one after the other, so that its cells are added up before the next group's
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    entries = np.concatenate([[0], np.cumsum(many[place], dtype=np.int64)])
+    order = np.argsort(group, kind="stable")
+    inside = (entries[begin + sizes] - entries[begin])[order]
+    del entries
+    parts = []
+    for lo, hi in _stretches(inside, ENTRIES):
+        docs = order[lo:hi]
+        at = _spread(begin[docs], sizes[docs])
+        parts.append(_counts(group[docs], sizes[docs], place[at], count[at], many, start, term, len(tids)))
+    cell, docs, n = (np.concatenate(c) for c in zip(*parts))
+    del parts, place, count
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    cell, docs, n = cell[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in (docs, n))
+    return gids[cell // len(tids)], tids[cell % len(tids)], docs, n
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at `starts`."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
+
+
+def _counts(
+    group: np.ndarray, sizes: np.ndarray, place: np.ndarray, count: np.ndarray,
+    many: np.ndarray, start: np.ndarray, term: np.ndarray, n_terms: int,
+) -> tuple[np.ndarray, ...]:
+    """Rising cells (a group and a term) of a few documents with their documents and occurrences. `many` terms of
+    a chunk are at its `start` in `term`."""
     # one row per document, chunk and term in it
     length = many[place]
     entry = np.repeat(np.arange(len(place), dtype=np.int32), length)
-    step = np.arange(len(entry), dtype=np.int32) - np.repeat(np.cumsum(length) - length, length)
-    term = term[start[place[entry]] + step]
-    pair = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[entry] * len(tids) + term
+    term = term[_spread(start[place], length)]
+    pair = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)[entry] * n_terms + term
     # sorted by document and term, each pair once with its occurrences
     order = np.argsort(pair, kind="stable")
     pair, n = pair[order], count[entry[order]].astype(np.int64)
     first = np.flatnonzero(np.diff(pair, prepend=-1))
-    n, pair = np.add.reduceat(n, first), pair[first]
-    cell = group[pair // len(tids)] * len(tids) + pair % len(tids)
+    n, pair = np.add.reduceat(n, first) if len(first) else n, pair[first]
+    cell = group[pair // n_terms] * n_terms + pair % n_terms
     order = np.argsort(cell, kind="stable")
     cells, at, docs = np.unique(cell[order], return_index=True, return_counts=True)
-    return gids[cells // len(tids)], tids[cells % len(tids)], docs.astype(np.int64), np.add.reduceat(n[order], at)
+    return cells, docs.astype(np.int64), np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -215,7 +250,7 @@ def term_counts(
     terms = stored(distinct.select(F.explode("terms").alias("term")).distinct())
     number = term_number(terms, hashed)
     found = chunks.join(distinct.select("chunk", F.transform("terms", number).alias("tids")), "chunk")
-    found = stored(found.select("home", "place", "tids").mapInArrow(_gathered, "home long, terms binary"), GATHERED)
+    found = stored(found.select("home", "place", "tids").mapInArrow(_gathered, "home long, terms binary"), GATHERED, "64m")
     discard(distinct)
     # a part's cells fit a task whatever the number of blocks
     parts = max(1, -(-(blocks.agg(F.sum("n_pairs")).first()[0] or 0) // PART_CELLS))

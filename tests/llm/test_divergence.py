@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -95,6 +96,44 @@ def test_one_block():
     assert divergence._summed(1)(blocks, found.slice(0, 0)).num_rows == 0
 
 
+def counted_block(texts):
+    block = divergence.Block()
+    for i, text in enumerate(texts):
+        block.add(i % 4, text.encode())
+    blocks = pa.Table.from_batches([block.row(1)])
+    terms = [TERM.findall(c.translate(LOWER)) for c in blocks.column("chunks")[0].as_py()]
+    ids = {t: k for k, t in enumerate(sorted({t for c in terms for t in c}), -3)}
+    held = [k for k, c in enumerate(terms) if c]
+    found = pa.RecordBatch.from_pydict({
+        "home": [1] * len(held), "place": pa.array(held, pa.int32()),
+        "tids": pa.array([[ids[t] for t in terms[k]] for k in held], pa.list_(pa.int64()))})
+    return blocks, pa.Table.from_batches(list(divergence._gathered([found]))), ids
+
+
+def test_a_block_is_counted_in_stretches(monkeypatch):
+    texts = [prose(i % 9, 40) + " The the, (THE) it's" for i in range(30)] + ["", "1 2", "x-y " * 90, "7"]
+    blocks, found, ids = counted_block(texts)
+    docs, n = Counter(), Counter()
+    for i, text in enumerate(texts):
+        terms = TERM.findall(text.translate(LOWER))
+        docs.update((i % 4, ids[t]) for t in set(terms))
+        n.update((i % 4, ids[t]) for t in terms)
+    want = {(*cell, docs[cell], n[cell]) for cell in docs}
+    for entries in (1, 50, 1 << 17):
+        monkeypatch.setattr(divergence, "ENTRIES", entries, raising=False)
+        got = list(zip(*(c.tolist() for c in divergence._cells(blocks, found)), strict=True))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_memory_of_a_block():
+    blocks, found, _ = counted_block([prose(i % 25, 3_000) for i in range(400)])
+    tracemalloc.start()
+    divergence._cells(blocks, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * blocks.column("n_pairs")[0].as_py()  # 31 bytes a chunk of a document; 116 with all documents at once
+
+
 def test_terms_that_share_a_hash(spark):
     """Terms whose hashes are equal, or are the next number, have numbers of their own."""
     rows = [(c + d,) for c in "abcdef" for d in "xyz"]
