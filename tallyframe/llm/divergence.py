@@ -4,27 +4,34 @@ Chunk factorization: texts are cut at white space, and a block of documents beco
 chunks plus, per document, places in that list with counts. Only the lists are shuffled: each globally
 distinct chunk is cut into terms once, the numbers of its terms are joined back to the blocks that hold it,
 and each block sums documents and occurrences per group and term before they are added up over the blocks.
+Case and punctuation that terms do not keep are folded first, so that they make no chunks of their own.
 Terms and groups are numbers until the report is made.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import discard, lowered, stored
+from tallyframe.llm.common import discard, stored
 from tallyframe.operators.skew import attach, fits_broadcast
 
 # Terms are runs of letters A-Z and of anything beyond ASCII, so no term crosses white space.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Bytes of a chunk: white space as one space, letters in lower case, beyond ASCII as they are, others as one mark.
+FOLDED = bytes(
+    c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else ord(" ") if chr(c) in " \t\n\v\f\r" else ord(".")
+    for c in range(256)
+)
 BLOCKS = "block long, chunks array<string>, docs binary, pairs binary, n_pairs long"
+CUT_AT_ONCE = 1 << 21  # bytes of texts that are cut at a time, at most, but for the last one's
 GATHERED = 100_000  # chunks whose terms are packed at a time
 PART_CELLS = 2_000_000  # cells that a task adds up, at most, but for those of one term
 PAIRS_AT_ONCE = 1 << 18
@@ -68,33 +75,60 @@ def _joined(blobs: pa.ChunkedArray, *kinds: type) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*(unpack(b.as_py(), *kinds) for b in blobs))]
 
 
+def _folded(raw: bytes) -> bytes:
+    """A text with the same terms and fewer distinct chunks: letters A-Z in lower case, and one mark for a run of what
+    is neither a letter nor white space, which goes where it ends or begins a chunk. Of long runs more may stay."""
+    marked = raw.translate(FOLDED).replace(b"..", b".").replace(b"..", b".")
+    return marked.replace(b". ", b" ").replace(b" .", b" ").strip(b" .")
+
+
 class Block:
     """Documents as places in a list of distinct chunks, with counts."""
 
     def __init__(self) -> None:
-        self.place: defaultdict[bytes, int] = defaultdict()
-        self.place.default_factory = self.place.__len__  # a new chunk takes the next place, without a step of Python
         self.groups: list[int] = []
-        self.parts: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
+        self.texts: list[bytes] = []
+        self.chunks: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.waiting = 0
 
     def add(self, group: int, raw: bytes) -> None:
-        chunks = Counter(raw.split())  # bytes are cut at ASCII white space alone
         self.groups.append(group)
-        self.parts.append(np.fromiter(map(self.place.__getitem__, chunks), np.int32, len(chunks)))
-        self.counts.append(np.fromiter(chunks.values(), np.int32, len(chunks)))
+        self.texts.append(raw)
         self.size += len(raw)
+        self.waiting += len(raw)
+        if self.waiting >= CUT_AT_ONCE:
+            self._cut()
+
+    def _cut(self) -> None:
+        """Count the chunks of the documents that wait, by places in a list of their own."""
+        # cut at ASCII white space alone; an empty text or white space at its ends gives an empty chunk, without terms
+        cut = pc.ascii_split_whitespace(pa.array(self.texts, pa.string()))
+        found = cut.flatten().dictionary_encode()
+        n = len(found.dictionary)
+        pair = np.repeat(np.arange(len(self.texts), dtype=np.int64), np.diff(cut.offsets.to_numpy())) * n
+        pair += found.indices.to_numpy()
+        pair.sort()
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        doc, place = np.divmod(pair[first], n)
+        self.chunks.append(found.dictionary)
+        count = np.diff(first, append=len(pair))
+        sizes = np.bincount(doc, minlength=len(self.texts))
+        self.parts.append(tuple(c.astype(np.int32) for c in (sizes, place, count)))
+        self.texts, self.waiting = [], 0
 
     def row(self, number: int) -> pa.RecordBatch:
-        self.place.default_factory = None  # which holds the places themselves
-        sizes = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
-        docs = pack(np.array(self.groups, np.int64), sizes)
-        pairs = pack(np.concatenate(self.parts), np.concatenate(self.counts))
-        chunks = pa.array(list(self.place), pa.binary()).cast(pa.string())
+        if self.texts:
+            self._cut()
+        found = pa.chunked_array(self.chunks).dictionary_encode().unify_dictionaries()
+        sizes, places, counts = zip(*self.parts)
+        place = np.concatenate([c.indices.to_numpy()[p] for c, p in zip(found.chunks, places, strict=True)])
+        docs = pack(np.array(self.groups, np.int64), np.concatenate(sizes))
+        pairs = pack(place, np.concatenate(counts))
+        chunks = found.chunk(0).dictionary
         chunks = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
         columns = [pa.array([number], pa.int64()), chunks, pa.array([docs], pa.binary()), pa.array([pairs], pa.binary()),
-                   pa.array([int(sizes.sum())], pa.int64())]
+                   pa.array([len(place)], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["block", "chunks", "docs", "pairs", "n_pairs"])
 
 
@@ -107,7 +141,7 @@ def _counted(rule: AuditRule):
                 if block.groups and block.size + len(raw) > rule.block_bytes:
                     yield block.row(number)
                     number, block = number + 1, Block()
-                block.add(gid, raw)
+                block.add(gid, _folded(raw))
         if block.groups:
             yield block.row(number)
 
@@ -245,7 +279,7 @@ def term_counts(
     blocks = stored(numbered.select("gid", raw).mapInArrow(_counted(rule), BLOCKS))
     # a chunk has one row per block, so no chunk has a share of the rows that matters
     chunks = blocks.select(F.col("block").alias("home"), F.posexplode("chunks").alias("place", "chunk"))
-    cut = F.regexp_extract_all(lowered(F.col("chunk")), F.lit(TERM), F.lit(0)).alias("terms")
+    cut = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms")
     distinct = stored(chunks.select("chunk").distinct().select("chunk", cut).filter(F.size("terms") > 0))
     terms = stored(distinct.select(F.explode("terms").alias("term")).distinct())
     number = term_number(terms, hashed)

@@ -1,3 +1,4 @@
+import random
 import re
 import tracemalloc
 from collections import Counter, defaultdict
@@ -110,6 +111,41 @@ def counted_block(texts):
     return blocks, pa.Table.from_batches(list(divergence._gathered([found]))), ids
 
 
+def test_chunks_of_equal_terms_are_one(spark):
+    """Punctuation and the case of A-Z make no chunks of their own."""
+    texts = ["The the, (THE) the... *** 12 \"the\" the###", "the\vit's It,S it--s\t", " Ä, ä", None, ""]
+    docs = spark.createDataFrame([(i, (t or "").encode()) for i, t in enumerate(texts)], "gid long, raw binary").coalesce(1)
+    blocks = docs.mapInArrow(divergence._counted(divergence.DEFAULT_RULE), divergence.BLOCKS).collect()
+    found = [c for b in blocks for c in b.chunks if TERM.search(c)]
+    assert len(found) == len(set(found)) == 4 and {tuple(TERM.findall(c)) for c in found} == {("the",), ("it", "s"), ("Ä",), ("ä",)}
+
+
+def test_folding_keeps_the_terms():
+    drawn = random.Random(11)
+    letters = [chr(c) for c in range(128)] + list("..,, \n\x1c  Äé\u0130\u2003")
+    for text in ["".join(drawn.choices(letters, k=n % 60)) for n in range(3_000)] + ["." * 99 + "a" + "." * 99 + "b", ".", ""]:
+        assert TERM.findall(divergence._folded(text.encode()).decode()) == TERM.findall(text.translate(LOWER))
+
+
+def test_texts_are_cut_in_stretches(monkeypatch):
+    texts = [prose(i % 9, 40) + f" x{i % 5}" for i in range(30)] + ["", " ", "a", "\ta  a b\n", "a" * 5_000]
+    for at_once in (1, 500, 1 << 21):
+        monkeypatch.setattr(divergence, "CUT_AT_ONCE", at_once, raising=False)
+        block = divergence.Block()
+        for i, text in enumerate(texts):
+            block.add(i % 3, text.encode())
+        row = block.row(5)
+        groups, sizes = divergence.unpack(row["docs"][0].as_py(), divergence.np.int64, divergence.np.int32)
+        place, count = divergence.unpack(row["pairs"][0].as_py(), divergence.np.int32, divergence.np.int32)
+        chunks = row["chunks"][0].as_py()
+        assert groups.tolist() == [i % 3 for i in range(len(texts))] and len(set(chunks)) == len(chunks)
+        assert row["n_pairs"][0].as_py() == len(place) == sizes.sum()
+        ends = sizes.cumsum()
+        for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+            got = {chunks[p]: n for p, n in zip(place[a:b].tolist(), count[a:b].tolist(), strict=True) if chunks[p]}
+            assert got == Counter(text.encode().decode().split())
+
+
 def test_a_block_is_counted_in_stretches(monkeypatch):
     texts = [prose(i % 9, 40) + " The the, (THE) it's" for i in range(30)] + ["", "1 2", "x-y " * 90, "7"]
     blocks, found, ids = counted_block(texts)
